@@ -128,8 +128,21 @@ class Vocabulary:
         return out
 
 
+def _least_count(counts: DataFrame, most: int) -> float:
+    """A count that at most ``most`` words reach: found from a histogram of fixed size, so that no sort and no task's list of words goes to the driver."""
+    steps = 16  # bins for each doubling
+    bins = counts.groupBy(F.floor(F.log2("c") * steps).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, have = float("inf"), 0
+    for b in sorted(bins, key=lambda b: -b["bin"]):
+        have += b["n"]
+        if have > most:
+            break
+        least = b["c"]
+    return float(least)
+
+
 def vocabulary(counts: DataFrame, ends: int, own: int = OWN, forms: int = FORMS, frequent: int = FREQUENT) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "h").limit(max(own, frequent)).toPandas()
+    top = counts.where(F.col("c") >= _least_count(counts, max(own, frequent))).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h = top.h.to_numpy().view(np.uint64)
     per = counts.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     form_n, form_v = np.zeros(forms), np.zeros(forms)
