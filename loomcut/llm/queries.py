@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .dedup_minhash import near_duplicates
 from .lm_hmm import lm_score
+from .quality_js import quality
 from .runtime import table
+from .toxicity_nb import toxicity
 
 
 def op1_lm_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
