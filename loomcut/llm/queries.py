@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .dedup_minhash import near_duplicates
 from .lm_hmm import lm_score
+from .mixing import taken_words
 from .quality_js import quality
 from .runtime import table
+from .sentencepiece_sa import encode
 from .toxicity_nb import toxicity
 
 
@@ -29,6 +31,14 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
