@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann_scan import search
 from .dedup_minhash import near_duplicates
 from .html_paths import extract
 from .license_join import scan
@@ -15,6 +16,7 @@ from .quality_js import quality
 from .runtime import table
 from .sentencepiece_sa import encode
 from .toxicity_nb import toxicity
+from .warc_zip import round_trip
 
 
 def op1_lm_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +39,18 @@ def op5_quality_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ann_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
