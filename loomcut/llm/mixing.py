@@ -101,7 +101,11 @@ def draw(sources: DataFrame) -> DataFrame:
 
 
 def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents as pieces of blocks: ``doc_id, source, size, text_hash, copy, sid, block, start, n_words``; one row without a block for a document without words."""
+    """Documents as pieces of blocks: ``doc_id, source, size, text_hash, copy, sid, block, start, n_words, shift``.
+
+    ``shift`` is where in a block the document begins.  A document without words
+    is one row without a block.
+    """
     n = sized.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / _RANGE)))
     h = F.xxhash64(F.lit("stream"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -121,7 +125,7 @@ def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     placed = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     begin = F.greatest("at", F.col("block") * BLOCK)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return placed.select("doc_id", "source", "size", "text_hash", "copy", "sid", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("n_words"))
+    return placed.select("doc_id", "source", "size", "text_hash", "copy", "sid", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("n_words"), F.pmod("at", F.lit(BLOCK)).alias("shift"))
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -154,11 +158,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     is the words taken, joined by spaces, and ``n_chars`` (if there) its length.
     """
     _, pieces, draws = plan(docs)
-    got = draws.join(pieces, ["sid", "block"]).groupBy("doc_id", "source", "text_hash", "size", "copy", "round").agg(
-        F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans")
-    )
-    got = got.select(F.xxhash64("doc_id", "source").alias("_k"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_h"), "copy", "round", (F.col("n") == F.col("size")).alias("_whole"), F.when(F.col("n") < F.col("size"), F.col("spans")).alias("_spans"))
-    got = got.groupBy("_k", "_h", "_id", "_source").agg(F.collect_list(F.struct("copy", "round", "_whole", "_spans")).alias("_takes"))
+    nth = F.floor((F.col("start") + F.col("shift")) / BLOCK).cast("int")
+    got = draws.join(pieces, ["sid", "block"]).groupBy("doc_id", "source", "text_hash", "size", "copy", "round", "shift").agg(F.sum("n_words").alias("n"), F.collect_set(nth).alias("taken"))
+    # One character for each block that the document touches: whether the round takes it.
+    every = F.sequence(F.lit(0), F.floor((F.col("shift") + F.col("size") - 1) / BLOCK).cast("int"))
+    mask = F.array_join(F.transform(every, lambda b: F.when(F.array_contains("taken", b), "1").otherwise("0")), "")
+    got = got.select(
+        F.xxhash64("doc_id", "source").alias("_k"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_h"), "copy", "round", "shift",
+        (F.col("n") == F.col("size")).alias("_whole"), F.when(F.col("n") < F.col("size"), mask).alias("_mask"),
+    )
+    got = got.groupBy("_k", "_h", "_id", "_source").agg(F.collect_list(F.struct("copy", "round", "shift", "_whole", "_mask")).alias("_takes"))
     names = docs.columns
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "source").alias("_k"), h.alias("_h"))
@@ -167,7 +176,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     met = met.where(F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")))
     met = met.withColumn("_take", F.explode(F.filter("_takes", lambda t: t["copy"] == F.col("_copy"))))
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_take._spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    block_of = lambda i: F.floor((i + F.col("_take.shift")) / BLOCK).cast("int") + 1
+    part = F.array_join(F.filter(words, lambda w, i: F.col("_take._mask").substr(block_of(i), F.lit(1)) == "1"), " ")
     text = F.when(F.col("_take._whole"), F.col("_row.text")).otherwise(part)
     met = met.withColumn("_text", text)
     chars = docs.schema["n_chars"].dataType if "n_chars" in names else None
