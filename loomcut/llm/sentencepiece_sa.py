@@ -35,6 +35,10 @@ from . import textbuf as tb
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose encoding a worker remembers before it starts anew.
 REMEMBERED = 1 << 21
+#: Characters that are indexed at once; the edges over them take about 300 bytes each.
+INDEXED = 400_000
+#: Bytes of text whose ids are put together at once.
+_SLICE = 4 << 20
 _SPACE = "▁"
 _SPACE_BYTES = _SPACE.encode()
 
@@ -233,13 +237,19 @@ class Encoder:
         if new.size:
             raw = buf.tobytes()
             texts = [raw[a:b].decode().replace(" ", _SPACE) for a, b in zip(start[new].tolist(), end[new].tolist())]
-            ids, o = self.units(texts)
+            length = np.cumsum([len(x) + 1 for x in texts])
+            parts, i = [], 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(length, (length[i - 1] if i else 0) + INDEXED, side="right")))
+                parts.append(self.units(texts[i:j]))
+                i = j
+            n = np.concatenate([np.diff(o) for _, o in parts])
             unit = np.concatenate([self.unit, u[~known]])
             order = np.argsort(unit)
             self.unit = unit[order]
-            self.at = np.concatenate([self.at, o[:-1] + self.pool.size])[order]
-            self.n = np.concatenate([self.n, np.diff(o)])[order]
-            self.pool = np.concatenate([self.pool, ids])
+            self.at = np.concatenate([self.at, np.cumsum(n) - n + self.pool.size])[order]
+            self.n = np.concatenate([self.n, n])[order]
+            self.pool = np.concatenate([self.pool, *(ids for ids, _ in parts)])
         k = np.searchsorted(self.unit, u)[inv]
         n = self.n[k]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -278,7 +288,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         enc = _encoder(path)
         for batch in batches:
             buf, offs = tb.buffers(batch.column("text"))
-            for i, j in tb.slices(offs, 12 << 20):
+            for i, j in tb.slices(offs, _SLICE):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 ids, io = enc.batch(b, o)
                 back, bo = decode_bytes(enc.p, ids, io)
