@@ -40,6 +40,8 @@ LEAST_G = 6.0
 PENALTY = 1e-4
 STEPS = 300
 
+#: Bytes of text whose features are taken at once.
+_SLICE = 1 << 19
 _MULT = np.random.default_rng(11).integers(0, 1 << 63, (max(SIZES) + 1, max(SIZES)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,7 +98,7 @@ class Classifier:
         buf, offs = tb.buffers(text)
         wanted = self.weights != 0
         out = [np.zeros(0)]
-        for i, j in tb.slices(offs, 1 << 21):
+        for i, j in tb.slices(offs, _SLICE):
             row, bucket = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wanted)
             z = self.bias + np.bincount(row, self.weights[bucket].astype(float), minlength=j - i)
             out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
         for batch in batches:
             y = batch.column("y").to_numpy()
             buf, offs = tb.buffers(batch.column("text"))
-            for i, j in tb.slices(offs):
+            for i, j in tb.slices(offs, _SLICE):
                 row, bucket = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[y[i:j][row] == k], minlength=1 << HASH_BITS)
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = tb.buffers(batch.column("text"))
-            for i, j in tb.slices(offs):
+            for i, j in tb.slices(offs, _SLICE):
                 row, b = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value)
                 o = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(b.astype(np.int32)))], ["doc_id", "y", "b"])
