@@ -70,10 +70,10 @@ def _read(f: pa.NativeFile, at: int, n: int) -> bytes:
 def directory(f: pa.NativeFile) -> dict[str, Member]:
     """Members of a ZIP, from its central directory."""
     size = f.size()
-    tail_at = max(0, size - 65557)
+    tail_at = max(0, size - 65577)  # the longest comment, the record, and the ZIP64 locator before it
     tail = _read(f, tail_at, size - tail_at)
     k = tail.rfind(b"PK\x05\x06")
-    while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
         k = tail.rfind(b"PK\x05\x06", 0, k)
     if k < 0:
         raise ValueError("no end of central directory")
