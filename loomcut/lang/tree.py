@@ -84,7 +84,7 @@ def insert_comments(root: Node, comments: list[Node]) -> None:
             if below is None:
                 break
             n = below
-        at = next((i for i, k in enumerate(n.children) if k.start >= c.start), len(n.children))
+        at = next((i for i, k in enumerate(n.children) if k.start > c.start or k.start == c.start and k.end > k.start), len(n.children))
         n.children.insert(at, c)
 
 

@@ -47,7 +47,10 @@ class Window:
     size: int
     partial: bool = False
     lines: list[tuple[int, int]] | None = None
-    span: tuple[int, int] | None = None  # of a split leaf, exactly
+    span: tuple[int, int] | None = None  # of what holds a part of a leaf, exactly
+
+    def extent(self) -> tuple[int, int]:
+        return self.span or (self.nodes[0].start, self.nodes[-1].end)
 
 
 @dataclass
@@ -139,7 +142,7 @@ def merged(windows: Iterator[Window], most: int) -> Iterator[Window]:
             now = w
         elif now.size + w.size <= most:
             lines = now.lines + w.lines if now.lines and w.lines else None
-            span = (now.span[0], w.span[1]) if now.span and w.span else None
+            span = (now.extent()[0], w.extent()[1]) if now.partial or w.partial else None
             now = Window(now.nodes + w.nodes, now.size + w.size, now.partial or w.partial, lines, span)
         else:
             yield now

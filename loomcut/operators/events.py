@@ -53,7 +53,8 @@ def variant_summary(metrics: DataFrame, variants: list[str], rates: dict[str, Co
     agg = [F.count("*").alias("n")]
     agg += [F.round(F.avg(c.cast("double")), 6).alias(k) for k, c in rates.items()]
     agg += [F.round(F.avg(m), 6).alias(f"mean_{m}") for m in means]
-    agg += [nearest_rank(m, p).alias(f"p{p:g}_{m}") for m, ps in percentiles.items() for p in ps]
+    kinds = dict(metrics.dtypes)  # percentile_disc gives doubles
+    agg += [nearest_rank(m, p).cast(kinds[m]).alias(f"p{p:g}_{m}") for m, ps in percentiles.items() for p in ps]
     spark = metrics.sparkSession
     dim = spark.createDataFrame([(v,) for v in variants], "variant string")
     out = dim.join(metrics.groupBy("variant").agg(*agg), "variant", "left")

@@ -386,7 +386,7 @@ def first_hit(spark, d):
 
 @query(f"WITH {_LOG} SELECT tool, quantile_disc(tokens, 0.5) AS p50, quantile_disc(tokens, 0.9) AS p90, quantile_disc(CASE WHEN path < 0 THEN tokens END, 0.5) AS none FROM log GROUP BY tool")
 def percentile_nearest_rank(spark, d):
-    return _log(spark, d).withColumn("x", F.expr("case when path < 0 then tokens end")).groupBy("tool").agg(E.nearest_rank("tokens", 50).alias("p50"), E.nearest_rank("tokens", 90).alias("p90"), E.nearest_rank("x", 50).alias("none"))
+    return _log(spark, d).withColumn("x", F.expr("case when path < 0 then tokens end")).groupBy("tool").agg(*[E.nearest_rank(c, p).cast("long").alias(n) for c, p, n in (("tokens", 50, "p50"), ("tokens", 90, "p90"), ("x", 50, "none"))])
 
 
 _SUMMARY = f"""{_LOG}, s AS (SELECT CASE WHEN session % 2 = 0 THEN 'ops' ELSE 'search' END AS variant, count(*) AS n, round(avg(CASE WHEN path % 5 = 0 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(avg(tokens), 6) AS mean_tokens,
@@ -453,3 +453,22 @@ def tool_allowed(spark, d):
     m = F.col("event_id") % 4
     tool = F.when(m == 0, "Read").when(m == 1, "Write").otherwise("Else")
     return _t(spark, d, "events").select("event_id", T.tool_allowed(tool, F.col("event_id") % 50, 40, ["Read", "Grep", "Glob"], ["Write", "Bash"]).alias("verdict"))
+
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS instance_id, 'ops' AS variant, CAST(CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 0 END AS INTEGER) AS hit_1, CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_3,
+  CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_5, CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_10,
+  CASE s_suppkey % 4 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS mrr, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.5 END::DOUBLE AS coverage_5, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS coverage_10,
+  CAST(round(s_suppkey * 0.00002, 9) AS DOUBLE) AS embed_cost FROM supplier""")
+def instance_metrics(spark, d):
+    """Every run has a.py and b.py to find (none if divisible by 4); how soon it does depends on its number."""
+    from loomcut.operators import evaluation as X
+
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    i = F.col("k").cast("string").alias("instance_id")
+    patch = F.when(F.col("k") % 4 != 0, "diff --git a/x/a.py b/x/a.py\n\ndiff --git a/b.py b/./b.py\n").otherwise("")
+    oracle = X.extract_oracle(s.select(i, patch.alias("patch")))
+    m = F.col("k") % 4
+    files = F.when(m == 1, F.array(*map(F.lit, ["./x//a.py", "q", "q", "q", "q", "q", "/b.py"]))).when(m == 2, F.array(F.lit("z.py"), F.lit("b.py"))).when(m == 0, F.array(F.lit("any.py")))
+    rankings = s.select(i, F.lit("ops").alias("variant"), F.posexplode(files).alias("pos", "file")).select("instance_id", "variant", (F.col("pos") + 1).alias("rank"), "file")
+    return X.instance_metrics(rankings, oracle, s.select(i, F.lit("ops").alias("variant"), (F.col("k") * 1000).alias("embed_tokens")))
