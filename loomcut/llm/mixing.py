@@ -16,6 +16,9 @@ size, the excess being shared again by weight until none is above.
   networks: bijections of any range, computed for one index alone.
 * Blocks and draws meet in a join by source and index, a key that isn't hot.
 
+That join is always a merge join: before the draws are counted out, their
+plan looks small enough to broadcast, and isn't.
+
 Stream offsets are prefix sums in two steps (within hash ranges, then over
 them), so a source of any size is spread over many tasks.
 
@@ -138,14 +141,14 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: ``shard, slot, source, doc_id, text_hash, copy, round, start, n_words`` of every piece it takes."""
     _, pieces, draws = plan(docs)
-    return draws.join(pieces, ["sid", "block"]).select("shard", "slot", "source", "doc_id", "text_hash", "copy", "round", "start", "n_words")
+    return draws.join(pieces.hint("merge"), ["sid", "block"]).select("shard", "slot", "source", "doc_id", "text_hash", "copy", "round", "start", "n_words")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every row of ``docs``."""
     sources, pieces, draws = plan(docs)
     times = draws.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    met = pieces.join(times, ["sid", "block"], "left")
+    met = pieces.hint("merge").join(times, ["sid", "block"], "left")
     words = F.coalesce(F.col("n_words") * F.col("times"), F.lit(0))
     per = met.groupBy("doc_id", "sid", "size", "text_hash", "copy").agg(F.sum(words).alias("taken"))
     return per.join(sources.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -156,24 +159,25 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Where a round takes the whole document the row is as it was; else ``text``
     is the words taken, joined by spaces, and ``n_chars`` (if there) its length.
+    Documents are matched by 128 bits of hashes of their id, source and text,
+    so that their texts are shuffled once.
     """
     _, pieces, draws = plan(docs)
     nth = F.floor((F.col("start") + F.col("shift")) / BLOCK).cast("int")
-    got = draws.join(pieces, ["sid", "block"]).groupBy("doc_id", "source", "text_hash", "size", "copy", "round", "shift").agg(F.sum("n_words").alias("n"), F.collect_set(nth).alias("taken"))
+    got = draws.join(pieces.hint("merge"), ["sid", "block"]).groupBy("doc_id", "source", "text_hash", "size", "copy", "round", "shift").agg(F.sum("n_words").alias("n"), F.collect_set(nth).alias("taken"))
     # One character for each block that the document touches: whether the round takes it.
     every = F.sequence(F.lit(0), F.floor((F.col("shift") + F.col("size") - 1) / BLOCK).cast("int"))
     mask = F.array_join(F.transform(every, lambda b: F.when(F.array_contains("taken", b), "1").otherwise("0")), "")
     got = got.select(
-        F.xxhash64("doc_id", "source").alias("_k"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_h"), "copy", "round", "shift",
+        F.xxhash64("doc_id", "source").alias("_k"), F.col("text_hash").alias("_h"), "copy", "round", "shift",
         (F.col("n") == F.col("size")).alias("_whole"), F.when(F.col("n") < F.col("size"), mask).alias("_mask"),
     )
-    got = got.groupBy("_k", "_h", "_id", "_source").agg(F.collect_list(F.struct("copy", "round", "shift", "_whole", "_mask")).alias("_takes"))
+    got = got.groupBy("_k", "_h").agg(F.collect_list(F.struct("copy", "round", "shift", "_whole", "_mask")).alias("_takes"))
     names = docs.columns
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "source").alias("_k"), h.alias("_h"))
     copy = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1))) - 1
     met = keyed.withColumn("_copy", copy).join(got, ["_k", "_h"])
-    met = met.where(F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")))
     met = met.withColumn("_take", F.explode(F.filter("_takes", lambda t: t["copy"] == F.col("_copy"))))
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
     block_of = lambda i: F.floor((i + F.col("_take.shift")) / BLOCK).cast("int") + 1
