@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textbuf as tb
 from .runtime import cut
 
 SAMPLE = 20_000
@@ -188,7 +189,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
             cell = _cells(s.rows(_matrix(b.column("v"), dim)), s.centroids)
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32))], ["uid", "vec_id", "v", "list"])
 
-    placed = cut(good.mapInArrow(place, f"uid long, vec_id long, v array<{kind}>, list int"), "placed")
+    placed = cut(good.mapInArrow(tb.lean(place), f"uid long, vec_id long, v array<{kind}>, list int"), "placed")
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(len(space.centroids))])
     parts = np.maximum(1, -(-held // PART_ROWS))
@@ -206,7 +207,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
                 c = b.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([c.column("uid"), c.column("vec_id"), c.column("v"), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32)))], ["uid", "vec_id", "v", "lists"])
 
-    asked = placed.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "v").mapInArrow(ask, f"uid long, vec_id long, v array<{kind}>, lists array<int>")
+    asked = placed.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "v").mapInArrow(tb.lean(ask), f"uid long, vec_id long, v array<{kind}>, lists array<int>")
     asked = cut(asked, "queries")
     asks = asked.select("uid", "vec_id", "v", F.explode("lists").alias("list"))
     asking = {r["list"]: r["n"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}

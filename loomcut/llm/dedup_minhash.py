@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, width: int, rows_per_band: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *lists], ["doc_id", "n_shingles", "hi", "lo", "sig", "band"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, hi long, lo long, sig array<long>, band array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, n_shingles long, hi long, lo long, sig array<long>, band array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(set_key(s, o)[0].view(np.int64)), sets], ["rep", "hi", "s"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, f"rep {kind}, hi long, s array<long>")
+    found = docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(tb.lean(run), f"rep {kind}, hi long, s array<long>")
     return found.join(ids, ["rep", "hi"], "left_semi").dropDuplicates(["rep", "hi"]).select("rep", "s")
 
 

@@ -177,7 +177,7 @@ def word_counts(docs: DataFrame, ix: Index) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total)], ["word", "n"])
 
     out = np.zeros(ix.words.size)
-    for r in docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tb.lean(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
     return out
 
@@ -235,4 +235,4 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phr
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

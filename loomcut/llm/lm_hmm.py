@@ -99,7 +99,7 @@ def count_words(docs: DataFrame, forms: int = FORMS) -> DataFrame:
         if held:
             yield from rows(merged())
 
-    found = docs.select("text").mapInArrow(count, "h long, form short, c long")
+    found = docs.select("text").mapInArrow(tb.lean(count), "h long, form short, c long")
     return found.groupBy("h", "form").agg(F.sum("c").alias("c"))
 
 
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 )
 
     return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-        run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, s_all double, s_form double, codes binary, rare array<long>"
+        tb.lean(run), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, s_all double, s_form double, codes binary, rare array<long>"
     )
 
 
@@ -297,7 +297,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iteration
                 at = np.flatnonzero(flat)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["cell", "x"])
 
-        got = rows.mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
+        got = rows.mapInArrow(tb.lean(run), "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
         flat = np.zeros(states + states * states + classes * states)
         flat[got.cell.to_numpy()] = got.x.to_numpy()
         start, move, emit = np.split(flat, [states, states + states * states])
@@ -372,7 +372,7 @@ def score(encoded: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "s_all")), pa.array(lp + b.column("s_form").to_numpy())], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "s_all", "lp"])
 
     schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, s_all double, lp double"
-    scored = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "s_all", "s_form", "codes").mapInArrow(run, schema)
+    scored = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "s_all", "s_form", "codes").mapInArrow(tb.lean(run), schema)
     rare = (
         encoded.select("rid", F.explode("rare").alias("h"))
         .join(counts.select("h", "c"), "h", "left")

@@ -116,7 +116,7 @@ def counts_by_language(docs: DataFrame) -> DataFrame:
         for k, v in chars.items():
             yield out(k, 0, np.arange(CLASSES - 1), v)
 
-    got = docs.select("text", "lang").mapInArrow(run, "lang string, kind int, h long, c long")
+    got = docs.select("text", "lang").mapInArrow(tb.lean(run), "lang string, kind int, h long, c long")
     return got.groupBy("lang", "kind", "h").agg(F.sum("c").alias("c"))
 
 
@@ -270,7 +270,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[k], from_pandas=True) for k in COLUMNS)], ["doc_id", *COLUMNS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+    return docs.select("doc_id", "text", "lang").mapInArrow(tb.lean(run), f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from . import textbuf as tb
+
 
 def keep_where(docs: DataFrame, verdict: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """Rows of ``docs`` for which ``verdict`` is true; all columns stay as they are, whatever their names."""
@@ -20,4 +22,4 @@ def keep_where(docs: DataFrame, verdict: Callable[[pa.RecordBatch], pa.Array]) -
             yield pa.RecordBatch.from_arrays([*b.columns, verdict(b)], [*b.schema.names, flag])
 
     schema = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
-    return docs.mapInArrow(run, schema).where(F.col(flag)).drop(flag)
+    return docs.mapInArrow(tb.lean(run), schema).where(F.col(flag)).drop(flag)

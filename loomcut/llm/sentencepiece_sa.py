@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose encoding a worker remembers before it starts anew.
 REMEMBERED = 1 << 21
 #: Characters that are indexed at once; the edges over them take about 300 bytes each.
-INDEXED = 400_000
+INDEXED = 200_000
 #: Bytes of text whose ids are put together at once.
 _SLICE = 4 << 20
 _SPACE = "▁"
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(io)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -320,4 +320,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tb.lean(run), f"doc_id {kind}, text string")

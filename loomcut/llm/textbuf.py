@@ -7,7 +7,9 @@ object per word.  Words are the runs ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,30 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, giving freed memory back to the system after each of them."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                trim()
+
+        yield from run(each())
+        trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    try:
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection on 64-bit values."""
     h = h.astype(np.uint64, copy=True)

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "q", "p"])
 
-    got = sample.select("text", "y").mapInArrow(count, "bucket int, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).where("p + q >= 3").toPandas()
+    got = sample.select("text", "y").mapInArrow(tb.lean(count), "bucket int, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).where("p + q >= 3").toPandas()
     p, q = got.p.to_numpy(float), got.q.to_numpy(float)
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     # likelihood ratio of presence against class
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(b.astype(np.int32)))], ["doc_id", "y", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    design = sample.mapInArrow(vectors, f"doc_id {kind}, y int, b array<int>").orderBy("doc_id").toArrow()
+    design = sample.mapInArrow(tb.lean(vectors), f"doc_id {kind}, y int, b array<int>").orderBy("doc_id").toArrow()
     lists = design.column("b").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
     col = np.searchsorted(bucket, lists.flatten().to_numpy())
@@ -206,7 +206,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(batch.column("text")))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

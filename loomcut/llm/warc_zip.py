@@ -37,6 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbuf as tb
 from .runtime import cut, shared_dir
 from .sieve import anti
 
@@ -198,7 +199,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         if w.index:
             yield done(w.close())
 
-    return rows.mapInArrow(run, "path string, records long")
+    return rows.mapInArrow(tb.lean(run), "path string, records long")
 
 
 def read(archives: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
@@ -236,7 +237,7 @@ def read(archives: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3]), pa.array(out[4], pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                         i = j
 
-    got = archives.select("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    got = archives.select("path").mapInArrow(tb.lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return got if kind == "bigint" else got.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
