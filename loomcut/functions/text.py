@@ -23,12 +23,12 @@ def _c(x: Column | str) -> Column:
 
 def nws_count(text: Column | str) -> Column:
     """Characters that aren't white space, in UTF-16 units."""
-    return utf16_length(F.regexp_replace(_c(text), f"[{JS_SPACE}]", ""))
+    return utf16_length(F.regexp_replace(_c(text), f"[{JS_SPACE}]+", ""))
 
 
 def utf16_length(text: Column | str) -> Column:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
-    return F.length(_c(text)) + F.length(F.regexp_replace(_c(text), "[^\\x{10000}-\\x{10FFFF}]", ""))
+    return (F.octet_length(F.encode(_c(text), "UTF-16BE")) / 2).cast("int")
 
 
 def lines(text: Column | str) -> Column:

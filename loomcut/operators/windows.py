@@ -20,31 +20,40 @@ def numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return each.withColumn("length", n).withColumn("start", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).cast("long"))
 
 
-def _fold_ids(sizes: Column, most: int) -> Column:
-    """Window number of each size: filled while it fits; one over the limit stands alone."""
-    zero = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("some"))
+def _fold_starts(sizes: Column, most: int) -> Column:
+    """First line of each window: filled while it fits; a line over the limit stands alone.
+
+    The state grows by one number for each window, so a text costs one pass.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("some"))
 
     def step(a: Column, s: Column) -> Column:
         fits = a["size"] + s <= most
         big = ~fits & (s > most)
-        at = F.when(fits | ~a["some"], a["id"]).otherwise(a["id"] + 1)
         return F.struct(
-            F.concat(a["ids"], F.array(at)).alias("ids"),
-            F.when(big, at + 1).otherwise(at).alias("id"),
+            F.when(a["some"] & fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["at"]))).alias("starts"),
+            (a["at"] + 1).alias("at"),
             F.when(big, F.lit(0)).when(fits, a["size"] + s).otherwise(s).cast("long").alias("size"),
             (~big).alias("some"),
         )
 
-    return F.aggregate(sizes, zero, step)["ids"]
+    return F.aggregate(sizes, zero, step)["starts"]
+
+
+def _line_sizes(text: str) -> Column:
+    return F.transform(T.lines(text), lambda x: T.nws_count(x).cast("long"))
 
 
 def line_windows(docs: DataFrame, most: int = 1500, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, window_idx, first_line, last_line, size``: greedy windows of at most ``most`` non-space characters."""
-    sizes = F.transform(T.lines(text), lambda x: T.nws_count(x).cast("long"))
-    each = docs.select(key, sizes.alias("s")).select(key, "s", _fold_ids(F.col("s"), most).alias("ids"))
-    each = each.select(key, F.posexplode(F.arrays_zip("ids", "s")).alias("line_no", "x"))
-    out = each.groupBy(key, F.col("x.ids").alias("window_idx"))
-    return out.agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum("x.s").alias("size"))
+    each = docs.select(key, _line_sizes(text).alias("s"))
+    each = each.select(key, "s", _fold_starts(F.col("s"), most).alias("starts"))
+
+    def window(first: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("starts", i + 1), F.size("s"))
+        return F.struct(first.alias("first_line"), (after - 1).alias("last_line"), F.aggregate(F.slice("s", first + 1, after - first), F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
+
+    return each.select(key, F.posexplode(F.transform("starts", window)).alias("window_idx", "w")).select(key, "window_idx", "w.*")
 
 
 def merge_windows(windows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
@@ -60,24 +69,22 @@ def merge_windows(windows: DataFrame, most: int, key: str = "doc_id") -> DataFra
     return per.select(key, F.posexplode(merged).alias("window_idx", "m")).select(key, "window_idx", "m.first_line", "m.last_line", "m.size")
 
 
-def line_chunks(docs: DataFrame, most: int = 1500, overlap: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, idx, total, first_line, last_line, chunk, overlap``: chunk texts with the last lines of the chunk before.
+def line_chunks(docs: DataFrame, most: int = 1500, overlap: int = 10, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns to ``keep``, and ``idx, total, first_line, last_line, chunk, overlap``: chunk texts with the last lines of the chunk before.
 
     Texts without anything but white space have no chunks.  A row's own lines
     make all of its chunks, so no join is needed.
     """
-    sizes = F.transform(T.lines(text), lambda x: T.nws_count(x).cast("long"))
-    d = docs.where(T.nws_count(text) > 0).select(key, T.lines(text).alias("l"), sizes.alias("s"))
-    d = d.select(key, "l", _fold_ids(F.col("s"), most).alias("ids"))
-    d = d.select(key, "l", "ids", F.explode(F.sequence(F.lit(0), F.element_at("ids", -1))).alias("idx"), F.element_at("ids", -1).alias("top"))
-    first = F.array_position("ids", F.col("idx")).cast("int") - 1
-    size = F.size(F.filter("ids", lambda i: i == F.col("idx")))
-    d = d.select(key, "l", "idx", (F.col("top") + 1).alias("total"), first.alias("first_line"), (first + size - 1).alias("last_line"), F.when(F.col("idx") > 0, F.array_position("ids", F.col("idx") - 1).cast("int") - 1).alias("p"))
-    chunk = F.array_join(F.slice("l", F.col("first_line") + 1, F.col("last_line") - F.col("first_line") + 1), "\n")
-    n = F.least(F.lit(overlap), F.col("first_line") - F.col("p"))
-    before = F.array_join(F.slice("l", F.col("first_line") + 1 - n, n), "\n")
-    overlap_text = F.when(F.col("p").isNotNull() & F.lit(overlap > 0) & (F.length(before) > 0), before)
-    return d.select(key, "idx", "total", "first_line", "last_line", chunk.alias("chunk"), overlap_text.alias("overlap"))
+    d = docs.where(T.nws_count(text) > 0).select(key, *keep, T.lines(text).alias("l"), _line_sizes(text).alias("s"))
+    d = d.select(key, *keep, "l", _fold_starts(F.col("s"), most).alias("starts"))
+
+    def chunk(first: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("starts", i + 1), F.size("l"))
+        n = F.least(F.lit(overlap), first - F.get("starts", i - 1))
+        before = F.when((i > 0) & F.lit(overlap > 0), F.nullif(F.array_join(F.slice("l", first + 1 - F.coalesce(n, F.lit(0)), F.coalesce(n, F.lit(0))), "\n"), F.lit("")))
+        return F.struct(F.size("starts").alias("total"), first.alias("first_line"), (after - 1).alias("last_line"), F.array_join(F.slice("l", first + 1, after - first), "\n").alias("chunk"), before.alias("overlap"))
+
+    return d.select(key, *keep, F.posexplode(F.transform("starts", chunk)).alias("idx", "c")).select(key, *keep, "idx", "c.*")
 
 
 def contextualized(text: Column, filepath: Column, scope: Column, defines: Column, uses: Column, after: Column, before: Column, overlap: Column) -> Column:

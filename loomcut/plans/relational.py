@@ -115,8 +115,7 @@ SELECT doc_id, idx, concat_ws({_NL}, '# src/' || source || '/doc' || doc_id || '
   CASE WHEN overlap IS NOT NULL THEN '# ...' || {_NL} || overlap || {_NL} || '# ---' END, chunk) AS contextualized
 FROM (SELECT l.*, source, lang, regexp_extract_all(chunk, {_WORDS})[1:2] AS def, regexp_extract_all(chunk, '[A-Za-z]{{12,}}') AS uses FROM lapped l JOIN documents USING (doc_id))""")
 def contextualized_text(spark, d):
-    docs = _t(spark, d, "documents")
-    c = W.line_chunks(docs, MOST, OVERLAP).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    c = W.line_chunks(_t(spark, d, "documents"), MOST, OVERLAP, keep=("source", "lang"))
     no = F.array().cast("array<string>")
     part = lambda n: F.array(F.concat(F.lit("part"), n.cast("string")))
     text = W.contextualized(
