@@ -194,6 +194,27 @@ def chain(s: Scope | None) -> list[Scope]:
     return out
 
 
+def flattened(roots: list[Scope]) -> list[Scope]:
+    """All scopes, depth first."""
+    out, stack = [], list(reversed(roots))
+    while stack:
+        s = stack.pop()
+        out.append(s)
+        stack += reversed(s.children)
+    return out
+
+
+def ancestors(nodes: list[Node]) -> list[Node]:
+    """Distinct ancestors of some nodes, nearest first."""
+    seen: dict[int, Node] = {}
+    for n in nodes:
+        p = n.parent
+        while p is not None and id(p) not in seen:
+            seen[id(p)] = p
+            p = p.parent
+    return list(seen.values())
+
+
 def _siblings(roots: list[Scope], start: int, end: int, detail: str, most: int = 3) -> list[dict]:
     if detail == "none":
         return []

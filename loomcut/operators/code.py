@@ -70,6 +70,19 @@ def chunk_batch(files: DataFrame, options: Options = Options(), chunk_file: Call
     return _files(files).mapInArrow(run, kind)
 
 
+def chunk_batch_stream(files: DataFrame, options: Options = Options(), on_progress: Callable[[int, int, str, bool], None] | None = None) -> Iterator:
+    """Rows of ``chunk_batch`` one after another, partition by partition.
+
+    ``on_progress`` is told after each: how many are done, of how many, the
+    path, and whether it went well.
+    """
+    total = files.count() if on_progress else 0
+    for done, r in enumerate(chunk_batch(files, options).toLocalIterator(), 1):
+        if on_progress:
+            on_progress(done, total, r.filepath, r.error is None)
+        yield r
+
+
 def chunk_files(files: DataFrame, options: Options = Options()) -> DataFrame:
     """``filepath`` and the chunk's fields, one row for each chunk; files that fail have none."""
     return chunk_batch(files, options).select("filepath", F.explode("chunks").alias("c")).select("filepath", "c.*")
@@ -137,9 +150,8 @@ class Chunker:
     def chunk_batch(self, files: DataFrame, **own) -> DataFrame:
         return chunk_batch(files, self._with(own))
 
-    def chunk_batch_stream(self, files: DataFrame, **own) -> Iterator:
-        """Results one after another, as they can be fetched."""
-        return chunk_batch(files, self._with(own)).toLocalIterator()
+    def chunk_batch_stream(self, files: DataFrame, on_progress=None, **own) -> Iterator:
+        return chunk_batch_stream(files, self._with(own), on_progress)
 
 
 def create_chunker(**options) -> Chunker:

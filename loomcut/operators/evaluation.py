@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcut.functions import text as T
+from loomcut.operators.events import delta, nearest_rank
 
 COST_PER_1000 = 0.00002
 
@@ -37,3 +38,40 @@ def instance_metrics(rankings: DataFrame, oracle: DataFrame, totals: DataFrame)
     cost = F.round(F.coalesce("embed_tokens", F.lit(0)) / 1000 * COST_PER_1000, 9)
     hits = [F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in (1, 3, 5, 10)]
     return out.select(*key, *hits, F.round(F.coalesce("mrr", F.lit(0.0)), 6).alias("mrr"), cover(F.col("f5")).alias("coverage_5"), cover(F.col("f10")).alias("coverage_10"), cost.alias("embed_cost"))
+
+
+VARIANTS = ("ops-only", "ops-plus-search")
+_RATES = [f"hit_at_{k}" for k in (1, 3, 5, 10)]
+_MEANS = ["mrr", "coverage_at_5", "coverage_at_10"]
+_TOTALS = ["duration_ms", "tokens", "input_tokens", "output_tokens", "cost_usd", "tool_calls"]
+
+
+def aggregate_metrics(metrics: DataFrame, variants: tuple[str, ...] = VARIANTS) -> DataFrame:
+    """One row for each variant, zeros for one without rows: hit rates, means, totals, nearest-rank percentiles.
+
+    ``metrics`` has ``instance_id, variant``, boolean ``hit_at_k``, ``mrr``,
+    ``coverage_at_k``, ``duration_ms, input_tokens, output_tokens, cost_usd,
+    tool_calls``, and nullable ``time_to_first_hit_ms, tokens_to_first_hit``,
+    whose medians stay null where no run has one.
+    """
+    m = metrics.withColumn("tokens", F.col("input_tokens") + F.col("output_tokens"))
+    zero = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate") for c in _RATES]
+    zero += [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in _MEANS]
+    zero += [F.round(F.sum(c), 6).alias(f"total_{c}") for c in _TOTALS]
+    zero += [nearest_rank(c, p).cast("long").alias(f"{n}_{c}") for c in ("duration_ms", "tokens") for n, p in (("median", 50), ("p90", 90))]
+    absent = [nearest_rank(c, 50).cast("long").alias(f"median_{c}") for c in ("time_to_first_hit_ms", "tokens_to_first_hit")]
+    per = m.groupBy("variant").agg(*zero, *absent)
+    dim = metrics.sparkSession.createDataFrame([(v,) for v in variants], "variant string")
+    out = dim.join(per, "variant", "left")
+    keep = {f"median_{c}" for c in ("time_to_first_hit_ms", "tokens_to_first_hit")} | {"variant"}
+    return out.select(*[F.col(c) if c in keep else F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in out.dtypes])
+
+
+def metric_deltas(summary: DataFrame, variants: tuple[str, str] = VARIANTS) -> DataFrame:
+    """The second variant less the first."""
+    return delta(summary, variants[1], variants[0], ["hit_at_1_rate", "hit_at_3_rate", "hit_at_5_rate", "mean_mrr", "total_duration_ms", "total_tokens", "total_cost_usd"])
+
+
+def reported_usage(accumulated: str, reported: str):
+    """What a session's last message reports, or what was added up where that is 0 or missing."""
+    return F.coalesce(F.nullif(F.col(reported), F.lit(0)), F.col(accumulated), F.lit(0))

@@ -471,3 +471,38 @@ def instance_metrics(spark, d):
     files = F.when(m == 1, F.array(*map(F.lit, ["./x//a.py", "q", "q", "q", "q", "q", "/b.py"]))).when(m == 2, F.array(F.lit("z.py"), F.lit("b.py"))).when(m == 0, F.array(F.lit("any.py")))
     rankings = s.select(i, F.lit("ops").alias("variant"), F.posexplode(files).alias("pos", "file")).select("instance_id", "variant", (F.col("pos") + 1).alias("rank"), "file")
     return X.instance_metrics(rankings, oracle, s.select(i, F.lit("ops").alias("variant"), (F.col("k") * 1000).alias("embed_tokens")))
+
+
+_RUNS = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ops-only' ELSE 'ops-plus-search' END AS variant, o_custkey % 7 AS m, o_custkey AS c, o_orderkey AS o FROM orders),
+s AS (SELECT variant, round(avg(CASE WHEN m < 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1_rate, round(avg(CASE WHEN m < 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3_rate, round(avg(CASE WHEN m < 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5_rate, round(avg(CASE WHEN m < 6 THEN 1.0 ELSE 0 END), 6) AS hit_at_10_rate,
+  round(avg(1.0 / (m + 1)), 6) AS mean_mrr, round(avg(m / 7.0), 6) AS mean_coverage_at_5, round(avg(m / 6.0), 6) AS mean_coverage_at_10,
+  CAST(sum(c * 10) AS BIGINT) AS total_duration_ms, CAST(sum(c + o) AS BIGINT) AS total_tokens, CAST(sum(c) AS BIGINT) AS total_input_tokens, CAST(sum(o) AS BIGINT) AS total_output_tokens, round(sum(CAST(m AS DOUBLE) / 4), 6) AS total_cost_usd, CAST(sum(m) AS BIGINT) AS total_tool_calls,
+  CAST(quantile_disc(c * 10, 0.5) AS BIGINT) AS median_duration_ms, CAST(quantile_disc(c * 10, 0.9) AS BIGINT) AS p90_duration_ms, CAST(quantile_disc(c + o, 0.5) AS BIGINT) AS median_tokens, CAST(quantile_disc(c + o, 0.9) AS BIGINT) AS p90_tokens,
+  CAST(quantile_disc(CASE WHEN variant = 'ops-only' AND m < 4 THEN c END, 0.5) AS BIGINT) AS median_time_to_first_hit_ms, CAST(quantile_disc(CASE WHEN m < 4 THEN o END, 0.5) AS BIGINT) AS median_tokens_to_first_hit
+  FROM runs GROUP BY variant)"""
+
+
+def _runs(spark, d):
+    from loomcut.operators import evaluation as X
+
+    m, c, o = F.col("o_custkey") % 7, F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long")
+    variant = F.when(o % 2 == 0, "ops-only").otherwise("ops-plus-search")
+    runs = _t(spark, d, "orders").select(
+        o.cast("string").alias("instance_id"), variant.alias("variant"), *[(m < x).alias(f"hit_at_{k}") for k, x in ((1, 1), (3, 3), (5, 5), (10, 6))], (1.0 / (m + 1)).alias("mrr"), (m / 7.0).alias("coverage_at_5"), (m / 6.0).alias("coverage_at_10"),
+        (c * 10).alias("duration_ms"), c.alias("input_tokens"), o.alias("output_tokens"), (m.cast("double") / 4).alias("cost_usd"), m.cast("long").alias("tool_calls"),
+        F.when((variant == "ops-only") & (m < 4), c).alias("time_to_first_hit_ms"), F.when(m < 4, o).alias("tokens_to_first_hit"),
+    )
+    return X.aggregate_metrics(runs)
+
+
+@query(f"WITH {_RUNS} SELECT * FROM s")
+def aggregate_metrics(spark, d):
+    return _runs(spark, d)
+
+
+@query(f"""WITH {_RUNS} SELECT round(b.hit_at_1_rate - a.hit_at_1_rate, 6) AS delta_hit_at_1_rate, round(b.hit_at_3_rate - a.hit_at_3_rate, 6) AS delta_hit_at_3_rate, round(b.hit_at_5_rate - a.hit_at_5_rate, 6) AS delta_hit_at_5_rate, round(b.mean_mrr - a.mean_mrr, 6) AS delta_mean_mrr,
+  b.total_duration_ms - a.total_duration_ms AS delta_total_duration_ms, b.total_tokens - a.total_tokens AS delta_total_tokens, round(b.total_cost_usd - a.total_cost_usd, 6) AS delta_total_cost_usd FROM s a, s b WHERE a.variant = 'ops-only' AND b.variant = 'ops-plus-search'""")
+def metric_deltas(spark, d):
+    from loomcut.operators import evaluation as X
+
+    return X.metric_deltas(_runs(spark, d))
