@@ -12,6 +12,7 @@ from .html_paths import extract
 from .license_join import scan
 from .lm_hmm import lm_score
 from .mixing import taken_words
+from .oracles import SQL
 from .quality_js import quality
 from .runtime import table
 from .sentencepiece_sa import encode
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
