@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations alone.
 
 Every source is one stream of words: its documents in the order of a hash of
-their id.  The stream is packed into blocks of ``BLOCK`` words (the last may be
+their id and text.  The stream is packed into blocks of ``BLOCK`` words (the last may be
 shorter).  Sources, by code point and null last, weigh 1, 2, 3, repeating; a
 source's target is its share of all words, at most ``MOST`` times its own
 size, the excess being shared again by weight until none is above.
@@ -45,6 +45,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one hash range, about; only a matter of parallelism.
 _RANGE = 4096
 _BATCH = 4096
+#: Draws of one task, about.
+_DRAWS = 50_000
 
 
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
@@ -90,7 +92,9 @@ def targets(sized: DataFrame) -> DataFrame:
 def draw(sources: DataFrame) -> DataFrame:
     """``sid, block, round, slot, shard`` of every draw."""
     part = sources.where("draws > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / _BATCH))))
-    part = part.repartition(F.xxhash64("sid", "part"))
+    n = sources.agg(F.max("slots")).first()[0] or 0
+    # a stated number, since the few rows here become many
+    part = part.repartition(max(1, min(10_000, n // _DRAWS)), F.xxhash64("sid", "part"))
     low = F.col("part") * _BATCH
     each = part.withColumn("k", F.explode(F.sequence(low, F.least(low + _BATCH, F.col("draws")) - 1)))
     round_ = F.floor(F.col("k") / F.col("blocks"))
@@ -111,7 +115,7 @@ def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """
     n = sized.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / _RANGE)))
-    h = F.xxhash64(F.lit("stream"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    h = F.xxhash64(F.lit("stream"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash"))
     # Hash ranges in the order of the hash, so that the order doesn't depend on their number.
     range_ = F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
     known = sized.withColumn("h", h).withColumn("range", range_)
