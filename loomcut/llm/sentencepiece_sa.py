@@ -34,11 +34,11 @@ from . import textbuf as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose encoding a worker remembers before it starts anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 #: Characters that are indexed at once; the edges over them take about 300 bytes each.
 INDEXED = 200_000
 #: Bytes of text whose ids are put together at once.
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _SPACE = "▁"
 _SPACE_BYTES = _SPACE.encode()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are scanned at once; the temporaries are about 30 times that.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
