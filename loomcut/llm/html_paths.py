@@ -84,8 +84,17 @@ class Piece:
     text: str = ""
 
 
+#: "has-sidebar" tells of a sidebar elsewhere.
+_ELSEWHERE = frozenset("has with no without not is js allow enable supports".split())
+
+
 def _names(attrs: dict[str, str]) -> set[str]:
-    return {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+    out: set[str] = set()
+    for item in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = [w.lower() for w in _WORDS.findall(item)]
+        if words and words[0] not in _ELSEWHERE:
+            out.update(words)
+    return out
 
 
 def _never(tag: str, attrs: dict[str, str], story: bool) -> bool:

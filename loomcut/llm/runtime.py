@@ -53,6 +53,15 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has made in this session, once no result that reads them is needed."""
+    for s, path in _made:
+        if s is spark:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x[0] is not spark]
+
+
 @atexit.register
 def _clean() -> None:
     for _, path in _made:

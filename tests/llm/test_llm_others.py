@@ -45,6 +45,7 @@ P = "".join(f"<p>{p}</p>" for p in PARAS)
         (page("<article><p>1 < 2 and 3 > 2</p></article>"), "1 < 2 and 3 > 2"),
         (page(f"<article class='post'>{P}<section class='comments'><article class='comment'><p>I disagree, strongly, with it all.</p></article></section></article>"), " ".join(PARAS)),
         (page(f"<article><header><h1>Title</h1></header>{P}<ul><li>point one</li><li>point two</li></ul></article>"), " ".join(["Title", *PARAS, "point one point two"])),
+        (page(f"<div id='wrap' class='layout has-sidebar no-comments'><div class='entry'>{P}</div><div class='sidebar'>Other things, of no interest.</div></div>"), " ".join(PARAS)),
         (page("<div class='cookie-notice'>We use cookies, as you know, for many things.</div>" + MENU), ""),
     ],
 )
@@ -225,3 +226,31 @@ def test_pipeline(spark, sf):
     empty = spark.createDataFrame([], spark.read.parquet(f"{sf}/documents.parquet").schema)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_license_join", "op4_near_duplicates", "op6_warc_zip"])
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    from loomcut.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    rel = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == sorted(df.columns)
+    assert collections.Counter(map(tuple, df.select(names).collect())) == collections.Counter(map(tuple, rel.fetchall()))
+
+
+def test_release(spark):
+    from loomcut.llm import runtime
+
+    t = runtime.cut(spark.range(3), "t")
+    at = t.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert os.path.exists(at)
+    runtime.release(spark)
+    assert not os.path.exists(at)
