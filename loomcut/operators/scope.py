@@ -60,20 +60,35 @@ def flattened(entities: DataFrame, chains: DataFrame) -> DataFrame:
     return e.select("file_id", "id", "depth", order.alias("position"))
 
 
-def entities_in_range(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities (``id, start, end``) that overlap each chunk (``chunk, c_start, c_end``), and whether only in part."""
-    met = chunks.join(entities, "file_id").where((F.col("start") < F.col("c_end")) & (F.col("end") > F.col("c_start")))
+def _buckets(start: str, end: str, width: int) -> Column:
+    """Numbers of the stretches of ``width`` that a half-open range touches."""
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width)))
+
+
+def entities_in_range(chunks: DataFrame, entities: DataFrame, width: int = 4096) -> DataFrame:
+    """Entities (``id, start, end``) that overlap each chunk (``chunk, c_start, c_end``), and whether only in part.
+
+    Both sides are spread over stretches of ``width`` of the file and meet
+    there, so a long file is many small joins; a pair counts where it first
+    overlaps.
+    """
+    a = chunks.select("file_id", "chunk", "c_start", "c_end", _buckets("c_start", "c_end", width).alias("_b"))
+    b = entities.select("file_id", "id", "start", "end", _buckets("start", "end", width).alias("_b"))
+    met = a.join(b, ["file_id", "_b"]).where((F.col("start") < F.col("c_end")) & (F.col("end") > F.col("c_start")))
+    met = met.where(F.col("_b") == F.floor(F.greatest("start", "c_start") / width))
     partial = (F.col("start") < F.col("c_start")) | (F.col("end") > F.col("c_end"))
     return met.select("file_id", "chunk", "id", partial.alias("is_partial"))
 
 
 def siblings(nodes: DataFrame, most: int = 3) -> DataFrame:
-    """Up to ``most`` nearest siblings before and after each node (``file_id, parent, id, ord``)."""
-    a = nodes.select("file_id", "parent", "id", "ord")
-    b = nodes.select(F.col("file_id").alias("f"), F.col("parent").alias("p"), F.col("id").alias("sibling"), F.col("ord").alias("o"))
-    near = a.join(b, (F.col("file_id") == F.col("f")) & F.col("parent").eqNullSafe(F.col("p")) & (F.col("id") != F.col("sibling")) & (F.abs(F.col("o") - F.col("ord")) <= most))
-    position = F.when(F.col("o") < F.col("ord"), "before").otherwise("after")
-    return near.select("file_id", "id", "sibling", position.alias("position"), F.abs(F.col("o") - F.col("ord")).cast("int").alias("distance"))
+    """Up to ``most`` nearest siblings before and after each node (``file_id, parent, id, ord``), in the order of ``ord``.
+
+    A node looks at its neighbours in the window, so a parent of many children costs no more for each.
+    """
+    level = Window.partitionBy("file_id", "parent").orderBy("ord")
+    near = [F.struct(f("id", k).over(level).alias("sibling"), F.lit(side).alias("position"), F.lit(k).alias("distance")) for side, f in (("before", F.lag), ("after", F.lead)) for k in range(1, most + 1)]
+    each = nodes.select("file_id", "id", F.array(*near).alias("near")).select("file_id", "id", F.explode("near").alias("s"))
+    return each.where("s.sibling is not null").select("file_id", "id", "s.sibling", "s.position", "s.distance")
 
 
 def used_imports(imports: DataFrame, names: DataFrame) -> DataFrame:

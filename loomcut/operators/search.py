@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +38,27 @@ def search(index: DataFrame, query: list[float], top_k: int = 10, pattern: str |
     return scored.orderBy(F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score")).desc_nulls_last(), order).limit(max(1, min(50, top_k)))
 
 
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 1000
+
+
 def search_many(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the top-k of each row of ``queries`` (``query_id, q``), a stated, small set.
+    """``query_id, rank, vec_id, score``: the top-k of each row of ``queries`` (``query_id, q``), a stated set.
 
-    The queries are broadcast; each task keeps its best rows of each query
-    before anything is shuffled.
+    Queries are broadcast in blocks of about ``QUERY_BLOCK``; each task keeps
+    its best rows of each query before anything is shuffled.
     """
     q = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
     v = index.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("en", F.sqrt(dot(F.col("e"), F.col("e"))))
-    met = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
     score = F.round(dot(F.col("q"), F.col("e")) / F.nullif(F.col("qn") * F.col("en"), F.lit(0.0)), 9)
     best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
-    return met.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        met = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
+        parts.append(met.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hits(ranked: DataFrame, k: int) -> Column:
