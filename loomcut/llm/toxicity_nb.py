@@ -33,8 +33,8 @@ from .runtime import cut, fold, id_text
 
 SIZES = (3, 4, 5)
 HASH_BITS = 20
-TRAIN_ROWS = 20_000
-FEATURES = 8192
+TRAIN_ROWS = 16_000
+FEATURES = 4096
 #: Least likelihood-ratio statistic of a feature; chance alone hardly reaches it.
 LEAST_G = 6.0
 PENALTY = 1e-4
@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
     design = sample.mapInArrow(tb.lean(vectors), f"doc_id {kind}, y int, b array<int>").orderBy("doc_id").toArrow()
     lists = design.column("b").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
-    col = np.searchsorted(bucket, lists.flatten().to_numpy())
-    w, b = _logistic(np.repeat(np.arange(size.size), size), col, scale[col], design.column("y").to_numpy().astype(float), bucket.size)
+    col = np.searchsorted(bucket, lists.flatten().to_numpy()).astype(np.int32)
+    w, b = _logistic(np.repeat(np.arange(size.size, dtype=np.int32), size), col, scale[col], design.column("y").to_numpy().astype(float), bucket.size)
     weights = np.zeros(1 << HASH_BITS)
     weights[bucket] = w * scale
     return Classifier(weights, b)
