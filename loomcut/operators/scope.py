@@ -15,24 +15,32 @@ def contains(outer: str, inner: str) -> Column:
     return (F.col(f"{outer}_start") <= F.col(f"{inner}_start")) & (F.col(f"{inner}_end") <= F.col(f"{outer}_end"))
 
 
-def scope_parents(entities: DataFrame) -> DataFrame:
+def _buckets(start: str, end: str, width: int) -> Column:
+    """Numbers of the stretches of ``width`` that a half-open range touches."""
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width)))
+
+
+def scope_parents(entities: DataFrame, width: int = 4096) -> DataFrame:
     """``file_id, id, parent``: the deepest earlier entity that contains each (null at the top).
 
     Entities are ``file_id, id, start, end``; order is by start, then id.  As
-    ranges are properly nested the deepest container is the latest one.
+    ranges are properly nested the deepest container is the latest one.  An
+    entity looks for it among those that touch the stretch of ``width`` in
+    which it begins.
     """
     e = entities.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("start", "id")))
-    inner = e.select("file_id", "id", F.col("ord").alias("at"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    outer = e.select("file_id", F.col("id").alias("parent"), "ord", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    found = inner.join(outer, "file_id").where((F.col("ord") < F.col("at")) & contains("o", "i"))
+    inner = e.select("file_id", "id", F.col("ord").alias("at"), F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.floor(F.col("start") / width).alias("_b"))
+    outer = e.select("file_id", F.col("id").alias("parent"), "ord", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
+    found = inner.join(outer, ["file_id", "_b"]).where((F.col("ord") < F.col("at")) & contains("o", "i"))
     best = found.groupBy("file_id", "id").agg(F.max_by("parent", "ord").alias("parent"))
     return e.select("file_id", "id").join(best, ["file_id", "id"], "left")
 
 
-def scope_at(points: DataFrame, entities: DataFrame) -> DataFrame:
+def scope_at(points: DataFrame, entities: DataFrame, width: int = 4096) -> DataFrame:
     """``points`` (``file_id, point, at``) with the deepest entity whose half-open range holds ``at``."""
     e = entities.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("start", "id")))
-    inside = points.join(e.select("file_id", "id", "start", "end", "ord"), "file_id").where("start <= at and at < end")
+    spread = e.select("file_id", "id", "start", "end", "ord", _buckets("start", "end", width).alias("_b"))
+    inside = points.withColumn("_b", F.floor(F.col("at") / width)).join(spread, ["file_id", "_b"]).where("start <= at and at < end")
     best = inside.groupBy("file_id", "point").agg(F.max_by("id", "ord").alias("scope"))
     return points.join(best, ["file_id", "point"], "left")
 
@@ -60,11 +68,6 @@ def flattened(entities: DataFrame, chains: DataFrame) -> DataFrame:
     return e.select("file_id", "id", "depth", order.alias("position"))
 
 
-def _buckets(start: str, end: str, width: int) -> Column:
-    """Numbers of the stretches of ``width`` that a half-open range touches."""
-    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width)))
-
-
 def entities_in_range(chunks: DataFrame, entities: DataFrame, width: int = 4096) -> DataFrame:
     """Entities (``id, start, end``) that overlap each chunk (``chunk, c_start, c_end``), and whether only in part.
 

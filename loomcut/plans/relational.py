@@ -105,7 +105,7 @@ def chunk_index_total(spark, d):
     return W.line_chunks(_t(spark, d, "documents"), MOST, 0).select("doc_id", "idx", "total", "first_line", "last_line", "chunk")
 
 
-_WORDS = r"'[A-Za-z]{9,}'"
+_WORDS = r"'[A-Za-z]{14,}'"
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS}
@@ -113,7 +113,7 @@ SELECT doc_id, idx, concat_ws({_NL}, '# src/' || source || '/doc' || doc_id || '
   CASE WHEN len(def) > 0 THEN '# Defines: ' || array_to_string(def, ', ') END, CASE WHEN len(uses) > 0 THEN '# Uses: ' || array_to_string(uses[1:10], ', ') END,
   CASE WHEN idx > 0 THEN '# After: part' || (idx - 1) END, CASE WHEN idx + 1 < total THEN '# Before: part' || (idx + 1) END, '',
   CASE WHEN overlap IS NOT NULL THEN '# ...' || {_NL} || overlap || {_NL} || '# ---' END, chunk) AS contextualized
-FROM (SELECT l.*, source, lang, regexp_extract_all(chunk, {_WORDS})[1:2] AS def, regexp_extract_all(chunk, '[A-Za-z]{{12,}}') AS uses FROM lapped l JOIN documents USING (doc_id))""")
+FROM (SELECT l.*, source, lang, regexp_extract_all(chunk, {_WORDS}) AS def, regexp_extract_all(chunk, '[A-Za-z]{{12,}}') AS uses FROM lapped l JOIN documents USING (doc_id))""")
 def contextualized_text(spark, d):
     c = W.line_chunks(_t(spark, d, "documents"), MOST, OVERLAP, keep=("source", "lang"))
     no = F.array().cast("array<string>")
@@ -122,7 +122,7 @@ def contextualized_text(spark, d):
         F.col("chunk"),
         F.concat(F.lit("home/src/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")),
         F.array("lang", "source"),
-        F.slice(F.regexp_extract_all("chunk", F.lit("[A-Za-z]{9,}"), F.lit(0)), 1, 2),
+        F.regexp_extract_all("chunk", F.lit("[A-Za-z]{14,}"), F.lit(0)),
         F.regexp_extract_all("chunk", F.lit("[A-Za-z]{12,}"), F.lit(0)),
         F.when(F.col("idx") > 0, part(F.col("idx") - 1)).otherwise(no),
         F.when(F.col("idx") + 1 < F.col("total"), part(F.col("idx") + 1)).otherwise(no),
@@ -224,12 +224,12 @@ def cosine_topk_filtered(spark, d):
 
 _RANKED = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ranked AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.label = v.label AS hit, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS rank
-  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20) WHERE rank <= 10)"""
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10)"""
 
 
 def _ranked(spark, d):
     e = _t(spark, d, "embeddings")
-    found = V.search_many(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    found = V.search_many(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
     labels = e.select("vec_id", "label")
     return found.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").withColumn("hit", F.col("label") == F.col("want"))
 
@@ -247,20 +247,23 @@ def mrr(spark, d):
     return first.agg(F.round(F.avg(F.coalesce(1.0 / F.col("f"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query(f"""WITH {_RANKED}, o AS (SELECT query_id, v.vec_id FROM (SELECT vec_id AS query_id, label FROM v WHERE vec_id < 20) q JOIN v ON v.label = q.label AND v.vec_id % 50 = query_id % 50 AND v.vec_id <> query_id AND query_id % 5 <> 0)
+@query(f"""WITH {_RANKED}, o AS (SELECT query_id, v.vec_id FROM (SELECT vec_id AS query_id, label FROM v WHERE vec_id % 50 = 0) q JOIN v ON v.label = q.label AND v.vec_id % 7 = query_id % 7 AND v.vec_id <> query_id AND query_id % 150 <> 0)
 SELECT query_id, round(coalesce(h * 1.0 / n, 1), 6) AS coverage FROM (SELECT DISTINCT query_id FROM ranked) LEFT JOIN
   (SELECT o.query_id, count(*) AS n, count(r.vec_id) AS h FROM o LEFT JOIN ranked r ON r.query_id = o.query_id AND r.vec_id = o.vec_id GROUP BY o.query_id) USING (query_id)""")
 def coverage_at_k(spark, d):
     ranked = _ranked(spark, d).select("query_id", "rank", F.col("vec_id").alias("file"))
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("file"), "label")
-    q = e.where("file < 20").select(F.col("file").alias("query_id"), "label")
-    oracle = q.join(e, "label").where("file % 50 = query_id % 50 and file <> query_id and query_id % 5 <> 0")
+    q = e.where("file % 50 = 0").select(F.col("file").alias("query_id"), "label")
+    oracle = q.join(e, "label").where("file % 7 = query_id % 7 and file <> query_id and query_id % 150 <> 0")
     return V.coverage(ranked, oracle, 10)
 
 
 # Ranges: regions hold nations, nations hold customers.
 
 
+_WIDTH = 10**6
+
+
 def _ranges(spark, d):
     r, n, c = _t(spark, d, "region"), _t(spark, d, "nation"), _t(spark, d, "customer")
     span = lambda df, i, s, n: df.select((F.col(f) % 2).cast("long").alias("file_id"), i.cast("long").alias("id"), s.cast("long").alias("start"), (s + n).cast("long").alias("end"))
@@ -283,15 +286,15 @@ parents AS (SELECT CAST(i.file_id AS BIGINT) AS file_id, CAST(i.id AS BIGINT) AS
 
 @query(f"WITH {_RANGES} SELECT * FROM parents")
 def scope_parent(spark, d):
-    return S.scope_parents(_ranges(spark, d))
+    return S.scope_parents(_ranges(spark, d), _WIDTH)
 
 
-@query(f"""WITH {_RANGES}, p AS (SELECT CAST(o_orderkey AS BIGINT) AS point, CAST(o_orderkey % 2 AS BIGINT) AS file_id, CAST(o_orderkey * 7919 % 500000000 AS BIGINT) AS spot FROM orders WHERE o_orderkey % 10 = 0)
+@query(f"""WITH {_RANGES}, p AS (SELECT CAST(o_orderkey AS BIGINT) AS point, CAST(o_orderkey % 2 AS BIGINT) AS file_id, CAST(o_orderkey * 7919 % 500000000 AS BIGINT) AS spot FROM orders)
 SELECT file_id, point, spot, CAST((SELECT r.id FROM ranges r WHERE r.file_id = p.file_id AND r.s <= p.spot AND p.spot < r.e ORDER BY r.s DESC, r.id DESC LIMIT 1) AS BIGINT) AS scope FROM p""")
 def scope_at_offset(spark, d):
     k = F.col("o_orderkey").cast("long")
-    points = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(k.alias("point"), (k % 2).alias("file_id"), (k * 7919 % 500000000).alias("at"))
-    return S.scope_at(points, _ranges(spark, d)).select("file_id", "point", F.col("at").alias("spot"), "scope")
+    points = _t(spark, d, "orders").select(k.alias("point"), (k % 2).alias("file_id"), (k * 7919 % 500000000).alias("at"))
+    return S.scope_at(points, _ranges(spark, d), _WIDTH).select("file_id", "point", F.col("at").alias("spot"), "scope")
 
 
 @query(f"""WITH RECURSIVE {_RANGES}, up(file_id, id, nxt, depth, chain) AS (
@@ -299,7 +302,7 @@ def scope_at_offset(spark, d):
   SELECT up.file_id, up.id, p.parent, depth + 1, chain || '/' || up.nxt FROM up JOIN parents p ON p.file_id = up.file_id AND p.id = up.nxt)
 SELECT file_id, id, CAST(depth AS INTEGER) AS depth, chain FROM up WHERE nxt IS NULL""")
 def ancestor_chain(spark, d):
-    chains = S.ancestors(S.scope_parents(_ranges(spark, d)))
+    chains = S.ancestors(S.scope_parents(_ranges(spark, d), _WIDTH))
     return chains.select("file_id", "id", "depth", F.concat_ws("", F.transform("chain", lambda x: F.concat(F.lit("/"), x.cast("string")))).alias("chain"))
 
 
@@ -307,7 +310,7 @@ def ancestor_chain(spark, d):
 SELECT up.file_id, up.id, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY up.file_id ORDER BY r.s, depth, up.id) AS INTEGER) AS position FROM up JOIN ranges r ON r.file_id = up.file_id AND r.id = up.id WHERE nxt IS NULL""")
 def scope_flatten(spark, d):
     e = _ranges(spark, d)
-    return S.flattened(e, S.ancestors(S.scope_parents(e)))
+    return S.flattened(e, S.ancestors(S.scope_parents(e, _WIDTH)))
 
 
 _LINE_RANGES = f"""{_LINES}, e AS (SELECT doc_id AS file_id, line_no AS id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(line) AS n FROM lines),
