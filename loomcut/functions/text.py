@@ -86,9 +86,8 @@ def token_estimate(text: Column | str) -> Column:
 
 def identifiers(text: Column | str) -> Column:
     """Distinct ASCII identifiers between ASCII word boundaries."""
-    word = "[A-Za-z0-9_]"
-    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
-    return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(f"{edge}[a-zA-Z_][a-zA-Z0-9_]*{edge}"), F.lit(0)))
+    # greedy, so a word's end needs no test of its own
+    return F.array_distinct(F.regexp_extract_all(_c(text), F.lit("(?<![A-Za-z0-9_])[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0)))
 
 
 def strip_quotes(text: Column | str) -> Column:
