@@ -5,12 +5,13 @@ element.  For every root-to-leaf path, text length and punctuation are summed
 and divided by the number of its blocks; both ratios are smoothed along the
 page by a Gaussian, fused (length times one plus punctuation, less what is link
 text), and paths whose fused value reaches ``THRESHOLD`` standard deviations
-are content.  The deepest element that holds ``SHARE`` of the content paths'
-text is the article: all its blocks count, short paragraphs and headings too,
-but for lists of links.  Elements that say what they are - menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts - by tag, role,
-class or id never count; if there is an ``article`` or ``main``, only what it
-holds is considered, and a single ``article`` is taken as the article.
+are content.  The deepest element that holds ``SHARE`` of their text, or an
+``article`` around it, is the home: all its blocks count, short paragraphs and
+headings too, but for lists of links and for an ``article`` without content
+(teasers).  So does every container beside it with content whose ratios reach
+the threshold unsmoothed as well, so that no neighbour's text lifts it.
+Elements that say what they are - menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts - by tag, role, class or id never count.
 
 Tags needn't be closed or well-formed.  Defined results: null or empty html, or
 a page without content, gives the empty text; an unfinished tag, comment or
@@ -233,10 +234,6 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 def content(found: list[Piece]) -> list[Piece]:
     """The blocks of the article."""
-    for scope in ([p for p in found if p.article], [p for p in found if p.story]):
-        if scope:
-            found = scope
-            break
     if not found:
         return found
     paths = {p: i for i, p in enumerate(dict.fromkeys(x.path for x in found))}
@@ -251,6 +248,7 @@ def content(found: list[Piece]) -> list[Piece]:
     fused = _smooth(ratio) * (1 + _smooth(mark)) * (1 - link[at])
     per_path = np.bincount(at, fused) / count
     chosen = per_path[at] >= THRESHOLD * per_path[at].std()
+    plain = ratio * (1 + mark) * (1 - link[at]) >= THRESHOLD * per_path[at].std()
     if not chosen.any():
         chosen[:] = True
     # The deepest element with most of the chosen text.
@@ -263,11 +261,19 @@ def content(found: list[Piece]) -> list[Piece]:
                 depth[e] = d
     total = float(length[chosen].sum())
     home = max((e for e in held if held[e] >= SHARE * total), key=lambda e: depth[e])
-    if len({x.article for x in found}) == 1 and found[0].article:
-        home = found[0].article
+    trail = next(x.inside[: x.inside.index(home) + 1] for x in found if home in x.inside)
+    for x in found:
+        if home in x.inside and x.article and x.article in trail:
+            trail = trail[: trail.index(x.article) + 1]
+            home = x.article
+            break
+    chosen &= plain | np.array([home in x.inside for x in found])
+    # Containers beside it that hold chosen text; one around it would bring in all the page.
+    homes = {home} | {x.inside[-1] for x, c in zip(found, chosen) if c} - set(trail)
+    stories = {x.article for x, c in zip(found, chosen) if c} | {home, 0}
     short = np.bincount(at, length) / count < 40
     menu = (link > LINKS) & short & (count >= 3)
-    return [x for x, a in zip(found, at) if home in x.inside and not menu[a]]
+    return [x for x, a, c in zip(found, at, chosen) if (c or not homes.isdisjoint(x.inside) and x.article in stories) and not menu[a]]
 
 
 def main_text(html: str | None) -> str:

@@ -53,6 +53,25 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+CARDS = "".join(f"<article class='card'><h3>Other story {i}</h3><p>A line about it.</p></article>" for i in range(3))
+LONG = ["One long paragraph of the story, with clauses, commas, and stops. It goes on for a while, as such things do; then it ends.", "And another one, which follows the first, says more of the same, and is about as long. It ends here, more or less, too."]
+Q = "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<main><div class='story'><h1>Title</h1>{Q}</div><div class='more'>{CARDS}</div></main>", ["Title", *LONG]),
+        (f"<div class='story'><h1>Title</h1>{Q}</div>{CARDS}", ["Title", *LONG]),
+        (f"<div class='story'><h1>Title</h1>{Q}</div><article class='card'><h3>Other story</h3><p>A line about it.</p></article>", ["Title", *LONG]),
+        (f"<div><div class='a'><h1>Title</h1>{Q * 6}</div><div class='b'><h2>Part</h2><p>{LONG[0]}</p></div></div><div class='foot'>Small print</div>", ["Title", *LONG * 6, "Part", LONG[0]]),
+        (f"<article><h1>Title</h1><div class='x'>{Q}</div></article><div class='y'>Elsewhere</div>", ["Title", *LONG]),
+    ],
+)
+def test_paths_choose_the_story(body, want):
+    assert main_text(page(MENU + body + FOOT)) == " ".join(want)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", page(f"<article>{P}</article>"), "clash"), (1, "u", page(f"<article>{P}</article>"), "clash"), (2, None, None, None), (None, "x", "<p>" * 5000 + "deep" + "x" * 200_000, "t")]
     got = collections.Counter(tuple(r) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
