@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
 A text's blocks are its windows of ``BLOCK_WORDS`` words, one every half
-window.  A template is found in a block when the block holds at least
+window; longer templates get longer windows, whose half holds the longest one
+and as many more words as the threshold lets it lack.  A template is found in a block when the block holds at least
 ``THRESHOLD`` of its distinct words.  Words are ordered by how often they occur
 in all texts, rarest first (one pass counts the templates' words); only blocks
 that hold one of a template's first ``size - needed + 1`` words can match, so
@@ -11,6 +12,10 @@ enough, are dropped (length and positional filter); the overlap of the rest is
 counted exactly.  Templates are a bounded table that every task gets; nothing
 else is shuffled or broadcast.
 
+At ``THRESHOLD`` the templates here must be whole but for one word of the
+longest; ``scan`` takes whole notices and a lower threshold, which finds edited
+ones.
+
 Phrases, found word by word, give labels of their own, with all their places.
 
 Defined results: null and empty text has no words, no labels (empty strings),
@@ -34,7 +39,7 @@ BLOCK_WORDS = 64
 STRIDE = BLOCK_WORDS // 2
 THRESHOLD = 0.95
 
-#: Notices of at most ``STRIDE`` words, so that each lies whole within some block.
+#: Notices of at most ``STRIDE`` words, for which blocks of ``BLOCK_WORDS`` words do.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License",
@@ -87,8 +92,8 @@ class Index:
 
     def __init__(self, templates: dict[str, tuple[str, ...]], phrases: dict[str, str], threshold: float = THRESHOLD):
         flat = [(label, list(dict.fromkeys(_hashed(t)))) for label, ts in templates.items() for t in ts]
-        if any(len(_hashed(t)) > STRIDE for ts in templates.values() for t in ts):
-            raise ValueError(f"a template has more than {STRIDE} words")
+        longest = max((len(_hashed(t)) for ts in templates.values() for t in ts), default=0)
+        self.stride = max(STRIDE, math.ceil(longest / threshold - 1e-9))
         spoken = [(label, _hashed(p)) for p, label in phrases.items()]
         self.words = np.unique(np.array([h for _, hs in [*flat, *spoken] for h in hs], np.uint64))
         number = {h: i for i, h in enumerate(self.words.tolist())}
@@ -130,12 +135,12 @@ def find_templates(ix: Index, row: np.ndarray, nth: np.ndarray, word: np.ndarray
         return none
 
     def blocks(r, p):
-        later = p // STRIDE
+        later = p // ix.stride
         early = later > 0
         return np.concatenate([r, r[early]]), np.concatenate([later, later[early] - 1]), early
 
     r, b, _ = blocks(row[first], nth[first])
-    width = int(nth.max()) // STRIDE + 2
+    width = int(nth.max()) // ix.stride + 2
     wanted = np.unique(r * width + b)
     near = np.isin(row, wanted // width)
     r, b, early = blocks(row[near], nth[near])

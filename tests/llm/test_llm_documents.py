@@ -152,6 +152,30 @@ def test_license_scan(docs, rows):
     assert any("mit" in k[6] for k in want) and any("apache-2.0" in k[6] for k in want)
 
 
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in
+the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and or sell copies"""
+APACHE = """Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at
+apache org. Unless required by applicable law or agreed to in writing, software distributed under it is distributed on an as is basis, without warranties of any kind"""
+
+
+def test_license_whole_notices_edited(spark):
+    """Whole notices, longer than half a block, are found with words changed, left out or put in, wherever they stand."""
+    r = random.Random(8)
+    noise = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    edits = {"mit": [GRANT, GRANT.replace("software", "program"), GRANT.replace("hereby", "now indeed").replace("free of charge", "at no cost")], "apache-2.0": [APACHE.replace("Version ", ""), APACHE.replace("obtain a copy", "get one")]}
+    far = " ".join(w for i, w in enumerate(GRANT.split()) if i % 2)
+    rows, want = [(0, noise(40) + " " + far + " " + noise(9))], {0: ""}
+    for label, texts in edits.items():
+        for t in texts:
+            for before in (0, 1, 31, 47, 64, 95, 130):
+                want[len(rows)] = label
+                rows.append((len(rows), f"{noise(before)} {t} {noise(50)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in scan(df, {"mit": (GRANT,), "apache-2.0": (APACHE,)}, {}, threshold=0.8).collect()}
+    assert {i: x.labels for i, x in got.items()} == want
+    assert any(0.8 <= x.score < 1 for x in got.values())
+
+
 def test_license_empty(empty):
     assert scan(empty).collect() == []
 
