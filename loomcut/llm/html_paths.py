@@ -13,7 +13,8 @@ the threshold unsmoothed as well, so that no neighbour's text lifts it.
 Elements that say what they are - menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts - by tag, role, class or id never count.
 
-Tags needn't be closed or well-formed.  Defined results: null or empty html, or
+Tags needn't be closed or well-formed; a quote that isn't a value's delimiter
+ends nothing.  Defined results: null or empty html, or
 a page without content, gives the empty text; an unfinished tag, comment or
 script at the end is dropped; repeated rows are extracted alike; an empty table
 gives no rows.
@@ -36,7 +37,9 @@ THRESHOLD = 0.8
 SHARE = 0.9
 LINKS = 0.8
 
-_TOKEN = re.compile(r"<!--.*?--!?>|<!(?!--)[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Quotes delimit a value only directly after "="; anywhere else they are characters like others.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>)|<!(?!--)[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>", re.S)
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)?([^>]*+)>")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -158,11 +161,13 @@ def pieces(html: str) -> list[Piece]:
             add(html[pos:lt])
         m = _TOKEN.match(html, lt)
         if not m:
-            if html.startswith("<!--", lt) or re.match(r"<[a-zA-Z/!?]", html[lt : lt + 2]):
+            if not re.match(r"<[a-zA-Z/!?]", html[lt : lt + 2]):
+                add("<")
+                pos = lt + 1
+                continue
+            m = None if html.startswith("<!--", lt) else _BROKEN.match(html, lt)  # it ends at the next ">", whatever its quotes
+            if not m:
                 break  # unfinished
-            add("<")
-            pos = lt + 1
-            continue
         pos = m.end()
         if m.group(2) is None:
             continue

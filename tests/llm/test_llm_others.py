@@ -72,6 +72,22 @@ def test_paths_choose_the_story(body, want):
     assert main_text(page(MENU + body + FOOT)) == " ".join(want)
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<p title=it's>Hello world</p><p>more text</p>", "Hello world more text"),
+        ("<p title=it's>Hello world, it's fine</p><p>more text</p>", "Hello world, it's fine more text"),
+        ("<p it's>Hello</p><p class=a\"b>more</p>", "Hello more"),
+        ("<p title='a > b' id = \"c>d\">Hello</p><p a=b='c'>more</p>", "Hello more"),
+        ("<p title=\"open>Hello</p><p>more text</p>", "Hello more text"),
+        ("<p>one</ >two</3>three</p><p>four</p>", "onetwothree four"),
+        ("<p>one</p><!--><p>two</p><p title='x", "one two"),
+    ],
+)
+def test_quotes_do_not_cut_the_page(html, want):
+    assert main_text(html) == want
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", page(f"<article>{P}</article>"), "clash"), (1, "u", page(f"<article>{P}</article>"), "clash"), (2, None, None, None), (None, "x", "<p>" * 5000 + "deep" + "x" * 200_000, "t")]
     got = collections.Counter(tuple(r) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
