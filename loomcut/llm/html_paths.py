@@ -11,7 +11,16 @@ headings too, but for lists of links and for an ``article`` without content
 (teasers).  So does every container beside it with content whose ratios reach
 the threshold unsmoothed as well, so that no neighbour's text lifts it.
 Elements that say what they are - menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts - by tag, role, class or id never count.
+adverts, forms, comments, scripts - by tag or role never count.
+
+A class or id only hints.  A name's words up to the telling one ("widget",
+"layout-sidebar-") are taken together over the page: if what bears them holds
+``MOST`` of the text that may count, they name a part of the layout and tell
+nothing.  Otherwise menus, sidebars and the like have their paths' value
+multiplied by ``PENALTY`` and count only where it still reaches the threshold;
+adverts, comments and cookie notices are left out; those exempt from that hold
+``LEAST_CHARS`` characters at least and, where no word follows the telling one,
+``SHARE`` of the text.
 
 Tags needn't be closed or well-formed; a quote that isn't a value's delimiter
 ends nothing.  Defined results: null or empty html, or
@@ -36,6 +45,9 @@ from . import textbuf as tb
 THRESHOLD = 0.8
 SHARE = 0.9
 LINKS = 0.8
+MOST = 0.5
+PENALTY = 0.25
+LEAST_CHARS = 200
 
 #: Quotes delimit a value only directly after "="; anywhere else they are characters like others.
 _TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>)|<!(?!--)[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>", re.S)
@@ -55,9 +67,11 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption c
 _CLOSES_P = BLOCK - {"body", "head", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "dd", "dt"} | {"p"}
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
-_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert alerts notification popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social comment comments respond reply replies disqus discussion related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager login search copyright skip".split()
+_FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup newsletter subscribe subscription signup comment comments respond reply replies disqus related recommended recommendations".split()
+)
+_PARTS = frozenset(
+    "banner banners notice notices alert alerts notification modal overlay share sharing social discussion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager login search copyright skip".split()
 )
 _SCOPED = frozenset(("header", "headers", "topbar"))
 _COMMENTS = frozenset("comment comments reply replies respond ad ads advert sponsored promo related".split())
@@ -68,6 +82,7 @@ class _Element:
     tag: str
     label: str
     out: bool  # it or an ancestor never counts
+    hints: frozenset[tuple[bool, str]]  # its and its ancestors'
     story: bool  # inside an article or main
     article: int  # the outermost article around it, or 0
     link: bool
@@ -83,6 +98,7 @@ class Piece:
     inside: tuple[int, ...]  # elements around it that hold other blocks too
     story: bool
     article: int
+    hints: frozenset[tuple[bool, str]] = frozenset()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -92,12 +108,22 @@ class Piece:
 _ELSEWHERE = frozenset("has with no without not is js allow enable supports".split())
 
 
-def _names(attrs: dict[str, str]) -> set[str]:
-    out: set[str] = set()
+def _hints(tag: str, attrs: dict[str, str], story: bool) -> set[tuple[bool, str]]:
+    """What class and id hint at: whether it is foreign to any story, and the words that say so."""
+    out: set[tuple[bool, str]] = set()
+    if tag in ("html", "body", "main"):
+        return out
     for item in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in _WORDS.findall(item)]
-        if words and words[0] not in _ELSEWHERE:
-            out.update(words)
+        if not words or words[0] in _ELSEWHERE:
+            continue
+        for i, w in enumerate(words):
+            if tag == "article":
+                if w in _COMMENTS and (story or len(words) == 1):
+                    out.add((True, w))
+            elif w in _FOREIGN or w in _PARTS or (not story and w in _SCOPED):
+                out.add((w in _FOREIGN, "-".join(words[: i + 1]) + ("-" if words[i + 1 :] else "")))
+                break
     return out
 
 
@@ -108,17 +134,12 @@ def _never(tag: str, attrs: dict[str, str], story: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    if attrs.get("role", "").lower() in _ROLES:
-        return True
-    names = _names(attrs)
-    if tag == "article":
-        return bool(names & _COMMENTS) and (story or not names - _COMMENTS)
-    return bool(names & _NAMES) or (not story and bool(names & _SCOPED))
+    return attrs.get("role", "").lower() in _ROLES
 
 
 def pieces(html: str) -> list[Piece]:
     """Blocks of the page that may count, in page order."""
-    stack = [_Element("", "", False, False, 0, False, 0, (0,))]
+    stack = [_Element("", "", False, frozenset(), False, 0, False, 0, (0,))]
     found: list[Piece] = []
     now: Piece | None = None
     number = 0
@@ -142,7 +163,7 @@ def pieces(html: str) -> list[Piece]:
                 return
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
             own = stack[k]
-            now = Piece("/".join(e.label for e in stack[1 : k + 1]), own.up[:-1] if own.tag in LEAF else own.up, own.story, own.article)
+            now = Piece("/".join(e.label for e in stack[1 : k + 1]), own.up[:-1] if own.tag in LEAF else own.up, own.story, own.article, own.hints)
         now.parts.append(s)
         if top.link:
             now.linked += len(s.strip())
@@ -210,6 +231,7 @@ def pieces(html: str) -> list[Piece]:
         number += 1
         story = top.story or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         out = top.out or _never(tag, attrs, top.story)
+        hints = top.hints | _hints(tag, attrs, top.story) if attrs else top.hints
         article = top.article or (number if tag == "article" or attrs.get("role", "").lower() == "article" else 0)
         label = tag
         if tag in ("div", "section", "ul", "ol", "table", "td"):
@@ -224,7 +246,7 @@ def pieces(html: str) -> list[Piece]:
         if tag == "plaintext":
             add(html[pos:])
             break
-        stack.append(_Element(tag, label, out, story and not out, article, top.link or tag == "a", number, (*top.up, number)))
+        stack.append(_Element(tag, label, out, hints, story and not out, article, top.link or tag == "a", number, (*top.up, number)))
     flush()
     return found
 
@@ -237,8 +259,21 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(pad, k / k.sum(), mode="valid")
 
 
+def _weighed(found: list[Piece]) -> tuple[list[Piece], np.ndarray]:
+    """The blocks that hints don't leave out, and whether the rest of the hints hold for each."""
+    held: dict[tuple[bool, str], int] = {}
+    for x in found:
+        for h in x.hints:
+            held[h] = held.get(h, 0) + len(x.text)
+    total = sum(len(x.text) for x in found)
+    told = {h for h, n in held.items() if (n < LEAST_CHARS and h[0]) or n < (SHARE if h[0] and h[1][-1] != "-" else MOST) * total}
+    found = [x for x in found if not any(h[0] and h in told for h in x.hints)]
+    return found, np.array([not told.isdisjoint(x.hints) for x in found], bool)
+
+
 def content(found: list[Piece]) -> list[Piece]:
     """The blocks of the article."""
+    found, hinted = _weighed(found)
     if not found:
         return found
     paths = {p: i for i, p in enumerate(dict.fromkeys(x.path for x in found))}
@@ -250,10 +285,10 @@ def content(found: list[Piece]) -> list[Piece]:
     ratio = (np.bincount(at, length) / count)[at]
     mark = (np.bincount(at, punct) / count)[at]
     link = np.bincount(at, linked) / np.bincount(at, length)
-    fused = _smooth(ratio) * (1 + _smooth(mark)) * (1 - link[at])
+    fused = _smooth(ratio) * (1 + _smooth(mark)) * (1 - link[at]) * np.where(hinted, PENALTY, 1)
     per_path = np.bincount(at, fused) / count
     chosen = per_path[at] >= THRESHOLD * per_path[at].std()
-    plain = ratio * (1 + mark) * (1 - link[at]) >= THRESHOLD * per_path[at].std()
+    plain = ratio * (1 + mark) * (1 - link[at]) * np.where(hinted, PENALTY, 1) >= THRESHOLD * per_path[at].std()
     if not chosen.any():
         chosen[:] = True
     # The deepest element with most of the chosen text.
@@ -278,7 +313,7 @@ def content(found: list[Piece]) -> list[Piece]:
     stories = {x.article for x, c in zip(found, chosen) if c} | {home, 0}
     short = np.bincount(at, length) / count < 40
     menu = (link > LINKS) & short & (count >= 3)
-    return [x for x, a, c in zip(found, at, chosen) if (c or not homes.isdisjoint(x.inside) and x.article in stories) and not menu[a]]
+    return [x for x, a, c, h in zip(found, at, chosen, hinted) if (c or not h and not homes.isdisjoint(x.inside) and x.article in stories) and not menu[a]]
 
 
 def main_text(html: str | None) -> str:

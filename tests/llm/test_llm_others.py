@@ -88,6 +88,25 @@ def test_quotes_do_not_cut_the_page(html, want):
     assert main_text(html) == want
 
 
+SIDE = "<div class='sidebar'><p>Other things, of no interest.</p></div>"
+NICE = "<div id='comments'><p>Nice post, thanks a lot for writing it, really!</p></div>"
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div class='elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'><h1>Title</h1>{Q}</div></div>", ["Title", *LONG]),
+        ("".join(f"<div class='elementor-widget-container'><p>{p}</p></div>" for p in LONG * 3), LONG * 3),
+        (f"<div class='layout-sidebar-right'><div class='x'><h1>Title</h1>{Q}</div>{SIDE}</div>{NICE}", ["Title", *LONG]),
+        (f"<article><div class='social-content'><h1>Title</h1>{Q}</div>{SIDE}</article>", ["Title", *LONG]),
+        (f"<div class='comments-enabled'><div class='x'><h1>Title</h1>{Q}</div>{SIDE}</div>{NICE}", ["Title", *LONG]),
+        (f"<div class='x'><h1>Title</h1>{Q}</div><div class='footer-top'>{Q}</div>{SIDE}", ["Title", *LONG]),
+    ],
+)
+def test_names_only_hint(body, want):
+    assert main_text(page(MENU + body + FOOT)) == " ".join(want)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", page(f"<article>{P}</article>"), "clash"), (1, "u", page(f"<article>{P}</article>"), "clash"), (2, None, None, None), (None, "x", "<p>" * 5000 + "deep" + "x" * 200_000, "t")]
     got = collections.Counter(tuple(r) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
