@@ -42,6 +42,10 @@ MARGIN = 50
 COLUMNS = 16
 #: Strictness of the test: a true neighbour is abandoned with a chance that falls with its square.
 EPSILON = 2.1
+#: What rounding may do to a squared distance, as a share of the squared norm; copies of a vector stay within it.
+SLACK = 1e-12
+#: Pairs that are scored at once.
+PAIRS = 1 << 15
 #: Most rows and most queries of a list that meet in one group.
 PART_ROWS = 8192
 PART_QUERIES = 8192
@@ -122,14 +126,15 @@ def scan(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndar
     mine = own[:, None] == np.arange(head)
     d[mine] = np.inf
     limit = np.partition(d, min(k, head) - 1, 1)[:, min(k, head) - 1]
-    qi, xi = np.nonzero((d <= limit[:, None] * (1 + 1e-9)) & ~mine)
+    slack = SLACK * (q * q).sum(1)
+    qi, xi = np.nonzero((d <= (limit * (1 + 1e-9) + slack)[:, None]) & ~mine)
     if head == n:
         return qi, xi
     found = [(qi, xi)]
     block = x[head:]
     c = min(COLUMNS, dim)
     part = _squared(q[:, :c], block[:, :c])
-    bound = lambda c: limit * (c / dim) * (1 + EPSILON / np.sqrt(c)) ** 2 if c < dim else limit * (1 + 1e-9)
+    bound = lambda c: slack + limit * ((c / dim) * (1 + EPSILON / np.sqrt(c)) ** 2 if c < dim else 1 + 1e-9)
     qi, xi = np.nonzero(part <= bound(c)[:, None])
     part = part[qi, xi]
     while c < dim:
@@ -148,7 +153,7 @@ def scan(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndar
     qi, xi, part = qi[order], xi[order], part[order]
     first = np.searchsorted(qi, np.arange(nq))
     last = np.minimum(first[qi] + k - 1, np.searchsorted(qi, qi, side="right") - 1)
-    keep = part <= part[last] * (1 + 1e-9)
+    keep = part <= part[last] * (1 + 1e-9) + slack[qi]
     found.append((qi[keep], xi[keep]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
@@ -228,17 +233,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
         own = np.where(xuid[order[at]] == quid, order[at], -1)
         got = []
         rq, rx = s.queries(q), s.rows(x)
+        ids = right.column("vec_id").to_numpy()
         for i in range(0, len(q), 256):
-            a, b = scan(rq[i : i + 256], rx, k, own[i : i + 256])
-            got.append((a + i, b))
-        qi, xi = (np.concatenate([g[j] for g in got]) for j in range(2))
-        score = (q[qi] * x[xi]).sum(1)
-        xid = right.column("vec_id").to_numpy()[xi]
-        best = np.lexsort((xid, -score, qi))
-        qi, xi, score, xid = qi[best], xi[best], score[best], xid[best]
-        nth = np.arange(qi.size) - np.searchsorted(qi, qi)
-        keep = nth < k
-        return pa.table({"quid": quid[qi][keep], "query_id": left.column("vec_id").to_numpy()[qi][keep], "vec_id": xid[keep], "score": score[keep]})
+            qi, xi = scan(rq[i : i + 256], rx, k, own[i : i + 256])
+            qi = qi + i
+            # by parts, since all copies of a vector are here
+            score = np.concatenate([np.zeros(0), *((q[qi[j : j + PAIRS]] * x[xi[j : j + PAIRS]]).sum(1) for j in range(0, qi.size, PAIRS))])
+            best = np.lexsort((ids[xi], -score, qi))
+            qi, xi, score = qi[best], xi[best], score[best]
+            keep = np.arange(qi.size) - np.searchsorted(qi, qi) < k
+            got.append((qi[keep], xi[keep], score[keep]))
+        qi, xi, score = (np.concatenate([g[j] for g in got]) for j in range(3))
+        return pa.table({"quid": quid[qi], "query_id": left.column("vec_id").to_numpy()[qi], "vec_id": ids[xi], "score": score})
 
     keys = ["list", "part", "q_part"]
     met = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, "quid long, query_id long, vec_id long, score double")

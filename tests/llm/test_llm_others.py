@@ -227,6 +227,31 @@ def test_scan_keeps_true_neighbours():
     assert np.mean([(i, j) in found for i, t in enumerate(true.tolist()) for j in t]) > 0.98
 
 
+def test_copies_of_a_query_all_stay(spark):
+    """Of a list full of copies those with the smallest ids are found, wherever they stand."""
+    lost = 0
+    for seed in range(24):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_normal((3000, 64)).astype(np.float32).astype(float)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        x = x.astype(np.float32).astype(float)
+        copies = np.sort(rng.permutation(3000)[:1500])
+        x[copies] = x[copies[0]]
+        space = ann_scan.Space(64, float((x * x).sum(1).max()), np.zeros((1, 65)), 1)
+        qi, xi = ann_scan.scan(space.queries(x[copies[:20]]), space.rows(x), 20, copies[:20])
+        lost += sum(len(np.setdiff1d(np.delete(copies, n), xi[qi == n])) for n in range(20))
+    assert lost == 0
+    order = rng.permutation(3000).tolist()
+    rows = [(i, v.tolist()) for i, v in zip(order, x)]
+    ids = sorted(order[c] for c in copies)
+    got = collections.defaultdict(list)
+    for r in ann_scan.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i in ids:
+        if i % 20 == 0:
+            assert got[i] == [j for j in ids if j != i][:20]
+
+
 # shared
 
 
