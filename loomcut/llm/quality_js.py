@@ -7,8 +7,9 @@ document is compared with its language's references by Jensen-Shannon distance
 (base 2, so from 0 to 1) and rejected when either exceeds a limit that is
 wider for short texts, whose histograms scatter: ``limit + slack /
 sqrt(words)``.  Guards: a text under ``LEAST_WORDS`` words, or a language under
-``LEAST_REFERENCE`` words or ``LEAST_SHARE`` of all words (which bounds the
-references that are broadcast), isn't judged by the distances.
+``LEAST_REFERENCE`` words, isn't judged by the distances.  The references of
+the ``BROADCAST`` languages with most words are broadcast; those of all others,
+none of which is hot, are joined to their documents by language.
 
 Before that come fixed rules: a text fails with fewer than 20 words, or when
 more than 30 % of its words lie in 8-word windows found twice or more.
@@ -20,8 +21,9 @@ rows.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from .rowwise import keep_where
 COMMON = 64
 LEAST_WORDS = 20
 LEAST_REFERENCE = 5000
-LEAST_SHARE = 1e-4
+BROADCAST = 1024
 CHAR_LIMIT, CHAR_SLACK = 0.14, 1.2
 WORD_LIMIT, WORD_SLACK = 0.20, 2.5
 WINDOW = 8
@@ -142,35 +144,67 @@ class References:
         return np.where(self.keys[at] == k, self.bins[at], COMMON)
 
 
-def references(docs: DataFrame) -> References:
-    from .runtime import cut
-
-    counts = cut(counts_by_language(docs), "words-by-language")
-    totals = counts.groupBy("lang", "kind").agg(F.sum("c").alias("n"))
-    everything = totals.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    known = totals.where((F.col("kind") == 1) & (F.col("n") >= max(LEAST_REFERENCE, LEAST_SHARE * everything)))
-    total = {r.lang: r.n for r in known.collect()}
-    names = sorted(total)
-    small = counts.join(F.broadcast(known.select("lang")), "lang", "left_semi")
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "h")
-    rows = small.withColumn("r", F.row_number().over(best)).where(f"r <= {COMMON}").collect()
-    index = {n: i for i, n in enumerate(names)}
+def _from_counts(counts: dict[str, list[tuple[int, int, int, int, int]]]) -> References:
+    """References of languages by their ``(n, kind, r, h, c)``: words in all, and a class or word of rank ``r`` with its count."""
+    names = sorted(counts)
     chars, shares = np.zeros((len(names), CLASSES - 1)), np.zeros((len(names), COMMON + 1))
     keys, bins = [], []
-    for r in rows:
-        i = index[r.lang]
-        if r.kind == 0:
-            chars[i, r.h] = r.c
-        else:
-            shares[i, r.r - 1] = r.c
-            keys.append(References.key(np.array([r.h]).view(np.uint64), np.array([i]))[0])
-            bins.append(r.r - 1)
-    for i, n in enumerate(names):
-        shares[i, COMMON] = total[n] - shares[i].sum()
+    for i, name in enumerate(names):
+        for n, kind, r, h, c in counts[name]:
+            if kind == 0:
+                chars[i, h] = c
+            else:
+                shares[i, r - 1] = c
+                keys.append(References.key(np.array([h]).view(np.uint64), np.array([i]))[0])
+                bins.append(r - 1)
+        shares[i, COMMON] = n - shares[i].sum()
     norm = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
     return References(names, norm(chars), np.array(keys, np.uint64), np.array(bins, np.int64), norm(shares))
 
 
+def references(docs: DataFrame) -> tuple[References, DataFrame | None]:
+    """References of the languages with most words, and a table ``lang, counts`` of all others, if there are any."""
+    from .runtime import cut
+
+    counts = cut(counts_by_language(docs), "words-by-language")
+    totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("c").alias("n"))
+    known = cut(totals.where(F.col("n") >= LEAST_REFERENCE), "languages")
+    first = known.orderBy(F.desc("n"), "lang").limit(BROADCAST)
+    most = docs.sparkSession.createDataFrame(first.collect(), known.schema)
+    best = Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "h")
+    ranked = lambda part: part.withColumn("r", F.row_number().over(best)).where(f"r <= {COMMON}")
+    got = defaultdict(list)
+    for x in ranked(counts.join(F.broadcast(most), "lang")).collect():
+        got[x.lang].append((x.n, x.kind, x.r, x.h, x.c))
+    if known.count() <= BROADCAST:
+        return _from_counts(got), None
+    others = known.join(F.broadcast(most.select("lang")), "lang", "left_anti")
+    rest = ranked(counts.join(others, "lang")).groupBy("lang").agg(F.collect_list(F.struct("n", "kind", "r", "h", "c")).alias("counts"))
+    return _from_counts(got), cut(rest, "references")
+
+
+def _with_references(docs: DataFrame, judge: Callable[[DataFrame, Callable[[pa.RecordBatch], References]], DataFrame]) -> DataFrame:
+    """``judge`` of the documents, told how to find a batch's references; they may come with a column more."""
+    most, rest = references(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(most)
+    if rest is None:
+        return judge(docs, lambda batch: shared.value)
+    name, at = f"_lang_{uuid.uuid4().hex}", f"_counts_{uuid.uuid4().hex}"
+    rest = rest.select(F.col("lang").alias(name), F.col("counts").alias(at))
+    names = docs.sparkSession.createDataFrame([(n,) for n in most.index], f"{name} string")
+    same = F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col(name)
+
+    def own(batch: pa.RecordBatch) -> References:
+        code, langs = _langs(batch)
+        _, i = np.unique(code, return_index=True)
+        found = ((langs[code[k]], batch.column(at)[k].as_py()) for k in i.tolist())
+        return _from_counts({lang: [(c["n"], c["kind"], c["r"], c["h"], c["c"]) for c in cs] for lang, cs in found if cs is not None})
+
+    frequent = docs.join(F.broadcast(names), same, "left_semi")
+    others = docs.join(F.broadcast(names), same, "left_anti").join(rest, same, "left").drop(name)
+    return judge(frequent, lambda batch: shared.value).unionByName(judge(others, own).drop(at))
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance, base 2, of each pair of rows."""
     m = (p + q) / 2
@@ -261,19 +295,20 @@ COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_
 
 def quality(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``COLUMNS`` of every row; a distance that wasn't taken is null."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = measure(batch, refs.value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[k], from_pandas=True) for k in COLUMNS)], ["doc_id", *COLUMNS])
+    def judge(part: DataFrame, refs: Callable[[pa.RecordBatch], References]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = measure(batch, refs(batch))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[k], from_pandas=True) for k in COLUMNS)], ["doc_id", *COLUMNS])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang").mapInArrow(tb.lean(run), f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+        return part.mapInArrow(tb.lean(run), f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+
+    return _with_references(docs.select("doc_id", "text", "lang"), judge)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that ``quality`` keeps, with the columns they had."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
-    return keep_where(docs, lambda b: pa.array(measure(b, refs.value).get("kept", np.zeros(0, bool))))
+    return _with_references(docs, lambda part, refs: keep_where(part, lambda b: pa.array(measure(b, refs(b)).get("kept", np.zeros(0, bool)))))

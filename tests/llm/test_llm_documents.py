@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomcut.llm import lm_hmm, mixing, quality_js, toxicity_nb
 from loomcut.llm.dedup_minhash import near_duplicates
@@ -273,6 +274,28 @@ def test_quality_tells_junk_from_prose(spark):
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in bad)
 
 
+def test_quality_judges_rare_languages(spark, monkeypatch):
+    """A verdict doesn't depend on the table around a language, nor on whether its reference is broadcast or joined."""
+    r = random.Random(2)
+    prose = lambda n: " ".join(r.choice("the of and to in is that it was for on are with as at be this have from or".split()) if r.random() < 0.5 else "".join(r.choice("aeioustrnlm") for _ in range(r.randint(3, 8))) for _ in range(n)) + "."
+    rows = []
+    for lang in ("xx", "yy", None):
+        rows += [(len(rows) + i, prose(120), lang) for i in range(60)]
+        rows += [(len(rows) + i, " ".join(w + "&&&" for w in prose(100).split()), lang) for i in range(5)]
+    rows += [(900 + i, " ".join(w + "&&&" for w in prose(100).split()), "few") for i in range(3)]
+    schema = "doc_id long, text string, lang string"
+    small = spark.createDataFrame(rows, schema)
+    large = small.unionByName(spark.range(10_000, 10_020).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 4_500_000).alias("text"), F.lit("big").alias("lang")))
+    verdicts = lambda d: {x.doc_id: (x.kept, x.char_distance, x.word_distance) for x in quality_js.quality(d).where("doc_id < 10000").collect()}
+    want = verdicts(small)
+    assert [i for i, (kept, *_) in want.items() if not kept] == [i for i, t, lang in rows if "&&&" in t and lang != "few"]
+    assert verdicts(large) == want
+    monkeypatch.setattr(quality_js, "BROADCAST", 1)
+    assert verdicts(small) == want
+    kept = quality_js.keep_good(small)
+    assert kept.columns == small.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i, v in want.items() if v[0])
+
+
 def test_js_distance():
     p, q = np.array([[0.5, 0.5, 0], [1.0, 0, 0]]), np.array([[0.5, 0.5, 0], [0, 0, 1.0]])
     assert quality_js.js_distance(p, q).tolist() == [0, 1]
