@@ -6,10 +6,16 @@ shorter).  Sources, by code point and null last, weigh 1, 2, 3, repeating; a
 source's target is its share of all words, at most ``MOST`` times its own
 size, the excess being shared again by weight until none is above.
 
-* A source draws ``target / size`` times its number of blocks.  All draws are
-  placed on the slots of the output by one pseudorandom permutation, and
-  ``SHARD`` slots make a shard: a shard's counts of the sources are multinomial,
-  given the mix's totals, which therefore meet the targets.
+* The output is cut into shards of ``SHARD`` slots.  A shard draws its counts of
+  the sources by residual multinomial sampling: of the number that a source's
+  share of the mix lets expect, the whole part is taken, and the slots left are
+  drawn, each by itself from a seeded hash, with the fractions as probabilities.
+  So each shard's counts are random with the right means, and the mix's totals
+  come as near the targets as a few slots a shard allow; a plain multinomial
+  would miss a source of 150 blocks by 8 %.  Sources too small to expect a slot
+  in every shard are drawn by a plain multinomial.
+* A source's draws are numbered shard after shard.  A draw beyond ``MOST`` times
+  its blocks is void: chance may ask a full source for a few slots too many.
 * A source's ``k``-th draw takes, in its ``k div n``-th round through its ``n``
   blocks, the one where that round's own permutation puts ``k mod n``; so no
   block is taken more than ``MOST`` times.  Permutations are swap-or-not
@@ -19,13 +25,16 @@ size, the excess being shared again by weight until none is above.
 That join is always a merge join: before the draws are counted out, their
 plan looks small enough to broadcast, and isn't.
 
-Stream offsets are prefix sums in two steps (within hash ranges, then over
-them), so a source of any size is spread over many tasks.
+Stream offsets, the sources' numbers and their shares of a draw are prefix sums
+in two steps (within ranges, then over them), so a source of any size, and any
+number of sources, is spread over many tasks.  All that decides is summed in
+integers, so that no order of addition changes it.
 
 Defined results: null and empty text has size 0 and takes nothing; a null
 source is a source of its own, the last; a null id is an id of its own; equal
-rows lie side by side in the stream, and each is taken by itself; an empty
-table gives no rows.  Reruns agree, in whatever order the rows come.
+rows lie side by side in the stream, and each is taken by itself; a long text is
+many blocks; other columns, whatever their names, come through as they are; an
+empty table gives no rows.  Reruns agree, in whatever order the rows come.
 """
 
 from __future__ import annotations
@@ -35,6 +44,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rowwise import row_hash
 from .runtime import cut
 
 BLOCK = 64
@@ -47,6 +57,9 @@ _RANGE = 4096
 _BATCH = 4096
 #: Draws of one task, about.
 _DRAWS = 50_000
+#: Fixed-point units of a source's expected draws, and of the fraction of a slot that it expects in a shard.
+_UNIT = 1 << 20
+_FRACTION = 1 << 40
 
 
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
@@ -66,45 +79,94 @@ def sizes(docs: DataFrame) -> DataFrame:
     return seen.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("copies"))
 
 
+def _span(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """``df`` with ``name`` from 0 to ``n - 1``, in two steps so that no array is longer than ``n / _BATCH``."""
+    df = df.withColumn(name, F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _BATCH)))))
+    return df.withColumn(name, F.explode(F.sequence(F.col(name) * _BATCH, F.least((F.col(name) + 1) * _BATCH, n) - 1)))
+
+
+def _before(df: DataFrame, value: str, order: Column) -> Column:
+    """Sum of the long ``value`` over all earlier rows; ``part`` numbers stretches of ``df`` in that order.
+
+    One number for each stretch, of which there are as many as the shuffle had partitions, reaches the driver.
+    """
+    per = {r["part"]: r["n"] for r in df.groupBy("part").agg(F.sum(value).alias("n")).collect()}
+    base = [0]
+    for i in range(max(per, default=0)):
+        base.append(base[-1] + (per.get(i) or 0))
+    inside = F.sum(value).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return F.get(F.array(*[F.lit(b).cast("long") for b in base]), F.col("part")) + F.coalesce(inside, F.lit(0).cast("long"))
+
+
 def targets(sized: DataFrame) -> DataFrame:
-    """``sid, source, source_size, target, blocks, draws, first_draw`` of every source."""
-    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    per = per.withColumn("sid", F.row_number().over(order)).withColumn("weight", (F.pmod(F.col("sid") - 1, F.lit(3)) + 1).cast("double"))
-    most = (F.col("source_size") * MOST).cast("double")
-    level = Window.orderBy(most / F.col("weight"), "sid")
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    after = level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything).cast("double")
-    # With the k lowest sources full, the rest share what is left by weight; the highest such level is the right one.
-    per = per.withColumn("level", (total - F.coalesce(F.sum(most).over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    per = per.withColumn("target", F.least(most, F.max("level").over(everything) * F.col("weight")))
+    """``part, sid, source, source_size, target, blocks, rate`` of every source; ``rate``: draws it expects, times ``_UNIT``."""
+    order = F.asc_nulls_last("source")
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).cast("long").alias("source_size"))
+    per = cut(per.orderBy(order).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1).cast("long")), "mix-order")
+    per = per.withColumn("sid", _before(per, "one", order) + 1)
+    per = per.withColumn("weight", F.pmod(F.col("sid") - 1, F.lit(3)) + 1)
+    most = F.col("source_size") * MOST
+    # Sources that their share fills are full; what is left is shared by weight among the others, until none is filled anew.
+    level, full = 0.0, -1
+    while True:
+        over = most <= F.lit(level) * F.col("weight")
+        x = per.agg(F.count_if(over).alias("n"), F.sum(F.when(over, most)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.sum("source_size").alias("total")).first()
+        if x["n"] == full or not x["weight"]:
+            break
+        full, level = x["n"], (x["total"] - (x["full"] or 0)) / x["weight"]
+    target = F.least(most.cast("double"), F.lit(level) * F.col("weight")) if full >= 0 else most.cast("double")
     blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
-    per = per.withColumn("blocks", blocks)
-    draws = F.when(F.col("blocks") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + 0.5), F.col("blocks") * MOST)).otherwise(0)
-    per = per.withColumn("draws", draws.cast("long"))
-    first = F.coalesce(F.sum("draws").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = F.sum("draws").over(everything)
-    return per.withColumn("first_draw", first).withColumn("slots", slots).select("sid", "source", "source_size", "target", "blocks", "draws", "first_draw", "slots")
-
-
-def draw(sources: DataFrame) -> DataFrame:
-    """``sid, block, round, slot, shard`` of every draw."""
-    part = sources.where("draws > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / _BATCH))))
-    n = sources.agg(F.max("slots")).first()[0] or 0
+    per = per.withColumn("target", target).withColumn("blocks", blocks)
+    rate = F.when(F.col("blocks") > 0, F.floor(F.col("target") / F.col("source_size") * F.col("blocks") * _UNIT)).otherwise(0)
+    return per.select("part", "sid", "source", "source_size", "target", "blocks", rate.cast("long").alias("rate"))
+
+
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """``shard, sid, blocks, n, first, drawn``: how many slots of a shard a source takes, and which of its draws is the first.
+
+    A pair of shard and source may have two rows: of the whole part of its
+    expected number, and of the slots ``drawn`` besides.
+    """
+    spark = sources.sparkSession
+    expected = (sources.agg(F.sum("rate")).first()[0] or 0) / _UNIT
+    if not round(expected):
+        return spark.range(0).select(*[F.col("id").alias(c) for c in ("shard", "sid", "blocks", "n", "first")], F.lit(False).alias("drawn"))
+    shards = max(1, math.ceil(expected / SHARD))
+    size = max(1, round(expected / shards))
+    each = F.col("rate") / F.lit(float(_UNIT * shards))
+    shares = sources.withColumn("whole", F.floor(each)).withColumn("fraction", F.round((each - F.floor(each)) * _FRACTION).cast("long"))
+    shares = cut(shares.select("part", "sid", "blocks", "whole", "fraction"), "mix-shares")
+    sums = shares.agg(F.sum("whole").alias("whole"), F.sum("fraction").alias("fraction"), F.count("*").alias("n")).first()
+    fixed = _span(shares.where("whole > 0"), F.lit(shards).cast("long"), "shard")
+    fixed = fixed.select("shard", "sid", "blocks", F.col("whole").alias("n"), (F.col("shard") * F.col("whole")).alias("first"), F.lit(False).alias("drawn"))
+    left = size - sums["whole"]
+    if left <= 0 or not sums["fraction"]:
+        return fixed
+    # A draw meets the source whose stretch of 0..fraction it falls in, by equal buckets of about one source each.
+    step = max(1, -(-sums["fraction"] // sums["n"]))
+    low = shares.withColumn("low", _before(shares, "fraction", F.col("sid"))).where("fraction > 0")
+    low = low.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor((F.col("low") + F.col("fraction") - 1) / step))))
+    draws = spark.range(0, shards, 1, max(1, min(10_000, shards * left // _DRAWS))).select(F.col("id").alias("shard"))
+    draws = _span(draws, F.lit(left).cast("long"), "slot").withColumn("u", F.pmod(F.xxhash64(F.lit("source"), "shard", "slot"), F.lit(sums["fraction"])))
+    met = draws.withColumn("bucket", F.floor(F.col("u") / step)).join(low, "bucket").where("u >= low and u < low + fraction")
+    drawn = cut(met.groupBy("shard", "sid", "blocks", "whole").agg(F.count("*").alias("n")), "mix-drawn")
+    drawn = drawn.withColumn("range", F.floor(F.col("shard") / _BATCH))
+    so_far = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = drawn.groupBy("sid", "range").agg(F.sum("n").alias("n")).select("sid", "range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("so_far"))
+    inside = Window.partitionBy("sid", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("whole") * shards + F.col("so_far") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return fixed.unionByName(drawn.join(ranges, ["sid", "range"]).select("shard", "sid", "blocks", "n", first.alias("first"), F.lit(True).alias("drawn")))
+
+
+def draw(counts: DataFrame) -> DataFrame:
+    """``shard, sid, block, round, k`` of every draw that ``counts`` asks for; ``k``: its number among the source's."""
+    n = counts.agg(F.sum("n")).first()[0] or 0
     # a stated number, since the few rows here become many
-    part = part.repartition(max(1, min(10_000, n // _DRAWS)), F.xxhash64("sid", "part"))
-    low = F.col("part") * _BATCH
-    each = part.withColumn("k", F.explode(F.sequence(low, F.least(low + _BATCH, F.col("draws")) - 1)))
-    round_ = F.floor(F.col("k") / F.col("blocks"))
-    slot = permuted(F.col("first_draw") + F.col("k"), F.col("slots"), F.lit("slot"))
-    return (
-        each.withColumn("round", round_)
-        .withColumn("block", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit("block"), F.col("sid"), F.col("round")))
-        .withColumn("slot", slot)
-        .select("sid", "block", "round", "slot", F.floor(F.col("slot") / SHARD).alias("shard"))
-    )
+    each = counts.repartition(max(1, min(10_000, n // _DRAWS)), F.xxhash64("shard", "sid", "drawn"))
+    each = each.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).where(F.col("k") < F.col("blocks") * MOST)
+    each = each.withColumn("round", F.floor(F.col("k") / F.col("blocks")))
+    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit("block"), F.col("sid"), F.col("round"))
+    return each.select("shard", "sid", block.alias("block"), "round", "k")
 
 
 def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -126,7 +188,7 @@ def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     ranges = ranges.select("sid", "range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "range").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("inner", F.coalesce(F.sum(whole).over(inside), F.lit(0))).join(ranges, ["sid", "range"])
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = _span(placed, F.col("copies"), "copy")
     placed = placed.withColumn("at", F.col("base") + F.col("inner") + F.col("copy") * F.col("size"))
     first, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK)
     placed = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
@@ -139,13 +201,17 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources, pieces of blocks, and draws of ``docs``."""
     sized = cut(sizes(docs), "mix-sizes")
     sources = cut(targets(sized), "mix-sources")
-    return sources, packed(sized, sources), draw(sources)
+    return sources, packed(sized, sources), draw(cut(shard_counts(sources), "mix-counts"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: ``shard, slot, source, doc_id, text_hash, copy, round, start, n_words`` of every piece it takes."""
+    """The mix itself: ``shard, slot, source, doc_id, text_hash, copy, round, start, n_words`` of every piece it takes.
+
+    A shard's slots are in a pseudorandom order, numbered from 0.
+    """
     _, pieces, draws = plan(docs)
-    return draws.join(pieces.hint("merge"), ["sid", "block"]).select("shard", "slot", "source", "doc_id", "text_hash", "copy", "round", "start", "n_words")
+    slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit("slot"), "sid", "k"), "sid", "k")) - 1
+    return draws.withColumn("slot", slot).join(pieces.hint("merge"), ["sid", "block"]).select("shard", "slot", "source", "doc_id", "text_hash", "copy", "round", "start", "n_words")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -180,7 +246,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "source").alias("_k"), h.alias("_h"))
-    copy = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1))) - 1
+    copy = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(row_hash(docs, "_row"))) - 1
     met = keyed.withColumn("_copy", copy).join(got, ["_k", "_h"])
     met = met.withColumn("_take", F.explode(F.filter("_takes", lambda t: t["copy"] == F.col("_copy"))))
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))

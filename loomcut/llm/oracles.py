@@ -9,12 +9,13 @@ from .license_join import BLOCK_WORDS, PHRASES, STRIDE, TEMPLATES, THRESHOLD
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DUPLICATES = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
-links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-r(doc_id, pos) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM r JOIN links l ON l.u = r.pos)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN (SELECT doc_id, min(pos) AS c FROM r GROUP BY doc_id) m USING (doc_id)"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS x FROM s),
+rows_linked AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT DISTINCT u, v FROM rows_linked),
+r(doc_id, pos) AS (SELECT DISTINCT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM r JOIN links l ON l.u = r.pos)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE m.c END AS component_id FROM s JOIN (SELECT doc_id, min(pos) AS c FROM r GROUP BY doc_id) m USING (doc_id))"""
 
 REVISITS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

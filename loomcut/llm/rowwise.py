@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StructField, StructType
 
 from . import textbuf as tb
 
@@ -23,3 +23,12 @@ def keep_where(docs: DataFrame, verdict: Callable[[pa.RecordBatch], pa.Array]) -
 
     schema = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
     return docs.mapInArrow(tb.lean(run), schema).where(F.col(flag)).drop(flag)
+
+
+def _has_map(t: DataType) -> bool:
+    return isinstance(t, MapType) or isinstance(t, ArrayType) and _has_map(t.elementType) or isinstance(t, StructType) and any(_has_map(f.dataType) for f in t)
+
+
+def row_hash(docs: DataFrame, inside: str) -> Column:
+    """A hash of a whole row in the struct ``inside``; maps, which have no order, don't count."""
+    return F.xxhash64(*[F.col(inside)[f.name] for f in docs.schema if not _has_map(f.dataType)])

@@ -22,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which every executor reaches; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``, which every executor reaches; in local mode, where it is unset, a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = getattr(shared_dir, "own", None)
         if not at:
@@ -47,27 +49,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop_cut(df: DataFrame) -> None:
     """Delete a table of ``cut`` that no later result reads."""
     for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that ``cut`` has made in this session, once no result that reads them is needed."""
     for s, path in _made:
         if s is spark:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(s, path)
     _made[:] = [x for x in _made if x[0] is not spark]
 
 
 @atexit.register
 def _clean() -> None:
-    for _, path in _made:
+    for spark, path in _made:
         local = path.removeprefix("file://")
         if os.path.isdir(local):
             shutil.rmtree(local, ignore_errors=True)
+        elif spark.sparkContext._jsc is not None:  # on another file system, while the session lives
+            _delete(spark, path)
 
 
 def id_text(col: str | Column = "doc_id") -> Column:

@@ -24,19 +24,20 @@ WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E6C63D0876A9A47
-_POW = np.ones(1, np.uint64)
+#: Places in a word whose keys are kept; those further on are computed anew.
+_KEPT = 1 << 20
+_keys = np.zeros(0, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if _POW.size < n:
-        m = 1 << (n - 1).bit_length()
-        p = np.full(m, _BASE, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            _POW = np.multiply.accumulate(p)
-    return _POW
+def _place_keys(at: np.ndarray, most: int) -> np.ndarray:
+    """A pseudorandom odd number for every place in a word; ``most`` is above all of ``at``."""
+    global _keys
+    make = lambda x: mix(x.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    if most > _KEPT:
+        return make(at)
+    if _keys.size < most:
+        _keys = make(np.arange(max(256, 1 << (most - 1).bit_length())))
+    return _keys[at]
 
 
 def lean(run: Callable) -> Callable:
@@ -140,22 +141,31 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray | None = None) -
 
 
 def hashes(w: Words, lower: bool = False, most: int = SLICE_BYTES) -> np.ndarray:
-    """64-bit hash of every word: a polynomial of its bytes modulo 2**64, then mixed.
+    """64-bit hash of every word: its bytes times a pseudorandom number for their place, summed modulo 2**64, then mixed.
 
     It depends on the word's bytes alone, so it agrees between tasks and runs.
+    The numbers follow no rule that words could: with powers of one base, words
+    that swap two halves over and over hash alike whatever the base.
     """
     value = (LOWER if lower else np.arange(256)).astype(np.uint64) + np.uint64(1)
-    out = np.empty(w.start.size, np.uint64)
+    out = np.zeros(w.start.size, np.uint64)
     i = 0
     while i < w.start.size:
         j = int(np.searchsorted(w.end, w.start[i] + most, side="right"))
-        j = max(i + 1, j)
+        if j <= i:  # one word longer than that, part after part
+            for a in range(int(w.start[i]), int(w.end[i]), most):
+                b = min(a + most, int(w.end[i]))
+                at = np.arange(a, b) - int(w.start[i])
+                with np.errstate(over="ignore"):
+                    out[i] += (value[w.buf[a:b]] * _place_keys(at, int(at[-1]) + 1)).sum(dtype=np.uint64)
+            i += 1
+            continue
         s, e = w.start[i:j], w.end[i:j]
         length = e - s
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         byte = w.buf[at + np.repeat(s, length)]
         with np.errstate(over="ignore"):
-            v = value[byte] * _powers(int(length.max()))[at]
+            v = value[byte] * _place_keys(at, int(length.max()))
             out[i:j] = np.add.reduceat(v, np.cumsum(length) - length)
         i = j
     return mix(out)

@@ -249,8 +249,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     many = narrow.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("refers_to").isNotNull())
     revisits = cut(narrow.where(F.col("size") >= LEAST_REVISIT).join(many, "digest").where(later).select("page_id", "url", "size", "digest", "refers_to"), "revisits")
-    key = F.xxhash64("page_id", "digest").alias("key")
-    responses = anti(rows.withColumn("key", key), revisits.select(key), "key")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), F.col("digest")
+    responses = anti(rows, revisits.select(*key), list(key))
     columns = ["page_id", "url", "html", "size", "digest", "refers_to", "revisit"]
     responses = responses.withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType)).withColumn("revisit", F.lit(False))
     return responses.select(columns).unionByName(revisits.withColumn("html", F.lit(None).cast("binary")).withColumn("revisit", F.lit(True)).select(columns))

@@ -288,7 +288,7 @@ def test_components(spark):
 def test_anti(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("k"), F.lit("x").alias("_bucket_"))
     ids = spark.range(0, 5000, 3).select(F.col("id").alias("k"))
-    got = collections.Counter(r.k for r in anti(rows, ids, "k").collect())
+    got = collections.Counter(r.k for r in anti(rows, ids, [F.col("k")]).collect())
     assert got == collections.Counter([i if i % 100 < 99 else None for i in range(5000) if i % 100 == 99 or i % 3])
 
 
