@@ -1,17 +1,23 @@
 """HTML extraction by tag-path ratios.
 
 A page's text nodes are gathered into blocks, each with the tag path of its
-element.  For every root-to-leaf path, text length and punctuation are summed
-and divided by the number of its blocks; both ratios are smoothed along the
-page by a Gaussian, fused (length times one plus punctuation, less what is link
-text), and paths whose fused value reaches ``THRESHOLD`` standard deviations
-are content.  The deepest element that holds ``SHARE`` of their text, or an
-``article`` around it, is the home: all its blocks count, short paragraphs and
-headings too, but for lists of links and for an ``article`` without content
-(teasers).  So does every container beside it with content whose ratios reach
-the threshold unsmoothed as well, so that no neighbour's text lifts it.
-Elements that say what they are - menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts - by tag or role never count.
+element.  For every root-to-leaf path, over all that a page shows - menus and
+footers too - text length and punctuation are summed and divided by the number
+of its blocks; both ratios are smoothed along the page by a Gaussian and fused
+(length times one plus punctuation, less what is link text).  Paths whose fused
+value, smoothed or not, reaches ``THRESHOLD`` standard deviations are content.  Of what
+they select, blocks in elements that say what they are - menus, headers,
+footers, sidebars, notices, adverts, forms, comments - by tag or role are left
+out; where nothing else was selected, the ratios are taken anew without them.
+
+Headings, short lists and the like lie beside what their ratios tell: the
+deepest element that holds ``SHARE`` of the selected text, or an ``article``
+around it, is the home.  If what was selected is at least ``HALF`` of its text,
+all its blocks count, else those whose paths reach ``LOW`` of the threshold; but
+no lists of links outside any ``article``, and no ``article`` without content
+(teasers).  So does every container beside
+it with content whose ratios reach the threshold unsmoothed as well, so that no
+neighbour's text lifts it.
 
 A class or id only hints.  A name's words up to the telling one ("widget",
 "layout-sidebar-") are taken together over the page: if what bears them holds
@@ -23,10 +29,11 @@ adverts, comments and cookie notices are left out; those exempt from that hold
 ``SHARE`` of the text.
 
 Tags needn't be closed or well-formed; a quote that isn't a value's delimiter
-ends nothing.  Defined results: null or empty html, or
-a page without content, gives the empty text; an unfinished tag, comment or
-script at the end is dropped; repeated rows are extracted alike; an empty table
-gives no rows.
+ends nothing.  Time and memory are linear in a page's length, however deep its
+elements nest.  Defined results: null or empty html, or a page without content,
+gives the empty text; an unfinished tag, comment or script at the end is
+dropped; of paths with equal values all count or none; repeated rows are
+extracted alike; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +49,12 @@ from pyspark.sql import DataFrame
 
 from . import textbuf as tb
 
-THRESHOLD = 0.8
+THRESHOLD = 1.2
 SHARE = 0.9
 LINKS = 0.8
 MOST = 0.5
+HALF = 0.5
+LOW = 0.25
 PENALTY = 0.25
 LEAST_CHARS = 200
 
@@ -80,30 +89,38 @@ _COMMENTS = frozenset("comment comments reply replies respond ad ads advert spon
 @dataclass
 class _Element:
     tag: str
-    label: str
     out: bool  # it or an ancestor never counts
     hints: frozenset[tuple[bool, str]]  # its and its ancestors'
     story: bool  # inside an article or main
-    article: int  # the outermost article around it, or 0
     link: bool
     number: int
-    up: tuple[int, ...] = ()
+    path: int
+    block: _Element | None = None  # the nearest element that makes blocks, itself included
 
 
 @dataclass
 class Piece:
     """A block of text: where it stands and what it is like."""
 
-    path: str
-    inside: tuple[int, ...]  # elements around it that hold other blocks too
+    path: int
+    inside: int  # the nearest element around it that may hold other blocks too
+    out: bool
     story: bool
-    article: int
     hints: frozenset[tuple[bool, str]] = frozenset()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+@dataclass
+class Page:
+    """Blocks in page order; of every element its parent and the outermost article around it (0: none)."""
+
+    found: list[Piece] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    article: list[int] = field(default_factory=lambda: [0])
+
+
 #: "has-sidebar" tells of a sidebar elsewhere.
 _ELSEWHERE = frozenset("has with no without not is js allow enable supports".split())
 
@@ -137,12 +154,20 @@ def _never(tag: str, attrs: dict[str, str], story: bool) -> bool:
     return attrs.get("role", "").lower() in _ROLES
 
 
-def pieces(html: str) -> list[Piece]:
-    """Blocks of the page that may count, in page order."""
-    stack = [_Element("", "", False, frozenset(), False, 0, False, 0, (0,))]
-    found: list[Piece] = []
+#: What a page doesn't show as text.
+_UNSEEN = frozenset("head select option datalist svg math canvas audio video object map title".split())
+
+
+def pieces(html: str) -> Page:
+    """The page's blocks."""
+    page = Page()
+    root = _Element("", False, frozenset(), False, False, 0, 0)
+    root.block = root
+    stack = [root]
+    open_: dict[str, int] = {}
+    paths: dict[tuple[int, str], int] = {}
+    unseen = 0  # elements on the stack that hold no text
     now: Piece | None = None
-    number = 0
     pos, n = 0, len(html)
 
     def flush() -> None:
@@ -150,29 +175,39 @@ def pieces(html: str) -> list[Piece]:
         if now is not None:
             now.text = " ".join(unescape("".join(now.parts)).split())
             if now.text:
-                found.append(now)
+                page.found.append(now)
         now = None
 
     def add(s: str) -> None:
         nonlocal now
-        top = stack[-1]
-        if top.out or not s:
+        if unseen or not s:
             return
+        top = stack[-1]
         if now is None:
             if s.isspace():
                 return
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
-            own = stack[k]
-            now = Piece("/".join(e.label for e in stack[1 : k + 1]), own.up[:-1] if own.tag in LEAF else own.up, own.story, own.article, own.hints)
+            own = top.block
+            now = Piece(own.path, page.parent[own.number] if own.tag in LEAF else own.number, top.out, own.story, own.hints)
+        elif now.out != top.out:  # an inline element that never counts is a block of its own
+            flush()
+            add(s)
+            return
         now.parts.append(s)
         if top.link:
             now.linked += len(s.strip())
 
     def pop_to(k: int) -> None:
+        nonlocal unseen
         if any(e.tag in BLOCK for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+            unseen -= e.tag in _UNSEEN
         del stack[k:]
 
+    def nearest(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if open_.get(tag) else 0
+
     while pos < n:
         lt = html.find("<", pos)
         if lt < 0:
@@ -194,7 +229,7 @@ def pieces(html: str) -> list[Piece]:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            k = nearest(tag)
             if k:
                 pop_to(k)
             elif tag in BLOCK:
@@ -209,10 +244,10 @@ def pieces(html: str) -> list[Piece]:
         if tag in BLOCK:
             flush()
             if tag in _CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
+                k = nearest("p")
                 if k and not any(e.tag in ("table", "button", "object", "td", "th") for e in stack[k:]):
                     pop_to(k)
-            if tag in _SAME:
+            if tag in _SAME and any(open_.get(t) for t in _SAME[tag][0]):
                 same, stop = _SAME[tag]
                 k = 0
                 for i in range(len(stack) - 1, 0, -1):
@@ -228,11 +263,12 @@ def pieces(html: str) -> list[Piece]:
             continue
         attrs = {a.lower(): v[1:-1] if v[:1] in "\"'" and v else v for a, v in _ATTR.findall(raw)} if raw.strip(" /\n\t") else {}
         top = stack[-1]
-        number += 1
-        story = top.story or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+        role = attrs.get("role", "").lower()
+        story = top.story or tag in ("article", "main") or role in ("main", "article")
         out = top.out or _never(tag, attrs, top.story)
-        hints = top.hints | _hints(tag, attrs, top.story) if attrs else top.hints
-        article = top.article or (number if tag == "article" or attrs.get("role", "").lower() == "article" else 0)
+        hints = top.hints
+        if attrs and not (own := _hints(tag, attrs, top.story)) <= hints:
+            hints = hints | own
         label = tag
         if tag in ("div", "section", "ul", "ol", "table", "td"):
             label += "." + ".".join(attrs.get("class", "").split()[:2]) if attrs.get("class") else ""
@@ -246,9 +282,18 @@ def pieces(html: str) -> list[Piece]:
         if tag == "plaintext":
             add(html[pos:])
             break
-        stack.append(_Element(tag, label, out, hints, story and not out, article, top.link or tag == "a", number, (*top.up, number)))
+        number = len(page.parent)
+        page.parent.append(top.number)
+        page.article.append(page.article[top.number] or (number if tag == "article" or role == "article" else 0))
+        element = _Element(tag, out, hints, story and not out, top.link or tag == "a", number, paths.setdefault((top.path, label), len(paths) + 1))
+        element.block = element if tag in BLOCK else top.block
+        if element.block is not element:  # an inline element is of its block
+            element.path = top.path
+        stack.append(element)
+        open_[tag] = open_.get(tag, 0) + 1
+        unseen += tag in _UNSEEN
     flush()
-    return found
+    return page
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -259,61 +304,91 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(pad, k / k.sum(), mode="valid")
 
 
-def _weighed(found: list[Piece]) -> tuple[list[Piece], np.ndarray]:
-    """The blocks that hints don't leave out, and whether the rest of the hints hold for each."""
+def _weighed(found: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block: whether it may count, and whether what hints are left hold for it."""
     held: dict[tuple[bool, str], int] = {}
     for x in found:
-        for h in x.hints:
-            held[h] = held.get(h, 0) + len(x.text)
-    total = sum(len(x.text) for x in found)
+        if not x.out:
+            for h in x.hints:
+                held[h] = held.get(h, 0) + len(x.text)
+    total = sum(len(x.text) for x in found if not x.out)
     told = {h for h, n in held.items() if (n < LEAST_CHARS and h[0]) or n < (SHARE if h[0] and h[1][-1] != "-" else MOST) * total}
-    found = [x for x in found if not any(h[0] and h in told for h in x.hints)]
-    return found, np.array([not told.isdisjoint(x.hints) for x in found], bool)
+    may = [not x.out and not any(h[0] and h in told for h in x.hints) for x in found]
+    return np.array(may, bool), np.array([not told.isdisjoint(x.hints) for x in found], bool)
 
 
-def content(found: list[Piece]) -> list[Piece]:
-    """The blocks of the article."""
-    found, hinted = _weighed(found)
-    if not found:
-        return found
+def path_ratios(found: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block: its path's number, and that path's text length, punctuation and share of link text for each of its blocks."""
     paths = {p: i for i, p in enumerate(dict.fromkeys(x.path for x in found))}
     at = np.array([paths[x.path] for x in found])
     length = np.array([len(x.text) for x in found], float)
     punct = np.array([len(_PUNCT.findall(x.text)) for x in found], float)
     linked = np.minimum(np.array([x.linked for x in found], float), length)
     count = np.bincount(at)
-    ratio = (np.bincount(at, length) / count)[at]
-    mark = (np.bincount(at, punct) / count)[at]
-    link = np.bincount(at, linked) / np.bincount(at, length)
-    fused = _smooth(ratio) * (1 + _smooth(mark)) * (1 - link[at]) * np.where(hinted, PENALTY, 1)
-    per_path = np.bincount(at, fused) / count
-    chosen = per_path[at] >= THRESHOLD * per_path[at].std()
-    plain = ratio * (1 + mark) * (1 - link[at]) * np.where(hinted, PENALTY, 1) >= THRESHOLD * per_path[at].std()
+    text = np.bincount(at, length)
+    return at, (text / count)[at], (np.bincount(at, punct) / count)[at], (np.bincount(at, linked) / text)[at]
+
+
+def selected(found: list[Piece], hinted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each block's path reaches the threshold, whether it does so unsmoothed, and whether it reaches ``LOW`` of it."""
+    at, ratio, mark, link = path_ratios(found)
+    weight = (1 - link) * np.where(hinted, PENALTY, 1)
+    plain = ratio * (1 + mark) * weight
+    value = np.maximum(plain, (np.bincount(at, _smooth(ratio) * (1 + _smooth(mark)) * weight) / np.bincount(at))[at])
+    least = THRESHOLD * value.std()
+    return value >= least, plain >= least, value >= LOW * least
+
+
+def content(page: Page) -> list[Piece]:
+    """The blocks of the article."""
+    found = page.found
+    if not found:
+        return []
+    may, hinted = _weighed(found)
+    chosen, plain, low = selected(found, hinted)
+    chosen &= may
     if not chosen.any():
-        chosen[:] = True
+        found = [x for x, m in zip(found, may) if m]
+        if not found:
+            return []
+        hinted, may = hinted[may], may[may]
+        chosen, plain, low = selected(found, hinted)
+        if not chosen.any():
+            chosen[:] = True
+    parent, n = page.parent, len(page.parent)
+    length = np.array([len(x.text) for x in found], float)
+    held, whole, depth = [0.0] * n, [0.0] * n, [0] * n  # of each element: text chosen, text that may count, depth
+    for x, c, m, size in zip(found, chosen, may, length):
+        held[x.inside] += size * c
+        whole[x.inside] += size * m
+    for e in range(n - 1, 0, -1):
+        held[parent[e]] += held[e]
+        whole[parent[e]] += whole[e]
+    for e in range(1, n):
+        depth[e] = depth[parent[e]] + 1
     # The deepest element with most of the chosen text.
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for x, c, n in zip(found, chosen, length):
-        if c:
-            for d, e in enumerate(x.inside):
-                held[e] = held.get(e, 0) + n
-                depth[e] = d
-    total = float(length[chosen].sum())
-    home = max((e for e in held if held[e] >= SHARE * total), key=lambda e: depth[e])
-    trail = next(x.inside[: x.inside.index(home) + 1] for x in found if home in x.inside)
-    for x in found:
-        if home in x.inside and x.article and x.article in trail:
-            trail = trail[: trail.index(x.article) + 1]
-            home = x.article
-            break
-    chosen &= plain | np.array([home in x.inside for x in found])
+    home = max((e for e in range(n) if held[e] >= SHARE * held[0]), key=depth.__getitem__)
+    home = page.article[home] or home
+    trail, e = {home}, home
+    while e:
+        e = parent[e]
+        trail.add(e)
+
+    def inside(homes: set[int]) -> np.ndarray:
+        within = [False] * n
+        for e in range(n):
+            within[e] = e in homes or e > 0 and within[parent[e]]
+        return np.array([within[x.inside] for x in found])
+
+    chosen &= plain | inside({home})
     # Containers beside it that hold chosen text; one around it would bring in all the page.
-    homes = {home} | {x.inside[-1] for x, c in zip(found, chosen) if c} - set(trail)
-    stories = {x.article for x, c in zip(found, chosen) if c} | {home, 0}
-    short = np.bincount(at, length) / count < 40
-    menu = (link > LINKS) & short & (count >= 3)
-    return [x for x, a, c, h in zip(found, at, chosen, hinted) if (c or not h and not homes.isdisjoint(x.inside) and x.article in stories) and not menu[a]]
+    homes = {home} | {x.inside for x, c in zip(found, chosen) if c} - trail
+    stories = {page.article[x.inside] for x, c in zip(found, chosen) if c} | {home, 0}
+    at, ratio, _, link = path_ratios(found)
+    menu = (link > LINKS) & (ratio < 40) & (np.bincount(at)[at] >= 3) & ~np.array([x.story for x in found])
+    filled = inside(homes) & may & ~hinted & ~menu & np.array([page.article[x.inside] in stories for x in found])
+    filled &= low | (held[home] >= HALF * whole[home])
+    return [x for x, c, f in zip(found, chosen, filled) if c or f]
 
 
 def main_text(html: str | None) -> str:

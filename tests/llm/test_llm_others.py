@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomcut.llm import ann_scan, textbuf, warc_zip
 from loomcut.llm.components import components
+from loomcut.llm import html_paths
 from loomcut.llm.html_paths import extract, main_text
 from loomcut.llm.sieve import anti
 
@@ -107,6 +108,54 @@ def test_names_only_hint(body, want):
     assert main_text(page(MENU + body + FOOT)) == " ".join(want)
 
 
+def test_path_ratios_equal_a_plain_sum():
+    """Lengths, punctuation and link shares by path, and their fused value, against loops over the blocks."""
+    body = MENU + f"<div class='s'><h1>A, b.</h1>{Q}<p>See <a href='x'>this; that</a>.</p></div><div class='t'><p>Other, words.</p></div>" + FOOT
+    found = html_paths.pieces(page(body)).found
+    at, ratio, mark, link = html_paths.path_ratios(found)
+    for i, x in enumerate(found):
+        same = [y for y in found if y.path == x.path]
+        chars = sum(len(y.text) for y in same)
+        assert ratio[i] == chars / len(same) and mark[i] == sum(c in ".,;:!?" for y in same for c in y.text) / len(same)
+        assert link[i] == pytest.approx(sum(y.linked for y in same) / chars)
+    assert [len({y.path for y in found}), found[0].out, found[-1].out] == [5, True, True]
+    kernel = [np.exp(-0.5 * d * d) for d in (-2, -1, 0, 1, 2)]
+    near = lambda v, i: sum(k * v[min(max(i + d, 0), len(v) - 1)] for k, d in zip(kernel, (-2, -1, 0, 1, 2))) / sum(kernel)
+    fused = [near(ratio, i) * (1 + near(mark, i)) * (1 - link[i]) for i in range(len(found))]
+    value = [max(ratio[i] * (1 + mark[i]) * (1 - link[i]), np.mean([f for f, y in zip(fused, found) if y.path == x.path])) for i, x in enumerate(found)]
+    got = html_paths.selected(found, np.zeros(len(found), bool))[0]
+    assert got.tolist() == [v >= html_paths.THRESHOLD * np.std(value) for v in value]
+
+
+def test_ratios_alone_find_the_story(monkeypatch):
+    """No tag, role or name says what is what: the paths' ratios do, and others choose other text."""
+    links = "<div class='m1'>" + "".join(f"<div class='m2'><a href='/{i}'>Entry {i}</a></div>" for i in range(9)) + "</div>"
+    short = "<div class='q1'>" + "".join(f"<div class='q2'>Item {i}</div>" for i in range(9)) + "</div>"
+    html = page(links + f"<div class='z'><h2>Title</h2>{Q * 3}</div>" + short)
+    assert main_text(html) == " ".join(["Title", *LONG * 3])
+    real = html_paths.path_ratios
+
+    def turned(found):  # the paths' ratios in reverse order
+        at, ratio, mark, link = real(found)
+        by = lambda v: np.array([v[at == k][0] for k in range(at.max() + 1)])[::-1][at]
+        return at, by(ratio), by(mark), by(link)
+
+    monkeypatch.setattr(html_paths, "path_ratios", turned)
+    assert LONG[0] not in main_text(html)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert main_text("<div>" * n + "deep" + "<p>x" * n).startswith("deep x")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.05)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", page(f"<article>{P}</article>"), "clash"), (1, "u", page(f"<article>{P}</article>"), "clash"), (2, None, None, None), (None, "x", "<p>" * 5000 + "deep" + "x" * 200_000, "t")]
     got = collections.Counter(tuple(r) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
