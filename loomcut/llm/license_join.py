@@ -1,26 +1,25 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A text's blocks are its windows of ``BLOCK_WORDS`` words, one every half
-window; longer templates get longer windows, whose half holds the longest one
-and as many more words as the threshold lets it lack.  A template is found in a block when the block holds at least
-``THRESHOLD`` of its distinct words.  Words are ordered by how often they occur
-in all texts, rarest first (one pass counts the templates' words); only blocks
-that hold one of a template's first ``size - needed + 1`` words can match, so
-only those are candidates; of them, blocks with too few of the templates'
-words, and templates whose first word found stands too far back to leave
-enough, are dropped (length and positional filter); the overlap of the rest is
-counted exactly.  Templates are a bounded table that every task gets; nothing
-else is shuffled or broadcast.
-
-At ``THRESHOLD`` the templates here must be whole but for one word of the
-longest; ``scan`` takes whole notices and a lower threshold, which finds edited
-ones.
+A text's blocks are its windows of twice a stride's words, one every stride.
+Templates are gathered by length: the stride is ``STRIDE``, or that doubled
+until a stride holds the template and as many more words as the threshold lets
+it lack.  A template is found in a block when the block holds at least
+``THRESHOLD`` of its distinct words, or all of them if they are fewer than
+``WHOLE`` - four words of five stand together in many a text.  Words are ordered
+by how often they occur in all texts, rarest first (one pass counts the
+templates' words); only blocks that hold one of a template's first ``size -
+needed + 1`` words can match, so only those are candidates; of them, blocks with
+too few of the templates' words, and templates whose first word found stands too
+far back to leave enough, are dropped (length and positional filter); the
+overlap of the rest is counted exactly.  Templates are a bounded table that
+every task gets; nothing else is shuffled or broadcast.
 
 Phrases, found word by word, give labels of their own, with all their places.
 
 Defined results: null and empty text has no words, no labels (empty strings),
-score 0 and null places; repeated rows are scanned alike; an empty table gives
-no rows.
+score 0 and null places; repeated rows are scanned alike; a long text is scanned
+whole, block by block; words equally frequent are ordered by their hash; columns
+besides doc_id and text aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,11 +34,11 @@ from pyspark.sql import functions as F
 
 from . import textbuf as tb
 
-BLOCK_WORDS = 64
-STRIDE = BLOCK_WORDS // 2
-THRESHOLD = 0.95
+STRIDE = 32
+THRESHOLD = 0.8
+WHOLE = 12
 
-#: Notices of at most ``STRIDE`` words, for which blocks of ``BLOCK_WORDS`` words do.
+#: Grants and notices, whole or in the sentences that files carry.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License",
@@ -50,6 +49,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -58,7 +59,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2",),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ),
     "lgpl": ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
     "agpl-3.0": ("licensed under the GNU Affero General Public License version 3",),
@@ -69,6 +72,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.",
+    ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
     "proprietary": ("No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",),
 }
 PHRASES: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -87,13 +102,34 @@ def _hashed(text: str) -> list[int]:
     return tokens(raw, np.array([0, raw.size]))[1].tolist()
 
 
+def needed(size: int, threshold: float, whole: int = WHOLE) -> int:
+    """How many of a template's ``size`` distinct words a block must hold."""
+    return size if size < whole else math.ceil(threshold * size - 1e-9)
+
+
+def stride(words: int, threshold: float) -> int:
+    """The stride for a template of so many words."""
+    s = STRIDE
+    while s < words / threshold - 1e-9 and s < words + STRIDE:
+        s *= 2
+    return s
+
+
+def by_stride(templates: dict[str, tuple[str, ...]], threshold: float) -> dict[int, dict[str, tuple[str, ...]]]:
+    out: dict[int, dict[str, tuple[str, ...]]] = {}
+    for label, ts in templates.items():
+        for t in ts:
+            group = out.setdefault(stride(len(_hashed(t)), threshold), {})
+            group[label] = (*group.get(label, ()), t)
+    return out
+
+
 class Index:
-    """Templates and phrases by word number; words numbered by their hash's order."""
+    """Templates of one stride, and phrases, by word number; words numbered by their hash's order."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], phrases: dict[str, str], threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, tuple[str, ...]], phrases: dict[str, str], threshold: float = THRESHOLD, step: int = STRIDE):
         flat = [(label, list(dict.fromkeys(_hashed(t)))) for label, ts in templates.items() for t in ts]
-        longest = max((len(_hashed(t)) for ts in templates.values() for t in ts), default=0)
-        self.stride = max(STRIDE, math.ceil(longest / threshold - 1e-9))
+        self.stride = step
         spoken = [(label, _hashed(p)) for p, label in phrases.items()]
         self.words = np.unique(np.array([h for _, hs in [*flat, *spoken] for h in hs], np.uint64))
         number = {h: i for i, h in enumerate(self.words.tolist())}
@@ -104,7 +140,7 @@ class Index:
         for k, s in enumerate(self.sets):
             self.matrix[s, k] = 1
         self.size = np.array([len(s) for s in self.sets])
-        self.needed = np.array([math.ceil(threshold * len(s) - 1e-9) for s in self.sets])
+        self.needed = np.array([needed(len(s), threshold) for s in self.sets])
         self.order(np.zeros(self.words.size))
 
     def order(self, frequency: np.ndarray) -> None:
@@ -120,6 +156,8 @@ class Index:
         self.starts = self.prefix.any(1)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
+        if not self.words.size:
+            return np.full(h.size, -1)
         at = np.minimum(np.searchsorted(self.words, h), self.words.size - 1)
         return np.where(self.words[at] == h, at, -1)
 
@@ -168,44 +206,49 @@ def find_templates(ix: Index, row: np.ndarray, nth: np.ndarray, word: np.ndarray
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
-def word_counts(docs: DataFrame, ix: Index) -> np.ndarray:
-    """How often each template word occurs in all texts."""
+def word_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """How often each of the templates' words (sorted hashes) occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ix.words.size, np.int64)
+        total = np.zeros(words.size, np.int64)
         for batch in batches:
             buf, offs = tb.buffers(batch.column(0))
             for i, j in tb.slices(offs):
                 _, h = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                n = ix.numbers(h)
-                total += np.bincount(n[n >= 0], minlength=total.size)
+                at = np.minimum(np.searchsorted(words, h), words.size - 1)
+                total += np.bincount(at[words[at] == h], minlength=total.size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total)], ["word", "n"])
 
-    out = np.zeros(ix.words.size)
-    for r in docs.select("text").mapInArrow(tb.lean(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r.word] = r.n
+    out = np.zeros(words.size)
+    if words.size:
+        for r in docs.select("text").mapInArrow(tb.lean(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            out[r.word] = r.n
     return out
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row; the score is the highest containment found, 1 for a phrase."""
-    ix = Index(templates, phrases, threshold)
-    ix.order(word_counts(docs, ix))
-    shared = docs.sparkSession.sparkContext.broadcast(ix)
+    spoken = Index({}, phrases)
+    groups = [Index(ts, {}, threshold, step) for step, ts in sorted(by_stride(templates, threshold).items())]
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(ix.words for ix in groups)]))
+    often = word_counts(docs, every)
+    for ix in groups:
+        ix.order(often[np.searchsorted(every, ix.words)])
+    shared = docs.sparkSession.sparkContext.broadcast((spoken, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        spoken, groups = shared.value
         for batch in batches:
             buf, offs = tb.buffers(batch.column("text"))
             for i, j in tb.slices(offs):
                 w, h = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 n = w.counts()
                 begin = np.cumsum(n) - n
-                t = ix.numbers(h)
+                t = spoken.numbers(h)
                 base: list[set[str]] = [set() for _ in range(w.rows)]
                 places = np.zeros(w.rows, np.int64)
                 low, high = np.full(w.rows, 1 << 60), np.full(w.rows, -1)
-                for label, p in ix.phrases:
+                for label, p in spoken.phrases:
                     at = np.flatnonzero(t == p[0])
                     at = at[at + len(p) <= t.size]
                     for k in range(1, len(p)):
@@ -217,13 +260,17 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phr
                     np.maximum.at(high, r, at - begin[r])
                     for x in np.unique(r):
                         base[x].add(label)
-                hit = np.flatnonzero(t >= 0)
-                r, which, share = find_templates(ix, w.row[hit], hit - begin[w.row[hit]], t[hit]) if hit.size else (hit, hit, np.zeros(0))
                 score = np.where(places > 0, 1.0, 0.0)
-                np.maximum.at(score, r, share)
                 more = [set(b) for b in base]
-                for a, b in zip(r.tolist(), which.tolist()):
-                    more[a].add(ix.labels[b])
+                for ix in groups:
+                    t = ix.numbers(h)
+                    hit = np.flatnonzero(t >= 0)
+                    if not hit.size:
+                        continue
+                    r, which, share = find_templates(ix, w.row[hit], hit - begin[w.row[hit]], t[hit])
+                    np.maximum.at(score, r, share)
+                    for a, b in zip(r.tolist(), which.tolist()):
+                        more[a].add(ix.labels[b])
                 some = places > 0
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -14,18 +14,20 @@ however large the vocabulary grows.
   their counts broadcast (the size is a parameter); all the others meet theirs
   in a join whose keys none is hot, since the hot ones were taken out.
 * Baum-Welch: each iteration sums expected counts per task over all training
-  texts, cut into segments of ``SEGMENT`` words for this alone, and adds them up
-  in one aggregation of ``states * classes`` cells.
-* Scoring: the scaled forward recursion over each whole text.  It is a product
-  of matrices, so segments are multiplied side by side and then chained:
-  exact, also over texts of any length.
+  texts, each taken whole, and adds them up in one aggregation of ``states *
+  classes`` cells.
+* Scoring: the scaled forward recursion over each whole text.
+* Either recursion is a product of matrices, so segments of a long text are
+  multiplied side by side and then chained: exact, over texts of any length.
 
 Words are identified by a 64-bit hash of their lower-cased bytes.
 
 Defined results: a null text is empty and has one token, the end; a null id
 counts as the empty text for the fold and is returned as null; repeated rows
 are scored alike and each count; an empty table gives no rows, and without any
-training row every count is 0 and the model is uniform.
+training row every count is 0 and the model is uniform; of words of equal
+count those of smaller hash come first; columns besides doc_id and text aren't
+read.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
 from .runtime import cut, fold
 
 SEGMENT = 64
+#: The same for training, where only texts longer than that need the matrices.
+STRETCH = 512
 STATES = 8
 OWN = 4096
 FORMS = 512
@@ -128,21 +132,26 @@ class Vocabulary:
         return out
 
 
-def _least_count(counts: DataFrame, most: int) -> float:
-    """A count that at most ``most`` words reach: found from a histogram of fixed size, so that no sort and no task's list of words goes to the driver."""
+def _frequent(counts: DataFrame, most: int) -> Column:
+    """A condition that about the ``most`` most frequent words meet, and not many more.
+
+    It comes from a histogram of fixed size, so that no sort and no task's list
+    of words goes to the driver; of the words of the bin that only some of can
+    be taken, a hash chooses.
+    """
     steps = 16  # bins for each doubling
-    bins = counts.groupBy(F.floor(F.log2("c") * steps).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
-    least, have = float("inf"), 0
-    for b in sorted(bins, key=lambda b: -b["bin"]):
-        have += b["n"]
-        if have > most:
+    bin_ = F.floor(F.log2("c") * steps).cast("int")
+    have, whole, taken = 0, None, None
+    for b in sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda b: -b["bin"]):
+        if have + b["n"] > most:
+            taken = (bin_ == b["bin"]) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int((most - have) / b["n"] * (1 << 20)))
             break
-        least = b["c"]
-    return float(least)
+        have, whole = have + b["n"], bin_ >= b["bin"]
+    return F.lit(False) if whole is taken is None else taken if whole is None else whole if taken is None else whole | taken
 
 
 def vocabulary(counts: DataFrame, ends: int, own: int = OWN, forms: int = FORMS, frequent: int = FREQUENT) -> Vocabulary:
-    top = counts.where(F.col("c") >= _least_count(counts, max(own, frequent))).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    top = counts.where(_frequent(counts, max(own, frequent))).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h = top.h.to_numpy().view(np.uint64)
     per = counts.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     form_n, form_v = np.zeros(forms), np.zeros(forms)
@@ -226,44 +235,95 @@ def _segments(codes: np.ndarray, offs: np.ndarray, length: int, pad: int) -> tup
     return np.where(np.arange(length) < size[:, None], codes[np.minimum(at, codes.size - 1)], pad).T, row, nth
 
 
-def expected_counts(m: Model, codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions over the segments, and their log10 likelihood."""
+def _products(m: Model, seq: np.ndarray, live: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the matrix from the state before it to the one at its end, scaled, and the scale's log10; ``begins``: no state is before it."""
+    steps, n = seq.shape
+    k = m.start.size
+    emit = np.vstack([m.emit, np.ones(k)])
+    prod = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+    lg = np.zeros(n)
+    for t in range(steps):
+        on = live[t]
+        if not on.any():
+            break
+        full = on.all()
+        p = prod if full else prod[on]
+        q = (p.reshape(-1, k) @ m.move).reshape(-1, k, k)
+        if t == 0:  # a text's first word follows the start instead of a move
+            q[begins[on] if not full else begins] = np.eye(k)
+        q *= emit[seq[t] if full else seq[t][on]][:, None, :]
+        if t % 8 == 7 or t == steps - 1:
+            s = q.sum((1, 2))
+            q /= s[:, None, None]
+            if full:
+                lg += np.log10(s)
+            else:
+                lg[on] += np.log10(s)
+        if full:
+            prod = q
+        else:
+            prod[on] = q
+    return prod, lg
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(v.sum(1, keepdims=True), 1e-300)
+
+
+def expected_counts(m: Model, codes: np.ndarray, offs: np.ndarray, length: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions over the rows' whole sequences, and their log10 likelihood."""
     classes, k = m.emit.shape
-    seq, _, nth = _segments(codes, offs, SEGMENT, classes)
-    emit = np.vstack([m.emit, np.ones(k)])  # padding is emitted with certainty
+    seq, row, nth = _segments(codes, offs, length, classes)
+    size = (seq != classes).sum(0)
+    order = np.argsort(-size, kind="stable")  # so that those still running are the first
+    place = np.empty_like(order)
+    place[order] = np.arange(order.size)
+    seq, row, nth, size = seq[: size.max(initial=0), order], row[order], nth[order], size[order]
     steps, n = seq.shape
-    share = m.emit.sum(0)
-    start = np.where((nth == 0)[:, None], m.start, share / share.sum())
-    alpha, scale, like = np.empty((steps, n, k)), np.empty((steps, n)), 0.0
-    live = seq != classes
-    a = start * emit[seq[0]]
+    emit = np.vstack([m.emit, np.ones(k)])
+    before = np.broadcast_to(m.start, (n, k)).copy()  # the state before a segment, or the start
+    after = np.ones((n, k))  # what comes behind a segment, by the state at its end
+    last = int(nth.max(initial=0))
+    if last:
+        parts = np.bincount(row)
+        many = np.flatnonzero(parts[row] > 1)
+        prod, _ = _products(m, seq[:, many], seq[:, many] != classes, nth[many] == 0)
+        where = np.empty(n, np.int64)
+        where[many] = np.arange(many.size)
+        first = np.cumsum(parts) - parts  # a row's segments in the order before sorting
+        for i in range(1, last + 1):
+            at = np.flatnonzero(parts > i)
+            here, back = place[first[at] + i], place[first[at] + i - 1]
+            before[here] = _unit(np.einsum("nk,nkl->nl", before[back], prod[where[back]]))
+        for i in range(last, 0, -1):
+            at = np.flatnonzero(parts > i)
+            here, back = place[first[at] + i], place[first[at] + i - 1]
+            after[back] = _unit(np.einsum("nkl,nl->nk", prod[where[here]], after[here]))
+    alive = np.searchsorted(-size, -np.arange(steps), side="left")  # segments longer than each step
+    alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
+    a = np.where((nth == 0)[:, None], before, before @ m.move)
     for t in range(steps):
-        if t:
-            a = (a @ m.move) * emit[seq[t]]
-            a = np.where(live[t][:, None], a, 0)
+        c = alive[t]
+        a = (a[:c] if t == 0 else a[:c] @ m.move) * emit[seq[t, :c]]
         s = a.sum(1)
-        s[~live[t]] = 1
-        a = a / s[:, None]
-        alpha[t], scale[t] = a, s
+        a /= s[:, None]
+        alpha[t, :c], scale[t, :c] = a, s
     like = float(np.log10(scale).sum())
-    xi = np.zeros((k, k))
-    out = np.zeros((classes + 1, k))
-    b = np.ones((n, k))
+    b = after / np.maximum((alpha[size - 1, np.arange(n)] * after).sum(1, keepdims=True), 1e-300)
+    xi, start = np.zeros((k, k)), np.zeros(k)
     for t in range(steps - 1, -1, -1):
-        gamma = alpha[t] * b
-        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-        gamma[~live[t]] = 0
-        for s in range(k):
-            out[:, s] += np.bincount(seq[t], gamma[:, s], classes + 1)
+        c = alive[t]
+        e = emit[seq[t, :c]] * b[:c] / scale[t, :c][:, None]
+        alpha[t, :c] *= b[:c]  # from here on the chance of each state
         if t:
-            e = emit[seq[t]] * b / scale[t][:, None]
-            e[~live[t]] = 0
-            xi += alpha[t - 1].T @ e
-            b = np.where(live[t][:, None], e @ m.move.T, 1.0)
-    first = alpha[0] * b
-    first = first[nth == 0]
-    first = (first / np.maximum(first.sum(1, keepdims=True), 1e-300)).sum(0)
-    return first, xi * m.move, out[:classes], like
+            xi += alpha[t - 1, :c].T @ e
+            b[:c] = e @ m.move.T
+        else:
+            xi += before[nth > 0].T @ e[nth > 0]
+            start = alpha[0][nth == 0].sum(0)
+    flat = seq.ravel()
+    out = np.stack([np.bincount(flat, alpha[:, :, s].ravel(), classes + 1)[:classes] for s in range(k)], 1) if n else np.zeros((classes, k))
+    return start, xi * m.move, out, like
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Model:
@@ -288,7 +348,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iteration
             total = None
             for batch in batches:
                 buf, offs = tb.buffers(batch.column(0))
-                for i, j in tb.slices(offs, 1 << 19):
+                for i, j in tb.slices(offs, 1 << 20):
                     part = buf[offs[i] : offs[j]].view(np.int16).astype(np.int64)
                     x = expected_counts(m, part, (offs[i : j + 1] - offs[i]) // 2)
                     total = list(x[:3]) if total is None else [p + q for p, q in zip(total, x[:3])]
@@ -314,36 +374,11 @@ def log_likelihood(m: Model, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     classes, k = m.emit.shape
     rows = offs.size - 1
     seq, row, nth = _segments(codes, offs, SEGMENT, classes)
-    steps, n = seq.shape
     like = np.zeros(rows)
-    if not n:
+    if not row.size:
         return like
-    live = seq != classes
-    emit = np.vstack([m.emit, np.ones(k)])
-    prod = np.broadcast_to(np.eye(k), (n, k, k)).copy()  # from the state before the segment to the one at its end
-    lg = np.zeros(n)
     begins = nth == 0
-    for t in range(steps):
-        on = live[t]
-        if not on.any():
-            break
-        full = on.all()
-        p = prod if full else prod[on]
-        q = (p.reshape(-1, k) @ m.move).reshape(-1, k, k)
-        if t == 0:  # a text's first word follows the start instead of a move
-            q[begins[on] if not full else begins] = np.eye(k)
-        q *= emit[seq[t] if full else seq[t][on]][:, None, :]
-        if t % 8 == 7 or t == steps - 1:
-            s = q.sum((1, 2))
-            q /= s[:, None, None]
-            if full:
-                lg += np.log10(s)
-            else:
-                lg[on] += np.log10(s)
-        if full:
-            prod = q
-        else:
-            prod[on] = q
+    prod, lg = _products(m, seq, seq != classes, begins)
     state = np.broadcast_to(m.start, (rows, k)).copy()
     for i in range(int(nth.max()) + 1):  # segments of a text, one after the other
         at = np.flatnonzero(nth == i) if i else np.flatnonzero(begins)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from .license_join import BLOCK_WORDS, PHRASES, STRIDE, TEMPLATES, THRESHOLD
+from .license_join import PHRASES, TEMPLATES, THRESHOLD, by_stride, needed
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -31,15 +29,19 @@ def _words(text: str) -> list[str]:
 
 def _license() -> str:
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    templates = ", ".join(f"('{label}', {quoted(list(dict.fromkeys(_words(t))))}, {math.ceil(THRESHOLD * len(set(_words(t))) - 1e-9)})" for label, ts in TEMPLATES.items() for t in ts)
+    groups = by_stride(TEMPLATES, THRESHOLD)
+    row = lambda label, t, step: f"({step}, '{label}', {quoted(list(dict.fromkeys(_words(t))))}, {needed(len(set(_words(t))), THRESHOLD)})"
+    templates = ", ".join(row(label, t, step) for step, group in groups.items() for label, ts in group.items() for t in ts)
+    steps = ", ".join(f"({step})" for step in groups)
     phrases = ", ".join(f"('{label}', {quoted(_words(p))})" for p, label in PHRASES.items())
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-t(label, words, needed) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+t(step, label, words, needed) AS (VALUES {templates}), g(step) AS (VALUES {steps}), p(label, words) AS (VALUES {phrases}),
 hits AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w) x JOIN p ON x.w[x.i + 1] = p.words[1] AND x.w[x.i + 1 : x.i + len(p.words)] = p.words),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM hits GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(w[k * {STRIDE} + 1 : k * {STRIDE} + {BLOCK_WORDS}]) AS b FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / {STRIDE}.0) AS BIGINT))) AS k FROM w)),
-met AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share FROM blocks JOIN t ON len(list_intersect(b, words)) >= needed),
+starts AS (SELECT doc_id, w, step, unnest(range(0, CAST(ceil(len(w) / CAST(step AS DOUBLE)) AS BIGINT))) AS k FROM w CROSS JOIN g),
+blocks AS (SELECT doc_id, step, list_distinct(w[k * step + 1 : (k + 2) * step]) AS b FROM starts),
+met AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share FROM blocks JOIN t ON blocks.step = t.step AND len(list_intersect(b, words)) >= needed),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
 top AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)

@@ -10,7 +10,8 @@ Edges sorted by position are then relaxed for all units side by side: each
 position has exactly one last token whose pair with the token before it merges
 no further, which is what the greedy merges of BPE give.  (A piece's place in a
 BPE encoding isn't the best sum of scores, so pairs are tested instead.)
-Tests of pairs are remembered.
+Tests of pairs are remembered, and so are units with their ids: by a hash, and
+by their bytes, so that units of equal hash are told apart.
 
 Results equal those of the sentencepiece library on models with the identity
 normaliser, a dummy prefix and kept white space; others are refused.
@@ -126,6 +127,17 @@ def occurrences(codes: np.ndarray, sa: np.ndarray, pieces: Pieces) -> tuple[np.n
     return lo, hi
 
 
+def _equal(a: np.ndarray, a_at: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+    """Whether each range of ``a`` holds the same bytes as that of ``b``."""
+    same = a_n == b_n
+    n = np.where(same, a_n, 0)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differ = a[np.repeat(a_at, n) + step] != b[np.repeat(b_at, n) + step]
+    if differ.any():
+        same &= tb.row_sums(differ, np.concatenate([[0], np.cumsum(n)])) == 0
+    return same
+
+
 class Encoder:
     """A worker's encoder: pieces, pairs tested so far, units encoded so far."""
 
@@ -138,6 +150,7 @@ class Encoder:
         self.unit = np.zeros(0, np.uint64)
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.raw, self.raw_at, self.raw_n = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether ``right`` can follow ``left`` (-1: nothing that could merge)."""
@@ -209,6 +222,16 @@ class Encoder:
             out, offs = np.array([y for x in wide for y in x]), grown[offs]
         return out.astype(np.int32), offs
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units one after another, and how many each has."""
+        length = np.cumsum([len(x) + 1 for x in texts])
+        parts, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(length, (length[i - 1] if i else 0) + INDEXED, side="right")))
+            parts.append(self.units(texts[i:j]))
+            i = j
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([np.diff(o) for _, o in parts])
+
     def batch(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every row, and the rows' offsets."""
         size = np.diff(offs)
@@ -233,29 +256,42 @@ class Encoder:
             self.forget()
         at = np.searchsorted(self.unit, u)
         known = (at < self.unit.size) & (self.unit[np.minimum(at, self.unit.size - 1)] == u) if self.unit.size else np.zeros(u.size, bool)
+        size_of = end - start
+        odd = ~_equal(buf, start, size_of, buf, start[first[inv]], size_of[first[inv]])
+        if known.any():
+            other = np.zeros(u.size, bool)
+            k, mine = at[known], first[known]
+            other[known] = ~_equal(buf, start[mine], size_of[mine], self.raw, self.raw_at[k], self.raw_n[k])
+            if other.any():  # the remembered unit isn't this one, so each of its kind is looked at
+                odd |= other[inv]
         new = first[~known]
         if new.size:
-            raw = buf.tobytes()
-            texts = [raw[a:b].decode().replace(" ", _SPACE) for a, b in zip(start[new].tolist(), end[new].tolist())]
-            length = np.cumsum([len(x) + 1 for x in texts])
-            parts, i = [], 0
-            while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(length, (length[i - 1] if i else 0) + INDEXED, side="right")))
-                parts.append(self.units(texts[i:j]))
-                i = j
-            n = np.concatenate([np.diff(o) for _, o in parts])
+            texts = [buf[a:b].tobytes().decode().replace(" ", _SPACE) for a, b in zip(start[new].tolist(), end[new].tolist())]
+            ids, n = self._encoded(texts)
             unit = np.concatenate([self.unit, u[~known]])
             order = np.argsort(unit)
             self.unit = unit[order]
             self.at = np.concatenate([self.at, np.cumsum(n) - n + self.pool.size])[order]
             self.n = np.concatenate([self.n, n])[order]
-            self.pool = np.concatenate([self.pool, *(ids for ids, _ in parts)])
+            self.pool = np.concatenate([self.pool, ids])
+            length = size_of[new]
+            bytes_ = buf[np.repeat(start[new] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+            self.raw_at = np.concatenate([self.raw_at, np.cumsum(length) - length + self.raw.size])[order]
+            self.raw_n = np.concatenate([self.raw_n, length])[order]
+            self.raw = np.concatenate([self.raw, bytes_])
         k = np.searchsorted(self.unit, u)[inv]
-        n = self.n[k]
+        n, begin, pool = self.n[k], self.at[k], self.pool
+        if odd.any():
+            texts = [buf[a:b].tobytes().decode().replace(" ", _SPACE) for a, b in zip(start[odd].tolist(), end[odd].tolist())]
+            distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            ids, m = self._encoded(list(distinct))
+            which = np.array([distinct[t] for t in texts])
+            n[odd], begin[odd] = m[which], (np.cumsum(m) - m + pool.size)[which]
+            pool = np.concatenate([pool, ids])
         total = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(self.at[k] - total[:-1], n) + np.arange(total[-1])
+        take = np.repeat(begin - total[:-1], n) + np.arange(total[-1])
         per_row = np.bincount(row, n, minlength=size.size).astype(np.int64)
-        return self.pool[take], np.concatenate([[0], np.cumsum(per_row)])
+        return pool[take], np.concatenate([[0], np.cumsum(per_row)])
 
 
 def decode_bytes(pieces: Pieces, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -249,9 +249,11 @@ def test_nearest_on_odd_rows(spark):
     assert ann_scan.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-def test_nearest_recall_with_a_crowded_cell(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [1024, 8])  # 8: cells are cut by a second set of centroids
+def test_nearest_recall_with_a_crowded_cell(spark, monkeypatch, cells):
     monkeypatch.setattr(ann_scan, "PART_ROWS", 500)
-    monkeypatch.setattr(ann_scan, "PART_QUERIES", 50)
+    monkeypatch.setattr(ann_scan, "QUERIES", 50)
+    monkeypatch.setattr(ann_scan, "CELLS", cells)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((4000, 8))
     x[:1500] = x[0] + rng.standard_normal((1500, 8)) * 0.01
@@ -266,6 +268,32 @@ def test_nearest_recall_with_a_crowded_cell(spark, monkeypatch):
     assert all(len(v) == 20 for v in got.values()) and len(got) == 200
 
 
+def test_nearest_recall_of_many_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((50, 32))
+    x = (centres[rng.integers(0, 50, 20_000)] + rng.standard_normal((20_000, 32)) * 0.7).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x))}))
+    got = ann_scan.search(df, every=200).toPandas().groupby("query_id").vec_id.agg(set)
+    s = x[::200].astype(float) @ x.T.astype(float)
+    s[np.arange(100), np.arange(0, 20_000, 200)] = -np.inf
+    true = np.argsort(-s, 1)[:, :20]
+    assert np.mean([len(got[i * 200] & set(t.tolist())) / 20 for i, t in enumerate(true)]) > 0.95
+
+
+def test_threshold_tightens(monkeypatch):
+    """Fewer candidates are left to the last column block than with the first rows' threshold."""
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((5000, 64)), rng.standard_normal((10, 64))
+    seen = []
+    real = ann_scan._tightened
+    monkeypatch.setattr(ann_scan, "_tightened", lambda best, qi, part: seen.append((best.max(1), qi.size)) or real(best, qi, part))
+    ann_scan.scan(q, x, 10, np.full(10, -1))
+    limits = np.array([b for b, _ in seen[1:]])
+    assert len(limits) > 3 and (np.diff(limits, axis=0) <= 0).all() and (limits[-1] < limits[0]).all()
+    assert seen[-1][1] < seen[1][1]
+
+
 def test_scan_keeps_true_neighbours():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((3000, 64)), rng.standard_normal((20, 64))
