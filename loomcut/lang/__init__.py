@@ -22,12 +22,13 @@ _PARSERS = {
     "java": lambda s: java.Parser(s).parse(),
 }
 LANGUAGES = tuple(_PARSERS)
+_FRAMES = 1_000_000
 
 
 def parse(code: str, language: str) -> tuple[Node, ParseError | None]:
     """Tree of ``code``, and what was wrong with it (never raises on malformed code)."""
     source = Source(code)
-    if sys.getrecursionlimit() < 20_000:  # chains of else-if are recursive; Python frames need no C stack
-        sys.setrecursionlimit(20_000)
+    if sys.getrecursionlimit() < _FRAMES:  # nesting is recursive; Python frames need no C stack
+        sys.setrecursionlimit(_FRAMES)
     root = _PARSERS[language](source)
     return root, source.error(root)

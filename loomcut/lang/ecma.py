@@ -1,4 +1,4 @@
-"""JavaScript and TypeScript (with JSX read as plain tokens)."""
+"""JavaScript and TypeScript, either with JSX."""
 
 from __future__ import annotations
 
@@ -14,6 +14,11 @@ _HEADS = {"if": "if_statement", "for": "for_statement", "while": "while_statemen
 _SIMPLE = {"return": "return_statement", "throw": "throw_statement", "break": "break_statement", "continue": "continue_statement", "debugger": "debugger_statement"}
 _MODIFIERS = set("public private protected static readonly abstract async override declare get set accessor".split())
 _ACCESS = {"public", "private", "protected"}
+_TAG = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*)?")
+_CLOSING = re.compile(r"</\s*([\w$.:-]*)\s*>")
+_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_BLANK = re.compile(r"(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+_TEXT = re.compile(r"[^<>{}]*")
 
 
 class Parser(Bracketed):
@@ -23,6 +28,7 @@ class Parser(Bracketed):
 
     def __init__(self, source: Source, typed: bool):
         self.typed = typed
+        self.no_markup: set[int] = set()
         super().__init__(source)
 
     def regex_allowed(self, last: Token | None) -> bool:
@@ -30,6 +36,102 @@ class Parser(Bracketed):
             return last is None or last.text not in _AFTER_VALUE
         return last.kind == "id" and last.text in _BEFORE_REGEX
 
+    def element(self, pos: int, newline: bool, out: list[Token]) -> int:
+        """A JSX element where a value may begin: pieces of markup, and between them the tokens of what is in braces.
+
+        What looks like one and isn't (type parameters, casts) is remembered, so
+        that no place is tried twice.
+        """
+        if pos in self.no_markup or not self.regex_allowed(out[-1] if out else None):
+            return 0
+        tokens, comments = len(out), len(self.comments)
+        end = self._markup(pos, newline, out)
+        if not end:
+            self.no_markup.add(pos)
+            del out[tokens:], self.comments[comments:]
+        return end
+
+    def _markup(self, pos: int, newline: bool, out: list[Token]) -> int:
+        code, n = self.code, len(self.code)
+        names: list[str] = []
+        begin = at = pos
+
+        def piece(kind: str) -> None:
+            nonlocal begin, newline
+            if at > begin:
+                out.append(Token(kind, begin, at, code[begin:at], newline))
+                newline = False
+            begin = at
+
+        def braces() -> bool:
+            """The tokens of ``{...}``; whether it is closed."""
+            nonlocal begin, at
+            piece("markup")
+            out.append(Token("op", at, at + 1, "{", False))
+            at = self.scan(at + 1, False, out, True)
+            if at >= n:
+                return False
+            out.append(Token("op", at, at + 1, "}", False))
+            begin = at = at + 1
+            return True
+
+        while True:
+            if m := _CLOSING.match(code, at):
+                if not names or names.pop() != m.group(1):
+                    return 0
+                at = m.end()
+            else:
+                m = _TAG.match(code, at)
+                name = m.group(1) or ""
+                at = m.end()
+                if name and code.startswith("<", at):  # type arguments
+                    depth = 0
+                    while at < n and code[at] not in ";{}" and (depth := depth + (code[at] == "<") - (code[at] == ">")):
+                        at += 1
+                    at += 1
+                while True:
+                    at = _BLANK.match(code, at).end()
+                    if code.startswith("/>", at) and name:
+                        at += 2
+                        break
+                    if code.startswith(">", at):
+                        at += 1
+                        names.append(name)
+                        break
+                    if not name:
+                        return 0
+                    if code.startswith("{", at):
+                        if not braces():
+                            return 0
+                        continue
+                    if not (m := _ATTRIBUTE.match(code, at)):
+                        return 0
+                    at = m.end()
+                    value = _BLANK.match(code, at).end()
+                    if not code.startswith("=", value):
+                        continue
+                    at = _BLANK.match(code, value + 1).end()
+                    if code[at : at + 1] in ('"', "'") and at < n:
+                        at = code.find(code[at], at + 1) + 1
+                        if not at:
+                            return 0
+                    elif code.startswith("{", at):
+                        if not braces():
+                            return 0
+                    else:
+                        return 0
+            while names:  # text up to the next tag
+                at = _TEXT.match(code, at).end()
+                if not code.startswith("{", at):
+                    break
+                if not braces():
+                    return 0
+            if not names:
+                piece("markup_end")
+                return at
+            if not code.startswith("<", at):
+                return 0
+
     def parse(self) -> Node:
         return self.parse_all("program", self.statement)
 
@@ -366,9 +468,19 @@ class Parser(Bracketed):
                 out.append(self.call_group())
             elif self.at("{"):
                 out.append(self.object())
+            elif t.kind in ("markup", "markup_end"):
+                out.append(self.jsx())
             else:
                 out.append(self.leaf())
 
+    def jsx(self) -> Node:
+        children: list[Node] = []
+        while True:
+            last = self.peek().kind == "markup_end"
+            children.append(self.object() if self.at("{") else self.leaf())
+            if last or self.peek().kind == "eof":
+                return self.node("jsx_element", children)
+
     def call_group(self) -> Node:
         """A group of expressions, in which functions and classes are parsed."""
         first = self.peek().text
@@ -394,7 +506,7 @@ class Parser(Bracketed):
         if self.depth >= self.DEEPEST:
             children += self.flat("}")
         while self.peek().kind != "eof" and not self.at(*CLOSERS):
-            if self.at("{") and self.t[self.i - 1].text == ")":
+            if self.at("{") and self.t[self.i - 1].text in (")", "=>"):
                 children.append(self.braces("statement_block", self.statement))
                 continue
             before = self.i

@@ -90,7 +90,7 @@ def insert_comments(root: Node, comments: list[Node]) -> None:
 
 @dataclass(slots=True)
 class Token:
-    kind: str  # id, number, string, op
+    kind: str  # id, number, string, op, markup, markup_end
     start: int
     end: int
     text: str
@@ -98,16 +98,19 @@ class Token:
 
 
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+_OPAQUE = ("string", "markup", "markup_end", "eof")
 GROUPS = {"(": "parenthesized_expression", "[": "array", "{": "object"}
 
 
 class Bracketed:
     """Recursive descent over tokens; comments are put back afterwards.
 
-    Nesting is bounded: beyond ``DEEPEST`` levels a group's content stays flat.
+    Nesting is as deep as the code's: frames of Python functions take no C
+    stack.  Beyond ``DEEPEST`` levels, which no recursion limit would hold, a
+    group's content stays flat.
     """
 
-    DEEPEST = 120
+    DEEPEST = 50_000
     TOKEN: re.Pattern
     LINE_COMMENT = BLOCK_COMMENT = "comment"
     NESTED_COMMENTS = False
@@ -128,7 +131,13 @@ class Bracketed:
         return False
 
     def tokenize(self) -> list[Token]:
-        out, pos, newline, n = [], 0, True, len(self.code)
+        out: list[Token] = []
+        self.scan(0, True, out, False)
+        return out
+
+    def scan(self, pos: int, newline: bool, out: list[Token], braced: bool) -> int:
+        """Tokens from ``pos`` to the end or, if ``braced``, to the brace that closes one opened before; returns where that is."""
+        n, depth = len(self.code), 0
         match = self.TOKEN.match
         while pos < n:
             m = match(self.code, pos)
@@ -155,11 +164,21 @@ class Bracketed:
                 end = self.template(pos)
                 out.append(Token("string", pos, end, self.code[pos:end], newline))
                 newline = False
+            elif kind == "op" and text == "<" and (after := self.element(pos, newline, out)):
+                end, newline = after, False
             else:
+                if braced and kind == "op":
+                    depth += (text == "{") - (text == "}")
+                    if depth < 0:
+                        return pos
                 out.append(Token(kind, pos, end, text, newline))
                 newline = False
             pos = end
-        return out
+        return n
+
+    def element(self, pos: int, newline: bool, out: list[Token]) -> int:
+        """End of the markup that begins at ``pos``, its tokens added to ``out``; 0 if there is none."""
+        return 0
 
     def _nested(self, pos: int) -> int:
         depth = 0
@@ -198,7 +217,7 @@ class Bracketed:
 
     def at(self, *texts: str) -> bool:
         t = self.peek()
-        return t.text in texts and t.kind != "string" and t.kind != "eof"
+        return t.text in texts and t.kind not in _OPAQUE
 
     def leaf(self, type_: str | None = None, name: str | None = None) -> Node:
         t = self.peek()
@@ -206,7 +225,7 @@ class Bracketed:
             return self.missing(type_ or "token")
         self.i += 1
         if type_ is None:
-            type_ = {"id": "identifier", "number": "number", "string": self.STRING}.get(t.kind, t.text)
+            type_ = {"id": "identifier", "number": "number", "string": self.STRING, "markup": "jsx_text", "markup_end": "jsx_text"}.get(t.kind, t.text)
         return Node(type_, t.start, t.end, [], type_ != t.text or t.kind in ("number", "string"), name)
 
     def word(self, name: str | None = None) -> Node:
