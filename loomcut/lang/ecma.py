@@ -36,7 +36,7 @@ class Parser(Bracketed):
             return last is None or last.text not in _AFTER_VALUE
         return last.kind == "id" and last.text in _BEFORE_REGEX
 
-    def element(self, pos: int, newline: bool, out: list[Token]) -> int:
+    def markup(self, pos: int, newline: bool, out: list[Token]) -> int:
         """A JSX element where a value may begin: pieces of markup, and between them the tokens of what is in braces.
 
         What looks like one and isn't (type parameters, casts) is remembered, so

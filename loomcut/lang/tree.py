@@ -164,7 +164,7 @@ class Bracketed:
                 end = self.template(pos)
                 out.append(Token("string", pos, end, self.code[pos:end], newline))
                 newline = False
-            elif kind == "op" and text == "<" and (after := self.element(pos, newline, out)):
+            elif kind == "op" and text == "<" and (after := self.markup(pos, newline, out)):
                 end, newline = after, False
             else:
                 if braced and kind == "op":
@@ -176,7 +176,7 @@ class Bracketed:
             pos = end
         return n
 
-    def element(self, pos: int, newline: bool, out: list[Token]) -> int:
+    def markup(self, pos: int, newline: bool, out: list[Token]) -> int:
         """End of the markup that begins at ``pos``, its tokens added to ``out``; 0 if there is none."""
         return 0
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcut.functions import text as T
-from loomcut.operators.events import delta, nearest_rank
+from loomcut.operators.events import delta, first_of, first_seen, map_sum, nearest_rank
 
 COST_PER_1000 = 0.00002
 
@@ -19,54 +19,115 @@ def extract_oracle(instances: DataFrame, with_tests: bool = False) -> DataFrame:
     return instances.select("instance_id", F.explode(files).alias("file"))
 
 
-def instance_metrics(rankings: DataFrame, oracle: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row for each ``instance_id, variant`` of ``totals`` (``..., embed_tokens``): hits, reciprocal rank, coverage, cost.
+KS = (1, 3, 5, 10)
+KINDS = {"behavioral": "ranked_files_from_tools", "declared": "top_files_final"}
 
-    ``rankings`` has ``instance_id, variant, rank, file``; a run without any
-    counts as one that found nothing.
+
+def _ranking(name: str, files: str, oracle: str) -> list[Column]:
+    """Hits, reciprocal rank and coverage of the array ``files`` against the set ``oracle``."""
+    ranked = F.transform(F.coalesce(files, F.array().cast("array<string>")), T.normalize_path)
+    place = F.array_min(F.filter(F.transform(ranked, lambda f, i: F.when(F.array_contains(oracle, f), i + 1)), lambda p: p.isNotNull()))
+    covered = lambda k: F.size(F.array_intersect(F.slice(ranked, 1, k), oracle)) / F.nullif(F.size(oracle), F.lit(0))
+    out = [F.coalesce(place <= k, F.lit(False)).alias(f"hit_at_{k}_{name}") for k in KS]
+    out.append(F.round(F.coalesce(1 / place, F.lit(0.0)), 6).alias(f"mrr_{name}"))
+    return out + [F.round(F.coalesce(covered(k), F.lit(1.0)), 6).alias(f"coverage_at_{k}_{name}") for k in (5, 10)]
+
+
+def instance_metrics(runs: DataFrame, oracle: DataFrame) -> DataFrame:
+    """The metrics' row of every run: quality of both rankings, time and tokens to the first hit, cost, search, output, rankings.
+
+    ``runs`` has ``instance_id, agent_variant``, the arrays
+    ``ranked_files_from_tools`` (behaviour) and ``top_files_final`` (declared),
+    ``time_to_first_hit_ms, tokens_to_first_hit, total_duration_ms,
+    total_cost_usd, total_input_tokens, total_output_tokens, tool_calls_count,
+    tool_output_chars_by_type``, and for runs with semantic search (null else)
+    ``semantic_search_calls, query_embed_tokens, query_embed_latency_ms,
+    index_embed_tokens, index_load_ms``.  A run without ranked files found
+    nothing; one without oracle files (``instance_id, file``) covers all.
     """
-    key = ["instance_id", "variant"]
-    wanted = oracle.select("instance_id", T.normalize_path("file").alias("file")).distinct()
-    ranked = rankings.withColumn("file", T.normalize_path("file")).join(wanted.withColumn("hit", F.lit(True)), ["instance_id", "file"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    within = lambda k: F.max(F.when((F.col("rank") <= k) & F.col("hit"), 1).otherwise(0)).cast("int")
-    found = lambda k: F.count_distinct(F.when((F.col("rank") <= k) & F.col("hit"), F.col("file")))
-    first = F.min(F.when(F.col("hit"), F.col("rank")))
-    per = ranked.groupBy(*key).agg(*[within(k).alias(f"hit_{k}") for k in (1, 3, 5, 10)], F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), found(5).alias("f5"), found(10).alias("f10"))
-    size = wanted.groupBy("instance_id").agg(F.count("*").alias("n"))
-    out = totals.join(per, key, "left").join(size, "instance_id", "left")
-    cover = lambda c: F.round(F.when(F.coalesce("n", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.coalesce(c, F.lit(0)) / F.col("n")), 6)
-    cost = F.round(F.coalesce("embed_tokens", F.lit(0)) / 1000 * COST_PER_1000, 9)
-    hits = [F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in (1, 3, 5, 10)]
-    return out.select(*key, *hits, F.round(F.coalesce("mrr", F.lit(0.0)), 6).alias("mrr"), cover(F.col("f5")).alias("coverage_5"), cover(F.col("f10")).alias("coverage_10"), cost.alias("embed_cost"))
+    wanted = oracle.groupBy("instance_id").agg(F.array_sort(F.collect_set(T.normalize_path("file"))).alias("oracle_files"))
+    r = runs.join(wanted, "instance_id", "left").withColumn("oracle_files", F.coalesce("oracle_files", F.array().cast("array<string>")))
+    searched = F.col("semantic_search_calls").isNotNull()
+    sum_of = lambda a, b: F.when(searched, F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    tokens = sum_of("query_embed_tokens", "index_embed_tokens")
+    chars = F.aggregate(F.map_values("tool_output_chars_by_type"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return r.select(
+        "instance_id", "agent_variant", "oracle_files", *[c for name, files in KINDS.items() for c in _ranking(name, files, "oracle_files")],
+        "time_to_first_hit_ms", "tokens_to_first_hit", "total_duration_ms", "total_cost_usd", "total_input_tokens", "total_output_tokens", "tool_calls_count", "semantic_search_calls",
+        sum_of("query_embed_latency_ms", "index_load_ms").alias("embed_latency_ms"), tokens.alias("embed_tokens"), F.round(tokens / 1000 * COST_PER_1000, 9).alias("embed_cost_usd"),
+        F.coalesce(chars, F.lit(0)).alias("tool_output_chars_total"), "tool_output_chars_by_type", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("top_files_final", "ranked_files_from_tools")],
+    )
+
+
+def runs_of_events(events: DataFrame, sessions: DataFrame, oracle: DataFrame) -> DataFrame:
+    """What ``instance_metrics`` asks for, from logs: one row for each of ``sessions``.
+
+    ``sessions`` has ``session, instance_id, agent_variant, total_duration_ms,
+    total_cost_usd, top_files_final``; ``events`` has ``session, event_no,
+    type`` (``tool_call`` or ``usage``), ``timestamp`` since the session's
+    start, ``tool_name, output_chars, paths`` (the files that a call named, in
+    order), ``message_id, input_tokens, output_tokens``.  A file is ranked where
+    it is first seen; a message's usage counts once; the first hit is the first
+    new file that the oracle has, with the tokens used by then.
+    """
+    calls, spent = events.where("type = 'tool_call'"), first_of(events.where("type = 'usage'"), ["session", "message_id"], ["event_no"])
+    seen = calls.select("session", "event_no", F.posexplode("paths").alias("place", "path")).withColumn("path", T.normalize_path("path"))
+    ranked = first_seen(seen, order=("event_no", "place"))
+    files = ranked.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("ranked_files_from_tools"))
+    wanted = sessions.select("session", "instance_id").join(oracle.select("instance_id", T.normalize_path("file").alias("path")).distinct(), "instance_id").select("session", "path", F.lit(True).alias("hit"))
+    hits = seen.join(wanted, ["session", "path"], "left_semi").groupBy("session").agg(F.min("event_no").alias("event_no"))
+    log = events.select("session", "event_no", "timestamp").join(hits, ["session", "event_no"]).select("session", F.col("event_no").alias("hit_no"), F.col("timestamp").alias("time_to_first_hit_ms"))
+    used = spent.join(log.select("session", "hit_no"), "session", "left")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    both = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    usage_ = used.groupBy("session").agg(total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"), F.sum(F.when(F.col("event_no") < F.col("hit_no"), both).otherwise(0)).alias("by_then"))
+    counts = calls.groupBy("session").agg(F.count("*").alias("tool_calls_count"))
+    out = sessions.join(files, "session", "left").join(log.drop("hit_no"), "session", "left").join(usage_, "session", "left").join(counts, "session", "left")
+    out = out.join(map_sum(calls, "session", "tool_name", "output_chars", "tool_output_chars_by_type"), "session", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_input_tokens", "total_output_tokens", "tool_calls_count")]
+    none = [F.lit(None).cast("long").alias(c) for c in ("semantic_search_calls", "query_embed_tokens", "query_embed_latency_ms", "index_embed_tokens", "index_load_ms")]
+    tokens = F.when(F.col("time_to_first_hit_ms").isNotNull(), F.coalesce("by_then", F.lit(0))).cast("long").alias("tokens_to_first_hit")
+    return out.select("instance_id", "agent_variant", "ranked_files_from_tools", "top_files_final", "time_to_first_hit_ms", tokens, "total_duration_ms", "total_cost_usd", *zero, "tool_output_chars_by_type", *none)
 
 
 VARIANTS = ("ops-only", "ops-plus-search")
-_RATES = [f"hit_at_{k}" for k in (1, 3, 5, 10)]
-_MEANS = ["mrr", "coverage_at_5", "coverage_at_10"]
-_TOTALS = ["duration_ms", "tokens", "input_tokens", "output_tokens", "cost_usd", "tool_calls"]
 
 
 def aggregate_metrics(metrics: DataFrame, variants: tuple[str, ...] = VARIANTS) -> DataFrame:
     """One row for each variant, zeros for one without rows: hit rates, means, totals, nearest-rank percentiles.
 
-    ``metrics`` has ``instance_id, variant``, boolean ``hit_at_k``, ``mrr``,
-    ``coverage_at_k``, ``duration_ms, input_tokens, output_tokens, cost_usd,
-    tool_calls``, and nullable ``time_to_first_hit_ms, tokens_to_first_hit``,
-    whose medians stay null where no run has one.
+    ``metrics`` are the rows of ``instance_metrics``; quality is that of the
+    behavioural ranking.  Medians to the first hit stay null where no run has
+    one.
     """
-    m = metrics.withColumn("tokens", F.col("input_tokens") + F.col("output_tokens"))
-    zero = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate") for c in _RATES]
-    zero += [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in _MEANS]
-    zero += [F.round(F.sum(c), 6).alias(f"total_{c}") for c in _TOTALS]
-    zero += [nearest_rank(c, p).cast("long").alias(f"{n}_{c}") for c in ("duration_ms", "tokens") for n, p in (("median", 50), ("p90", 90))]
+    m = metrics.withColumn("tokens", F.col("total_input_tokens") + F.col("total_output_tokens"))
+    zero = [F.round(F.avg(F.col(f"hit_at_{k}_behavioral").cast("double")), 6).alias(f"hit_at_{k}_rate") for k in KS]
+    zero += [F.round(F.avg(f"{c}_behavioral"), 6).alias(f"mean_{c}") for c in ("mrr", "coverage_at_5", "coverage_at_10")]
+    totals = {"duration_ms": "total_duration_ms", "tokens": "tokens", "input_tokens": "total_input_tokens", "output_tokens": "total_output_tokens", "cost_usd": "total_cost_usd", "tool_calls": "tool_calls_count"}
+    zero += [F.round(F.sum(c), 6).alias(f"total_{name}") for name, c in totals.items()]
+    zero += [nearest_rank(totals[c], p).cast("long").alias(f"{n}_{c}") for c in ("duration_ms", "tokens") for n, p in (("median", 50), ("p90", 90))]
     absent = [nearest_rank(c, 50).cast("long").alias(f"median_{c}") for c in ("time_to_first_hit_ms", "tokens_to_first_hit")]
-    per = m.groupBy("variant").agg(*zero, *absent)
+    per = m.groupBy(F.col("agent_variant").alias("variant")).agg(*zero, *absent)
     dim = metrics.sparkSession.createDataFrame([(v,) for v in variants], "variant string")
     out = dim.join(per, "variant", "left")
     keep = {f"median_{c}" for c in ("time_to_first_hit_ms", "tokens_to_first_hit")} | {"variant"}
     return out.select(*[F.col(c) if c in keep else F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in out.dtypes])
 
 
+def summary_report(summary: DataFrame, split: str, instances: int, width: int = 70) -> str:
+    """A summary's few rows as text."""
+    out = [f"Retrieval evaluation ({split})", f"Total instances: {instances}"]
+    for r in summary.orderBy("variant").collect():
+        out += [
+            f" {r.variant.upper()} ".center(width, "="),
+            "  ".join(f"Hit@{k}: {r[f'hit_at_{k}_rate'] * 100:5.1f}%" for k in KS),
+            f"MRR: {r.mean_mrr:.3f}  Coverage@5: {r.mean_coverage_at_5 * 100:.1f}%  Coverage@10: {r.mean_coverage_at_10 * 100:.1f}%",
+            f"Duration: {r.total_duration_ms} ms (median {r.median_duration_ms}, p90 {r.p90_duration_ms})  Tokens: {r.total_tokens} (median {r.median_tokens}, p90 {r.p90_tokens})",
+            f"Tool calls: {r.total_tool_calls}  Cost: ${r.total_cost_usd:.4f}",
+        ]
+    return "\n".join(out)
+
+
 def metric_deltas(summary: DataFrame, variants: tuple[str, str] = VARIANTS) -> DataFrame:
     """The second variant less the first."""
     return delta(summary, variants[1], variants[0], ["hit_at_1_rate", "hit_at_3_rate", "hit_at_5_rate", "mean_mrr", "total_duration_ms", "total_tokens", "total_cost_usd"])

@@ -24,9 +24,9 @@ def tool_latency(starts: DataFrame, ends: DataFrame, key: list[str]) -> DataFram
     return ends.join(s, key, "left").withColumn("latency_ms", F.coalesce(F.col("ts_ms") - F.col("_start"), F.lit(0)).cast("long")).drop("_start")
 
 
-def first_seen(paths: DataFrame, session: str = "session", path: str = "path", order: str = "event_no") -> DataFrame:
-    """``session, path, rank``: distinct paths by when they were first seen."""
-    first = paths.groupBy(session, path).agg(F.min(order).alias("_at"))
+def first_seen(paths: DataFrame, session: str = "session", path: str = "path", order: tuple[str, ...] = ("event_no",)) -> DataFrame:
+    """``session, path, rank``: distinct paths by when they were first seen, within an event by their place if ``order`` has it."""
+    first = paths.groupBy(session, path).agg(F.min(F.struct(*order)).alias("_at"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(session).orderBy("_at", path))).drop("_at")
 
 

@@ -94,6 +94,44 @@ def siblings(nodes: DataFrame, most: int = 3) -> DataFrame:
     return each.where("s.sibling is not null").select("file_id", "id", "s.sibling", "s.position", "s.distance")
 
 
+def siblings_of_ranges(ranges: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:
+    """Up to ``most`` nearest nodes before and after each range, of those on its level that it doesn't overlap.
+
+    ``nodes`` are ``file_id, parent, id, start, end``, properly nested (a null
+    parent: the top level); ``ranges`` are ``file_id, chunk, c_start, c_end,
+    scope``, the node that each begins in or null.  A range's level is that of
+    its scope, or the top one.  Distances count from the scope; without one,
+    from the level's far end: the first node is 1 after, the last 1 before.
+
+    On each level nodes and ranges are sorted together once; what lies before
+    and after a range are then runs of neighbours, joined by their number.
+    """
+    level = Window.partitionBy("file_id", "up")
+    n = nodes.withColumn("up", F.coalesce(F.col("parent").cast("string"), F.lit("")))
+    n = n.withColumn("i", F.row_number().over(level.orderBy("start", "id"))).withColumn("size", F.count("*").over(level))
+    of = n.select("file_id", F.col("id").alias("scope"), "up", F.col("i").alias("here"))
+    r = ranges.join(of, ["file_id", "scope"], "left").withColumn("up", F.coalesce("up", F.lit("")))
+    none = F.lit(None)
+    cols = ["file_id", "up", "at", "kind", "i", "chunk", "here", "side"]
+    marks = n.select("file_id", "up", F.col("end").alias("at"), F.lit(0).alias("kind"), "i", none.cast(dict(r.dtypes)["chunk"]).alias("chunk"), none.cast("int").alias("here"), F.lit("before").alias("side"))
+    marks = marks.unionByName(n.select("file_id", "up", (-F.col("start")).alias("at"), F.lit(0).alias("kind"), "i", none.cast(dict(r.dtypes)["chunk"]).alias("chunk"), none.cast("int").alias("here"), F.lit("after").alias("side")))
+    for side, at in (("before", F.col("c_start")), ("after", -F.col("c_end"))):
+        marks = marks.unionByName(r.select("file_id", "up", at.alias("at"), F.lit(1).alias("kind"), none.cast("int").alias("i"), "chunk", "here", F.lit(side).alias("side")))
+    so_far = Window.partitionBy("file_id", "up", "side").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = F.when(F.col("side") == "before", F.max("i").over(so_far)).otherwise(F.min("i").over(so_far))
+    near = marks.select(*cols, edge.alias("edge")).where("kind = 1 and edge is not null")
+    step = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    near = near.withColumn("k", step).withColumn("i", F.when(F.col("side") == "before", F.col("edge") - F.col("k")).otherwise(F.col("edge") + F.col("k")))
+    met = near.join(n.select("file_id", "up", "i", "id", "size"), ["file_id", "up", "i"])
+    distance = F.when(F.col("here").isNotNull(), F.abs(F.col("i") - F.col("here"))).when(F.col("side") == "before", F.col("size") - F.col("i") + 1).otherwise(F.col("i"))
+    return met.select("file_id", "chunk", F.col("id").alias("sibling"), F.col("side").alias("position"), distance.cast("int").alias("distance"))
+
+
 def used_imports(imports: DataFrame, names: DataFrame) -> DataFrame:
     """Imports (``file_id, name``) whose name is among the file's used ``names``."""
     return imports.join(names.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi")
+
+
+def used_names(imports: Column, names: Column) -> Column:
+    """The same within a row: of an array of imported names those among the file's ``names``."""
+    return F.array_intersect(imports, names)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcut.workers import ship
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -38,27 +44,62 @@ def search(index: DataFrame, query: list[float], top_k: int = 10, pattern: str |
     return scored.orderBy(F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score")).desc_nulls_last(), order).limit(max(1, min(50, top_k)))
 
 
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 1000
+#: Queries whose vectors are in memory at once.
+QUERY_BLOCK = 4096
 
 
 def search_many(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the top-k of each row of ``queries`` (``query_id, q``), a stated set.
+    """``query_id, rank, vec_id, score``: the exact top-k of each row of ``queries`` (``query_id, q``), a stated set, among all other rows.
 
-    Queries are broadcast in blocks of about ``QUERY_BLOCK``; each task keeps
-    its best rows of each query before anything is shuffled.
+    Queries are broadcast in blocks of at most ``QUERY_BLOCK``.  A task
+    multiplies the block with its rows, batch after batch, and passes on its
+    best ``top_k`` of each query alone; a window picks the best of all.
+    Vectors of another length than the query's block, and null ones, take no part.
     """
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
-    v = index.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("en", F.sqrt(dot(F.col("e"), F.col("e"))))
-    score = F.round(dot(F.col("q"), F.col("e")) / F.nullif(F.col("qn") * F.col("en"), F.lit(0.0)), 9)
-    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    ship(index.sparkSession)
+    rows = index.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).where("query_id is not null and q is not null")
+    sizes = asked.groupBy(F.size("q").alias("dim")).agg(F.count("*").alias("n")).collect()
+    out = "query_id long, vec_id long, score double"
     parts = []
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
-        parts.append(met.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k))
-    return reduce(DataFrame.unionByName, parts)
+    for dim, n in sorted((r["dim"], r["n"]) for r in sizes if r["dim"] > 0):
+        blocks = max(1, math.ceil(n / QUERY_BLOCK))
+        for b in range(blocks):
+            block = asked.where((F.size("q") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+            if block.num_rows:
+                parts.append(rows.where(F.size("e") == dim).mapInArrow(_best(index, block, dim, top_k), out))
+    if not parts:
+        return index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+
+
+def _best(index: DataFrame, block: pa.Table, dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    matrix = lambda c: c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    ids = block.column("query_id").to_numpy()
+    q = matrix(block.column("q").combine_chunks())
+    shared = index.sparkSession.sparkContext.broadcast((ids, q, np.sqrt((q * q).sum(1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, qn = shared.value
+        score, found = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                b = batch.slice(i, 2048)
+                x, vec = matrix(b.column("e")), b.column("vec_id").to_numpy()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.round(q @ x.T / (qn[:, None] * np.sqrt((x * x).sum(1))), 9)
+                s[np.isnan(s)] = -2  # of no direction: after all others
+                s[ids[:, None] == vec] = -np.inf
+                score, found = np.hstack([score, s]), np.hstack([found, np.broadcast_to(vec, s.shape)])
+                if score.shape[1] > k:
+                    order = np.lexsort((found, -score), axis=1)[:, :k]
+                    score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+        row, at = np.nonzero(score > -np.inf)
+        s = score[row, at]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found[row, at]), pa.array(s, mask=s == -2)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def hits(ranked: DataFrame, k: int) -> Column:

@@ -338,13 +338,38 @@ def siblings_topk(spark, d):
     return S.siblings(nodes)
 
 
-@query(r"""SELECT DISTINCT doc_id AS file_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) AS name FROM documents)
-WHERE name IN (SELECT unnest(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) FROM benchmark)""")
+@query(f"""WITH {_RANGES}, pts AS (SELECT CAST(o_orderkey % 2 AS BIGINT) AS file_id, CAST(o_orderkey AS BIGINT) AS chunk, CAST(o_orderkey * 7919 % 500000000 AS BIGINT) AS cs, CAST(o_orderkey * 7919 % 500000000 + 1500 * (o_orderkey % 700) AS BIGINT) AS ce FROM orders),
+level AS (SELECT r.*, p.parent AS up, row_number() OVER (PARTITION BY r.file_id, p.parent ORDER BY r.s, r.id) AS i, count(*) OVER (PARTITION BY r.file_id, p.parent) AS n FROM ranges r JOIN parents p ON p.file_id = r.file_id AND p.id = r.id WHERE r.id < 1000),
+c AS (SELECT pts.*, l.up, l.i AS here FROM pts LEFT JOIN (SELECT pts.chunk, arg_max(l.id, l.s * 1000000 + l.id) AS scope FROM pts JOIN level l ON l.file_id = pts.file_id AND l.s <= pts.cs AND pts.cs < l.e GROUP BY pts.chunk) x ON x.chunk = pts.chunk LEFT JOIN level l ON l.id = x.scope AND l.file_id = pts.file_id),
+met AS (SELECT c.file_id, c.chunk, l.id AS sibling, CASE WHEN l.s < c.cs THEN 'before' ELSE 'after' END AS position, CASE WHEN c.here IS NOT NULL THEN abs(l.i - c.here) WHEN l.s < c.cs THEN l.n - l.i + 1 ELSE l.i END AS distance
+  FROM c JOIN level l ON l.file_id = c.file_id AND l.up IS NOT DISTINCT FROM c.up AND NOT (l.s < c.ce AND l.e > c.cs))
+SELECT file_id, chunk, CAST(sibling AS BIGINT) AS sibling, position, CAST(distance AS INTEGER) AS distance FROM met QUALIFY row_number() OVER (PARTITION BY chunk, position ORDER BY distance) <= 3""")
+def siblings_of_ranges(spark, d):
+    """Orders as ranges over the nations: neither those that a range overlaps nor its own scope are its neighbours."""
+    e = _ranges(spark, d).where("id < 1000")
+    k = F.col("o_orderkey").cast("long")
+    at = k * 7919 % 500000000
+    chunks = _t(spark, d, "orders").select(k.alias("chunk"), (k % 2).alias("file_id"), at.alias("c_start"), F.greatest(at + 1500 * (k % 700), at).alias("c_end"))
+    found = S.scope_at(chunks.select("file_id", F.col("chunk").alias("point"), F.col("c_start").alias("at")), e, _WIDTH).select(F.col("point").alias("chunk"), "scope")
+    nodes = e.join(S.scope_parents(e, _WIDTH), ["file_id", "id"])
+    return S.siblings_of_ranges(chunks.join(found, "chunk"), nodes)
+
+
+@query(r"""SELECT d.doc_id AS file_id, name FROM documents d JOIN (SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'))) AS name FROM benchmark) b
+ON b.item_id = d.doc_id % 40 AND list_contains(regexp_extract_all(d.text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'), name)""")
 def used_imports(spark, d):
-    names = _t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.explode(T.identifiers("text")).alias("name"))
-    known = _t(spark, d, "benchmark").select(F.explode(T.identifiers("text")).alias("name")).distinct()
-    imports = names.join(known, "name", "left_semi").select("file_id", "name")
-    return S.used_imports(imports, names)
+    """Every document imports the words of a benchmark item; those that its text uses.  One scan, nothing shuffled."""
+    known = _t(spark, d, "benchmark").select("item_id", T.identifiers("text").alias("imports"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), (F.col("doc_id") % 40).alias("item_id"), "text").join(known, "item_id")
+    return docs.select("file_id", F.explode(S.used_names(F.col("imports"), T.identifiers("text"))).alias("name"))
+
+
+@query("SELECT DISTINCT o_custkey AS file_id, o_orderkey % 50 AS name FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30)")
+def import_semi_join(spark, d):
+    o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    imports = o.select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("name"))
+    names = li.where("l_quantity > 30").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("name"))
+    return S.used_imports(imports, names).select("file_id", (F.col("name") % 50).alias("name")).distinct()
 
 
 # Events as an agent's log: the user is the session, the event type the tool, k of props the path.
@@ -375,9 +400,13 @@ def output_chars_by_tool(spark, d):
     return E.map_sum(_log(spark, d), "session", "tool", "tokens", "m").select("session", F.explode("m").alias("tool", "chars"))
 
 
-@query(f"WITH {_LOG} SELECT session, path, CAST(row_number() OVER (PARTITION BY session ORDER BY a, path) AS INTEGER) AS rank FROM (SELECT session, path, min(event_no) AS a FROM log GROUP BY session, path)")
+@query(f"""WITH {_LOG}, p AS (SELECT session, event_no, place, CASE place WHEN 0 THEN (path * 7) % 50 WHEN 1 THEN path ELSE (path + event_no) % 50 END AS path FROM log, unnest([0, 1, 2]) AS u(place)),
+f AS (SELECT session, path, min(event_no * 3 + place) AS a FROM p GROUP BY session, path) SELECT session, CAST(path AS BIGINT) AS path, CAST(row_number() OVER (PARTITION BY session ORDER BY a) AS INTEGER) AS rank FROM f""")
 def first_seen_rank(spark, d):
-    return E.first_seen(_log(spark, d))
+    """An event names three paths; the ranking follows events, and within one the order of its paths."""
+    k = F.col("path")
+    three = F.posexplode(F.array(k * 7 % 50, k, (k + F.col("event_no")) % 50)).alias("place", "path")
+    return E.first_seen(_log(spark, d).select("session", "event_no", three), order=("event_no", "place"))
 
 
 @query(f"""WITH {_LOG}, r AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY event_no) AS u FROM log)
@@ -458,22 +487,92 @@ def tool_allowed(spark, d):
 
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS instance_id, 'ops' AS variant, CAST(CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 0 END AS INTEGER) AS hit_1, CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_3,
-  CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_5, CAST(CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS hit_10,
-  CASE s_suppkey % 4 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS mrr, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.5 END::DOUBLE AS coverage_5, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS coverage_10,
-  CAST(round(s_suppkey * 0.00002, 9) AS DOUBLE) AS embed_cost FROM supplier""")
+
+def _quality_sql(name: str, first: str, five: str, ten: str) -> str:
+    """Columns of one ranking, given where the first wanted file stands (null: nowhere) and the coverages."""
+    hits = ", ".join(f"coalesce({first} <= {k}, false) AS hit_at_{k}_{name}" for k in (1, 3, 5, 10))
+    return f"{hits}, round(coalesce(1.0 / {first}, 0.0), 6)::DOUBLE AS mrr_{name}, ({five})::DOUBLE AS coverage_at_5_{name}, ({ten})::DOUBLE AS coverage_at_10_{name}"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier)
+SELECT CAST(k AS VARCHAR) AS instance_id, 'ops' AS agent_variant, CASE WHEN m = 0 THEN '' ELSE 'b.py,x/a.py' END AS oracle_files,
+  {_quality_sql("behavioral", "(CASE m WHEN 1 THEN 1 WHEN 2 THEN 2 END)", "CASE m WHEN 0 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.5 END", "CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END")},
+  {_quality_sql("declared", "(CASE WHEN m <> 0 THEN k % 6 + 1 END)", "CASE WHEN m = 0 THEN 1.0 WHEN k % 6 + 1 <= 5 THEN 0.5 ELSE 0.0 END", "CASE WHEN m = 0 THEN 1.0 ELSE 0.5 END")},
+  CASE WHEN m IN (1, 2) THEN k * 5 END AS time_to_first_hit_ms, CASE WHEN m IN (1, 2) THEN k END AS tokens_to_first_hit, k * 10 AS total_duration_ms, CAST(k AS DOUBLE) / 4 AS total_cost_usd, k * 2 AS total_input_tokens, k * 3 AS total_output_tokens, k % 9 AS tool_calls_count,
+  CASE WHEN k % 2 = 0 THEN k % 5 END AS semantic_search_calls, CASE WHEN k % 2 = 0 THEN k + 7 END AS embed_latency_ms, CASE WHEN k % 2 = 0 THEN k * 1000 + 500 END AS embed_tokens, CASE WHEN k % 2 = 0 THEN round((k * 1000 + 500) / 1000.0 * 0.00002, 9) END::DOUBLE AS embed_cost_usd,
+  k * 3 AS tool_output_chars_total, 'Grep=' || (k * 2) || ',Read=' || k AS tool_output_chars_by_type, CASE WHEN k % 6 = 0 THEN 'b.py' ELSE array_to_string(list_transform(range(0, k % 6), lambda i: 'n' || i), ',') || ',b.py' END AS top_files_final,
+  CASE m WHEN 1 THEN './x//a.py,q,q,q,q,q,/b.py' WHEN 2 THEN 'z.py,b.py' WHEN 0 THEN 'any.py' ELSE '' END AS ranked_files_from_tools FROM s""")
 def instance_metrics(spark, d):
     """Every run has a.py and b.py to find (none if divisible by 4); how soon it does depends on its number."""
     from loomcut.operators import evaluation as X
 
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    i = F.col("k").cast("string").alias("instance_id")
-    patch = F.when(F.col("k") % 4 != 0, "diff --git a/x/a.py b/x/a.py\n\ndiff --git a/b.py b/./b.py\n").otherwise("")
+    k, m = F.col("k"), F.col("k") % 4
+    i = k.cast("string").alias("instance_id")
+    patch = F.when(m != 0, "diff --git a/x/a.py b/x/a.py\n\ndiff --git a/b.py b/./b.py\n").otherwise("")
     oracle = X.extract_oracle(s.select(i, patch.alias("patch")))
-    m = F.col("k") % 4
     files = F.when(m == 1, F.array(*map(F.lit, ["./x//a.py", "q", "q", "q", "q", "q", "/b.py"]))).when(m == 2, F.array(F.lit("z.py"), F.lit("b.py"))).when(m == 0, F.array(F.lit("any.py")))
-    rankings = s.select(i, F.lit("ops").alias("variant"), F.posexplode(files).alias("pos", "file")).select("instance_id", "variant", (F.col("pos") + 1).alias("rank"), "file")
-    return X.instance_metrics(rankings, oracle, s.select(i, F.lit("ops").alias("variant"), (F.col("k") * 1000).alias("embed_tokens")))
+    declared = F.concat(F.expr("transform(filter(array(0, 1, 2, 3, 4), i -> i < k % 6), i -> 'n' || i)"), F.array(F.lit("b.py")))
+    hit, even = m.isin(1, 2), k % 2 == 0
+    runs = s.select(
+        i, F.lit("ops").alias("agent_variant"), files.alias("ranked_files_from_tools"), declared.alias("top_files_final"), F.when(hit, k * 5).alias("time_to_first_hit_ms"), F.when(hit, k).alias("tokens_to_first_hit"), (k * 10).alias("total_duration_ms"), (k / 4).alias("total_cost_usd"),
+        (k * 2).alias("total_input_tokens"), (k * 3).alias("total_output_tokens"), (k % 9).alias("tool_calls_count"), F.create_map(F.lit("Read"), k.cast("long"), F.lit("Grep"), (k * 2).cast("long")).alias("tool_output_chars_by_type"),
+        F.when(even, k % 5).alias("semantic_search_calls"), (k * 1000).alias("query_embed_tokens"), k.alias("query_embed_latency_ms"), F.lit(500).alias("index_embed_tokens"), F.lit(7).alias("index_load_ms"),
+    )
+    return _flat(X.instance_metrics(runs, oracle))
+
+
+def _flat(metrics):
+    """Arrays and maps as text, which either engine can compare."""
+    entries = F.array_join(F.array_sort(F.transform(F.map_entries("tool_output_chars_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return metrics.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else entries.alias(c) if t.startswith("map") else F.col(c) for c, t in metrics.dtypes])
+
+
+def _sessions(spark, d):
+    """Sessions of the event log as runs: every event is a call that names three paths, every fourth one reports usage too."""
+    from loomcut.operators import evaluation as X
+
+    log = _log(spark, d)
+    k = F.col("path")
+    named = F.array(*[F.concat(F.lit("./f"), p.cast("string"), F.lit(".py")) for p in (k * 7 % 50, k, (k + F.col("event_no")) % 50)])
+    none = lambda t: F.lit(None).cast(t)
+    begin = log.groupBy("session").agg(F.min("ts_ms").alias("begin"), F.max("ts_ms").alias("last"))
+    timed = log.join(begin, "session").withColumn("timestamp", F.col("ts_ms") - F.col("begin"))
+    calls = timed.select("session", (F.col("event_no") * 2).alias("event_no"), F.lit("tool_call").alias("type"), "timestamp", F.col("tool").alias("tool_name"), F.col("tokens").alias("output_chars"), named.alias("paths"), none("string").alias("message_id"), none("long").alias("input_tokens"), none("long").alias("output_tokens"))
+    used = timed.where("event_no % 4 = 0").select("session", (F.col("event_no") * 2 + 1).alias("event_no"), F.lit("usage").alias("type"), "timestamp", none("string").alias("tool_name"), none("long").alias("output_chars"), none("array<string>").alias("paths"), (F.col("path") % 20).cast("string").alias("message_id"), F.col("tokens").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    s = F.col("session")
+    sessions = begin.select("session", s.cast("string").alias("instance_id"), F.when(s % 2 == 0, "ops-only").otherwise("ops-plus-search").alias("agent_variant"), (F.col("last") - F.col("begin")).alias("total_duration_ms"), (s.cast("double") / 8).alias("total_cost_usd"), F.array(F.lit("none.py")).alias("top_files_final"))
+    oracle = begin.where("session % 5 <> 0").select(s.cast("string").alias("instance_id"), F.concat(F.lit("f"), (s % 50).cast("string"), F.lit(".py")).alias("file"))
+    return X.instance_metrics(X.runs_of_events(calls.unionByName(used), sessions, oracle), oracle)
+
+
+_SESSIONS = f"""{_LOG}, b AS (SELECT session, min(ts_ms) AS b, max(ts_ms) AS l FROM log GROUP BY session),
+p AS (SELECT session, event_no, event_no * 3 + place AS pos, ts_ms, CASE place WHEN 0 THEN (path * 7) % 50 WHEN 1 THEN path ELSE (path + event_no) % 50 END AS path FROM log, unnest([0, 1, 2]) AS u(place)),
+f AS (SELECT session, path, min(pos) AS a FROM p GROUP BY session, path), ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY a) AS rank FROM f),
+hit AS (SELECT session, a // 3 AS event_no, rank FROM ranked WHERE path = session % 50 AND session % 5 <> 0),
+u AS (SELECT * FROM log WHERE event_no % 4 = 0 QUALIFY row_number() OVER (PARTITION BY session, path % 20 ORDER BY event_no) = 1),
+spent AS (SELECT u.session, sum(tokens) AS i, count(*) AS o, sum(CASE WHEN u.event_no < h.event_no THEN tokens + 1 ELSE 0 END) AS t FROM u LEFT JOIN hit h ON h.session = u.session GROUP BY u.session),
+m AS (SELECT CAST(b.session AS VARCHAR) AS instance_id, CASE WHEN b.session % 2 = 0 THEN 'ops-only' ELSE 'ops-plus-search' END AS variant, b.session % 5 = 0 AS free, h.rank, e.ts_ms - b.b AS time_hit, CASE WHEN h.rank IS NOT NULL THEN coalesce(s.t, 0) END AS token_hit, l - b AS duration, CAST(b.session AS DOUBLE) / 8 AS cost,
+  coalesce(s.i, 0) AS i, coalesce(s.o, 0) AS o, (SELECT count(*) FROM log WHERE log.session = b.session) AS calls FROM b LEFT JOIN hit h ON h.session = b.session LEFT JOIN log e ON e.session = b.session AND e.event_no = h.event_no LEFT JOIN spent s ON s.session = b.session)"""
+
+
+@query(f"""WITH {_SESSIONS} SELECT instance_id, variant AS agent_variant, coalesce(rank <= 10, false) AS hit_at_10_behavioral, round(coalesce(1.0 / rank, 0), 6)::DOUBLE AS mrr_behavioral, (CASE WHEN free OR rank <= 5 THEN 1 ELSE 0 END)::DOUBLE AS coverage_at_5_behavioral,
+  (CASE WHEN free THEN 1 ELSE 0 END)::DOUBLE AS coverage_at_10_declared, CAST(time_hit AS BIGINT) AS time_to_first_hit_ms, CAST(token_hit AS BIGINT) AS tokens_to_first_hit, CAST(i AS BIGINT) AS total_input_tokens, CAST(o AS BIGINT) AS total_output_tokens, calls AS tool_calls_count FROM m""")
+def session_metrics(spark, d):
+    """From an event log to the metrics' rows."""
+    return _sessions(spark, d).select("instance_id", "agent_variant", "hit_at_10_behavioral", "mrr_behavioral", "coverage_at_5_behavioral", "coverage_at_10_declared", "time_to_first_hit_ms", "tokens_to_first_hit", "total_input_tokens", "total_output_tokens", "tool_calls_count")
+
+
+@query(f"""WITH {_SESSIONS} SELECT variant, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1_rate, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3_rate, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5_rate, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_at_10_rate,
+  round(avg(round(coalesce(1.0 / rank, 0), 6)), 6) AS mean_mrr, round(avg(CASE WHEN free OR rank <= 5 THEN 1.0 ELSE 0 END), 6) AS mean_coverage_at_5, round(avg(CASE WHEN free OR rank <= 10 THEN 1.0 ELSE 0 END), 6) AS mean_coverage_at_10,
+  CAST(sum(duration) AS BIGINT) AS total_duration_ms, CAST(sum(i + o) AS BIGINT) AS total_tokens, CAST(sum(i) AS BIGINT) AS total_input_tokens, CAST(sum(o) AS BIGINT) AS total_output_tokens, round(sum(cost), 6) AS total_cost_usd, CAST(sum(calls) AS BIGINT) AS total_tool_calls,
+  CAST(quantile_disc(duration, 0.5) AS BIGINT) AS median_duration_ms, CAST(quantile_disc(duration, 0.9) AS BIGINT) AS p90_duration_ms, CAST(quantile_disc(i + o, 0.5) AS BIGINT) AS median_tokens, CAST(quantile_disc(i + o, 0.9) AS BIGINT) AS p90_tokens,
+  CAST(quantile_disc(time_hit, 0.5) AS BIGINT) AS median_time_to_first_hit_ms, CAST(quantile_disc(token_hit, 0.5) AS BIGINT) AS median_tokens_to_first_hit FROM m GROUP BY variant""")
+def event_summary(spark, d):
+    """From an event log to the summary: sessions' metrics go straight into the aggregation."""
+    from loomcut.operators import evaluation as X
+
+    return X.aggregate_metrics(_sessions(spark, d))
 
 
 _RUNS = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ops-only' ELSE 'ops-plus-search' END AS variant, o_custkey % 7 AS m, o_custkey AS c, o_orderkey AS o FROM orders),
@@ -491,8 +590,8 @@ def _runs(spark, d):
     m, c, o = F.col("o_custkey") % 7, F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long")
     variant = F.when(o % 2 == 0, "ops-only").otherwise("ops-plus-search")
     runs = _t(spark, d, "orders").select(
-        o.cast("string").alias("instance_id"), variant.alias("variant"), *[(m < x).alias(f"hit_at_{k}") for k, x in ((1, 1), (3, 3), (5, 5), (10, 6))], (1.0 / (m + 1)).alias("mrr"), (m / 7.0).alias("coverage_at_5"), (m / 6.0).alias("coverage_at_10"),
-        (c * 10).alias("duration_ms"), c.alias("input_tokens"), o.alias("output_tokens"), (m.cast("double") / 4).alias("cost_usd"), m.cast("long").alias("tool_calls"),
+        o.cast("string").alias("instance_id"), variant.alias("agent_variant"), *[(m < x).alias(f"hit_at_{k}_behavioral") for k, x in ((1, 1), (3, 3), (5, 5), (10, 6))], (1.0 / (m + 1)).alias("mrr_behavioral"), (m / 7.0).alias("coverage_at_5_behavioral"), (m / 6.0).alias("coverage_at_10_behavioral"),
+        (c * 10).alias("total_duration_ms"), c.alias("total_input_tokens"), o.alias("total_output_tokens"), (m.cast("double") / 4).alias("total_cost_usd"), m.cast("long").alias("tool_calls_count"),
         F.when((variant == "ops-only") & (m < 4), c).alias("time_to_first_hit_ms"), F.when(m < 4, o).alias("tokens_to_first_hit"),
     )
     return X.aggregate_metrics(runs)
@@ -509,3 +608,13 @@ def metric_deltas(spark, d):
     from loomcut.operators import evaluation as X
 
     return X.metric_deltas(_runs(spark, d))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id = 0 THEN 1 WHEN event_id % 3 = 0 THEN event_id * 2 WHEN event_id % 7 = 0 THEN 0 ELSE event_id + 5 END AS BIGINT) AS tokens FROM events")
+def reported_usage(spark, d):
+    """A session's reported usage, or what was added up where it is 0 or missing."""
+    from loomcut.operators import evaluation as X
+
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select("event_id", F.when(k % 3 == 0, k * 2).when(k % 5 == 0, 0).alias("reported"), F.when(k % 7 != 0, k + 5).when(k % 3 == 0, 1).alias("added"))
+    return e.select("event_id", X.reported_usage("added", "reported").cast("long").alias("tokens"))

@@ -237,3 +237,41 @@ def test_deep_and_odd_code(language, code):
 def test_small_pieces():
     assert delimiter("f(a: {x}) {", "{") == 10 and delimiter("a<b> {", "{") == 5 and delimiter("'{' {", "{") == 4 and delimiter("x", "{") == -1
     assert unquote('"a"') == "a" and unquote("'a\"") == "'a\""
+
+
+JSX = [
+    ("javascript", "function A() { return <p>don't</p>; } function B() {}", ["A", "B"]),
+    ("javascript", "const x = () => <li>http://x.y // and `</li>;\nfunction B() {}", ["B"]),
+    ("javascript", "const x = ok && <a.b:c d-e='>' f={'}'} {...g}><>{/* it's */}</></a.b:c>\nclass K {}", ["K"]),
+    ("typescript", "const f = <T,>(x: T) => x; const g = <T extends U>(x: T): T => x; function h<T>(a: Array<Array<T>>) {}", ["h"]),
+    ("typescript", "const y = <any>window; const f = <T>(x: T) => { return x }; class K { m(): Set<string> { return null } }", ["K", "m"]),
+    ("typescript", "function A() { return <List<string> a={1} render={() => { function inner() {} return <b>it's</b> }} />; }", ["A", "inner"]),
+    ("javascript", "if (a < b) { c = d > e; } function B() { return a <b && c> d }", ["B"]),
+]
+
+
+@pytest.mark.parametrize("language,code,names", JSX)
+def test_jsx(language, code, names):
+    root, error = parse(code, language)
+    assert error is None
+    assert [e.name for e in extract(root, Source(code), language)] == names
+
+
+def test_markup_that_never_ends_is_tried_once():
+    import time
+
+    began = time.perf_counter()
+    for code in ("x = <a>{ y = " * 400, "x = <T>(a: T) => { y = " * 400, "x = <a b={" * 400):
+        parse(code, "typescript")
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("language,code,n", [
+    ("javascript", "function a() {" * 1500 + "}" * 1500, 1500), ("typescript", "class A { m() { return [" + "[" * 3000 + "]" * 3000 + "] } }", 2),
+    ("java", "class A {" * 1500 + "}" * 1500, 1500), ("rust", "mod a {" * 1000 + "fn f() {}" + "}" * 1000, None), ("go", "package p\nfunc f() {" + "{" * 3000 + "}" * 3000 + "}", None),
+])
+def test_nesting_is_as_deep_as_the_code(language, code, n):
+    root, error = parse(code, language)
+    found = extract(root, Source(code), language)
+    assert error is None and (n is None or len(found) == n)
+    assert sum(1 for x in root.walk() if not x.children) >= len(code.split("{")) - 1

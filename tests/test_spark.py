@@ -144,8 +144,8 @@ def test_files_index_and_sinks(spark, tmp_path):
     assert found.first().filepath == "pkg.x/a.py" and L.search_index(built, "alpha", embed, 5, r"\.ts$").count() == 1
     text = index.result_text(found)
     assert text.startswith("Found 2 relevant code locations:\n\n1. pkg.x/a.py (score: ") and text.endswith("__FILES__\npkg.x/a.py\npkg.x/b.ts\n__END_FILES__")
-    (tmp_path / "m.jsonl").write_text('{"instance_id": "a", "variant": "ops", "hit_1": 1}\n\n{"instance_id": "b", "variant": "ops"}\n')
-    assert S.load_metrics(spark, str(tmp_path / "m.jsonl")).count() == 2
+    (tmp_path / "m.jsonl").write_text('{"instance_id": "a", "agent_variant": "ops-only", "hit_at_1_behavioral": true}\n\n{"instance_id": "b", "agent_variant": "ops-only"}\n')
+    assert [r.hit_at_1_behavioral for r in S.load_metrics(spark, str(tmp_path / "m.jsonl")).orderBy("instance_id").collect()] == [True, None]
     log = str(tmp_path / "log")
     for k in range(2):
         S.append_events(spark.createDataFrame([("tool_call", k)], "type string, timestamp long"), log)
@@ -154,6 +154,80 @@ def test_files_index_and_sinks(spark, tmp_path):
     assert sum(1 for f in (tmp_path / "s").glob("*.json") for _ in map(json.loads, f.open())) == 2
 
 
+def test_folders_of_any_name_and_indexes_replaced(spark, tmp_path):
+    src = tmp_path / "a+b (c)[1] .x"
+    src.mkdir()
+    (src / "a.py").write_text("x = 1\n")
+    assert [r.filepath for r in S.read_files(spark, str(src).replace("[1]", "?1?")).collect()] != [] and S.read_files(spark, str(tmp_path), ["py"]).first().filepath.endswith("/a.py")
+    at = tmp_path / "a+b"
+    at.mkdir()
+    (at / "b.py").write_text("y = 1\n")
+    assert [r.filepath for r in S.read_files(spark, str(at)).collect()] == ["b.py"]
+    v = lambda k: spark.createDataFrame([(k,)], "ord long")
+    first = None
+    for k in (1, 2):
+        S.save_index(v(k), str(tmp_path / "ix"), "i", "p", 8)
+        got = S.load_index(spark, str(tmp_path / "ix"), "i", "p", 8)
+        assert got.first().ord == k
+        first = first or got
+    assert first.first().ord == 1  # what is being read stays while it is replaced
+    assert not S.index_exists(spark, str(tmp_path / "none"), "i", "p", 8)
+
+
+def test_pages_of_a_dataset_are_fetched_once(spark, tmp_path):
+    marker = tmp_path / "calls"
+
+    def fetch(offset, length):
+        with marker.open("a") as f:
+            f.write("x")
+        if offset == 20 and marker.read_text().count("x") < 5:
+            raise OSError("try again")
+        return [{"instance_id": str(i), "repo": "r"} for i in range(offset, offset + length)]
+
+    for _ in range(2):
+        got = S.read_paged(spark, fetch, 45, str(tmp_path / "cache"), page=20, wait=0.01)
+        assert sorted(int(r.instance_id) for r in got.collect()) == list(range(45))
+        calls = marker.read_text()
+    assert marker.read_text() == calls and got.columns[0] == "instance_id"
+
+
+def test_stream_of_events_to_a_log(spark, tmp_path):
+    df = spark.createDataFrame([("usage", k) for k in range(5)], "type string, timestamp long")
+    df.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run adds nothing
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        S.append_event_stream(stream, str(tmp_path / "log"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert S.read_events(spark, str(tmp_path / "log")).count() == 5
+
+
+def test_metrics_rows_survive_a_file(spark, sf, tmp_path):
+    from loomcut.operators import evaluation
+    from loomcut.plans import relational
+
+    m = relational._sessions(spark, sf)
+    assert ", ".join(m.columns) == ", ".join(c.split()[0] for c in S.METRICS.split(", ")) and len(m.columns) == 32
+    S.write_metrics(m, str(tmp_path / "m"))
+    back = S.load_metrics(spark, str(tmp_path / "m"))
+    summary = L.aggregate_metrics(back)
+    assert sorted(map(str, summary.collect())) == sorted(map(str, L.aggregate_metrics(m).collect()))
+    text = evaluation.summary_report(summary, "test", 3)
+    assert "OPS-ONLY" in text and "Hit@1:" in text and text.count("MRR") == 2
+
+
+def test_search_many_equals_search(spark):
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(6)]) for i in range(60)] + [(60, [0.0] * 6), (61, None), (62, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = search.search_many(df, df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 7)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    unit = lambda v: math.sqrt(sum(x * x for x in v))
+    for q, v in rows[0:60:9]:
+        near = sorted((-round(sum(a * b for a, b in zip(v, w)) / (unit(v) * unit(w)), 9), i) for i, w in rows[:60] if i != q and unit(v) and unit(w))
+        assert found[q] == [i for _, i in near[:7]]
+
+
 def test_retry():
     calls = []
 
