@@ -15,8 +15,10 @@ Before that come fixed rules: a text fails with fewer than 20 words, or when
 more than 30 % of its words lie in 8-word windows found twice or more.
 
 Defined results: null and empty text has no words and fails; a null lang is a
-language of its own; repeated rows are judged alike; an empty table gives no
-rows.
+language of its own; repeated rows are judged alike; a long text is judged whole;
+of common words of equal count those of smaller hash come first; a distance
+equal to its limit is kept; columns besides doc_id, text and lang aren't read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ normaliser, a dummy prefix and kept white space; others are refused.
 
 Defined results: null and empty text has no tokens and decodes to the empty
 text; a literal U+2581 is encoded as a space (so it decodes to one); characters
-without a piece become the pieces of their bytes; repeated rows are encoded
-alike; an empty table gives no rows.
+without a piece become the pieces of their bytes; a text without spaces is one
+unit, however long; repeated rows are encoded alike; columns besides doc_id and
+text aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from . import textbuf as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: A session's own path of the model.
+SETTING = "spark.loomcut.sentencepiece"
+MODEL_BYTES = 32 << 20
 #: Units whose encoding a worker remembers before it starts anew.
 REMEMBERED = 1 << 20
 #: Characters that are indexed at once; the edges over them take about 300 bytes each.
@@ -47,10 +52,10 @@ _SPACE_BYTES = _SPACE.encode()
 class Pieces:
     """What encoding and decoding need of a model; its size is that of the vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, raw: bytes | None = None):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=path) if raw is None else sentencepiece.SentencePieceProcessor(model_proto=raw)
         probe = " a  b\n"
         if model.decode(model.encode(probe)) != probe:
             raise ValueError(f"{path}: only models that keep white space are supported")
@@ -307,21 +312,34 @@ def decode_bytes(pieces: Pieces, ids: np.ndarray, offs: np.ndarray) -> tuple[np.
     return np.delete(out, drop), o - np.cumsum(gone)[o]
 
 
+def _shipped(spark: SparkSession, path: str | None) -> Broadcast:
+    """The model as the driver reads it (a vocabulary's size, under ``MODEL_BYTES``), so that workers needn't have the file."""
+    with open(path or spark.conf.get(SETTING, MODEL), "rb") as f:
+        raw = f.read(MODEL_BYTES + 1)
+    if len(raw) > MODEL_BYTES:
+        raise ValueError(f"a model of more than {MODEL_BYTES} bytes")
+    return spark.sparkContext.broadcast(raw)
+
+
 @cache
-def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+def _pieces(raw: bytes) -> Pieces:
+    return Pieces("the model", raw)
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(_pieces(path))
+def _encoder(raw: bytes) -> Encoder:
+    return Encoder(_pieces(raw))
+
 
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` and whether the ids decode to the text (``round_trip``), for every row.
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` and whether the ids decode to the text (``round_trip``), for every row."""
+    The model is at ``path`` on the driver, else where the session's ``SETTING`` says.
+    """
+    model = _shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc = _encoder(model.value)
         for batch in batches:
             buf, offs = tb.buffers(batch.column("text"))
             for i, j in tb.slices(offs, _SLICE):
@@ -341,11 +359,12 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tb.lean(run), f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
 
-def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of rows with ``doc_id, ids``; null ids give the empty text."""
+    model = _shipped(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+        pieces = _pieces(model.value)
         for batch in batches:
             ids = batch.column("ids")
             n = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()]) if ids.null_count else np.diff(ids.offsets.to_numpy())

@@ -402,6 +402,60 @@ def test_quality_base(docs, rows):
     assert kept.columns == docs.columns and kept.count() == got.where("kept").count()
 
 
+def test_quality_distances_equal_brute_force(spark):
+    """References, both distances and the verdict against counters in plain Python."""
+    r = random.Random(12)
+    vocab = {"en": [f"en{i}" for i in range(150)] + ["the", "of"], "de": [f"Wört{i}" for i in range(120)] + ["und", "A1,"]}
+    rows = []
+    for i in range(160):
+        lang = r.choice(["en", "de"])
+        n = r.choice([5, 21, 60, 300])
+        rows.append((i, " ".join(r.choice(vocab[lang][: r.choice([20, 150])]) + r.choice(["", "", ".", "!?"]) for _ in range(n)), lang))
+    rows += [(900, "#$% " * 60, "en"), (901, "zz qq " * 5 + " ".join(f"k{i}" for i in range(40)), "de"), (902, None, "en"), (903, "few words", None)]
+    plain = lambda w: (w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w)
+    word = lambda w: plain(plain(w)).translate(LOWER)
+    kind = lambda c: 0 if c in " \t\n\r\x0b\f" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in ".,;:'\"!?-()" else 6 if ord(c) > 127 else 5
+    chars, counts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        chars[lang].update(map(kind, t or ""))
+        counts[lang].update(map(word, (t or "").split()))
+
+    def js(p, q):
+        keys = set(p) | set(q)
+        a, b = sum(p.values()), sum(q.values())
+        total = 0.0
+        for k in keys:
+            x, y = p.get(k, 0) / a, q.get(k, 0) / b
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+        return math.sqrt(max(total / 2, 0))
+
+    got = {x.doc_id: x for x in quality_js.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    judged = 0
+    for i, t, lang in rows:
+        w = [word(x) for x in (t or "").split()]
+        x = got[i]
+        if len(w) < 20 or sum(counts[lang].values()) < quality_js.LEAST_REFERENCE:
+            assert x.char_distance is None and x.word_distance is None and x.kept == (not x.base_failed)
+            continue
+        judged += 1
+        # ties at the last common place are broken by hash, so the words the operator took are those of its own rank
+        top = [c for _, c in counts[lang].most_common(quality_js.COMMON)]
+        c = js(collections.Counter(map(kind, t)), chars[lang])
+        assert x.char_distance == pytest.approx(c, abs=1e-9)
+        if counts[lang].most_common(quality_js.COMMON + 1)[-1][1] < top[-1]:
+            common = {v for v, _ in counts[lang].most_common(quality_js.COMMON)}
+            group = lambda v: v if v in common else None  # noqa: B023, E731
+            own, ref = collections.Counter(map(group, w)), collections.Counter()
+            for v, n in counts[lang].items():
+                ref[group(v)] += n
+            assert x.word_distance == pytest.approx(js(own, ref), abs=1e-9)
+        root = math.sqrt(len(w))
+        far = x.char_distance > quality_js.CHAR_LIMIT + quality_js.CHAR_SLACK / root or x.word_distance > quality_js.WORD_LIMIT + quality_js.WORD_SLACK / root
+        assert x.kept == (not x.base_failed and not far)
+    assert judged > 80 and not got[900].kept
+
+
 def test_quality_tells_junk_from_prose(spark):
     r = random.Random(2)
     prose = lambda n: " ".join(r.choice("the of and to in is that it was for on are with as at be this have from or".split()) if r.random() < 0.5 else "".join(r.choice("aeioustrnlm") for _ in range(r.randint(3, 8))) for _ in range(n)) + "."
@@ -471,6 +525,41 @@ def test_toxicity_features_match_a_plain_count():
     assert np.bincount(row, minlength=4).tolist() == want
 
 
+def test_toxicity_fit_equals_a_plain_one(spark, monkeypatch):
+    """Ratios, features and the regression's least point against dense sums in plain numpy."""
+    r = random.Random(5)
+    bad, good = ["vile", "scum", "trash"], ["nice", "calm", "plain", "warm"]
+    rows, labels = [], []
+    for i in range(400):
+        y = i % 3 == 0
+        rows.append((i, " ".join(r.choice(bad if y and r.random() < 0.5 else good) for _ in range(8))))
+        labels.append((i, int(y)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(toxicity_nb, "STEPS", 200)
+    model = toxicity_nb.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    train = [(t, y) for (i, t), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([b for _, b in train])
+    raw = [t.encode() for t, _ in train]
+    row, bucket = toxicity_nb.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    names = np.unique(bucket)
+    x = np.zeros((len(train), names.size))
+    x[row, np.searchsorted(names, bucket)] = 1
+    p, q = x[y == 1].sum(0), x[y == 0].sum(0)
+    seen = p + q >= 3
+    ratio = np.log((p + 1) / (p[seen] + 1).sum()) - np.log((q + 1) / (q[seen] + 1).sum())
+    used = np.flatnonzero(model.weights[names])
+    assert set(np.flatnonzero(model.weights)) <= set(names.tolist()) and used.size > 20
+    xs = x[:, used] * ratio[used]
+    w, b = model.weights[names[used]] / ratio[used], model.bias
+    d = (1 / (1 + np.exp(-(xs @ w + b))) - y) * np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    assert np.abs(xs.T @ d + toxicity_nb.PENALTY * w).max() < 5e-4 and abs(d.sum()) < 5e-4
+    left_out = np.setdiff1d(np.flatnonzero(seen), used)
+    n1, n = y.sum(), y.size
+    g = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / e), 0)
+    stat = lambda k: g(p[k], (p + q)[k] * n1 / n) + g(q[k], (p + q)[k] * (n - n1) / n) + g(n1 - p[k], (n - (p + q)[k]) * n1 / n + 1e-9) + g(n - n1 - q[k], (n - (p + q)[k]) * (n - n1) / n + 1e-9)
+    assert (stat(used) >= toxicity_nb.LEAST_G - 1e-6).all() and (stat(left_out) < toxicity_nb.LEAST_G + 1e-6).all()
+
+
 def test_toxicity_odd_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int")

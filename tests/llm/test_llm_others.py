@@ -384,6 +384,38 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_pipeline_stages_do_what_their_operators_say(spark, sf):
+    """Each stage's rows against the verdicts of its operator, or the library, on what the one before kept."""
+    import corpus_pipeline as cp
+    import sentencepiece
+
+    from loomcut.llm import dedup_minhash, mixing, quality_js, runtime, sentencepiece_sa, toxicity_nb
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("x", F.col("doc_id") * 3)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    verdicts = [
+        lambda d: quality_js.quality(d).where("kept"),
+        lambda d: toxicity_nb.toxicity(d, labels).where("predicted = 0"),
+        lambda d: dedup_minhash.near_duplicates(d, 5, 80, 4).where("kept"),
+    ]
+    for (name, stage), verdict in zip(cp.STAGES, verdicts):
+        out = runtime.cut(stage(spark, docs, sf), "t")
+        assert ids(out) == ids(verdict(docs)), name
+        assert out.join(docs, ["doc_id", "text", "lang", "source", "n_chars", "x"], "left_semi").count() == out.count()
+        docs = out
+    mixed = runtime.cut(cp.STAGES[3][1](spark, docs, sf), "t")
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(docs).collect() if r.taken}
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r.doc_id] += len(r.text.encode().split())
+        assert r.x == r.doc_id * 3 and r.n_chars == len(r.text)
+    assert dict(got) == taken
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_sa.MODEL)
+    texts = collections.Counter((r.doc_id, tuple(model.encode(r.text))) for r in mixed.collect())
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in cp.STAGES[4][1](spark, mixed, sf).collect()) == texts
+
+
 @pytest.mark.parametrize("name", ["op2_html_paths", "op3_license_join", "op4_near_duplicates", "op6_warc_zip", "lm_base_scores", "quality_base_rules", "mix_targets"])
 def test_queries_against_sql(spark, sf, name):
     import duckdb
