@@ -2,6 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame: documents
 with the columns they came with, and at the end token ids.
+
+Defined results, of every stage: columns besides doc_id, text, lang, source and
+n_chars come through as they are, whatever their names (the last stage leaves
+them); an empty table stays empty; long texts are taken whole; of repeated rows
+each is judged by itself, but near-duplicate removal leaves one.  A null text is
+empty: the quality rules drop it.  Null ids, languages and sources are values of
+their own; near-duplicate removal keeps rows without an id.
 """
 
 from __future__ import annotations
