@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcut.functions import text as T
@@ -91,6 +91,21 @@ def runs_of_events(events: DataFrame, sessions: DataFrame, oracle: DataFrame) ->
 
 
 VARIANTS = ("ops-only", "ops-plus-search")
+DENIED_TOOLS = ("Write", "Edit", "Bash", "WebFetch", "TodoRead", "TodoWrite", "NotebookRead", "NotebookEdit")
+_OPS = ("Read", "Grep", "Glob")
+_POLICIES = ((VARIANTS[0], _OPS, 20, 50), (VARIANTS[1], (*_OPS, "mcp__semantic_search__search"), 20, 50))
+
+
+def variant_policies(spark: SparkSession) -> DataFrame:
+    """``agent_variant, allowed_tools, max_turns, max_tool_calls``: what each variant may do."""
+    return spark.createDataFrame([(v, list(tools), turns, calls) for v, tools, turns, calls in _POLICIES], "agent_variant string, allowed_tools array<string>, max_turns int, max_tool_calls int")
+
+
+def judged_calls(calls: DataFrame, policies: DataFrame) -> DataFrame:
+    """``calls`` (``agent_variant, tool, so_far``: calls before it) with a ``verdict`` by its variant's policy."""
+    budget = F.col("so_far") >= F.col("max_tool_calls")
+    verdict = F.when(budget, "Tool budget exceeded").when(F.col("tool").isin(*DENIED_TOOLS), "Tool is denied for retrieval-only mode").when(~F.array_contains("allowed_tools", F.col("tool")), "Tool not in allowlist").otherwise("allowed")
+    return calls.join(F.broadcast(policies), "agent_variant").withColumn("verdict", verdict).drop("allowed_tools", "max_turns", "max_tool_calls")
 
 
 def aggregate_metrics(metrics: DataFrame, variants: tuple[str, ...] = VARIANTS) -> DataFrame:

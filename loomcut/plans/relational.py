@@ -618,3 +618,14 @@ def reported_usage(spark, d):
     k = F.col("event_id")
     e = _t(spark, d, "events").select("event_id", F.when(k % 3 == 0, k * 2).when(k % 5 == 0, 0).alias("reported"), F.when(k % 7 != 0, k + 5).when(k % 3 == 0, 1).alias("added"))
     return e.select("event_id", X.reported_usage("added", "reported").cast("long").alias("tokens"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 60 >= 50 THEN 'Tool budget exceeded' WHEN event_id % 4 = 0 THEN 'allowed' WHEN event_id % 4 = 1 THEN 'Tool is denied for retrieval-only mode' WHEN event_id % 4 = 2 AND event_id % 3 = 0 THEN 'allowed' ELSE 'Tool not in allowlist' END AS verdict FROM events""")
+def policy_verdicts(spark, d):
+    """Calls judged by their variant's policy: only one variant may search."""
+    from loomcut.operators import evaluation as X
+
+    k = F.col("event_id")
+    tool = F.when(k % 4 == 0, "Grep").when(k % 4 == 1, "Bash").when(k % 4 == 2, "mcp__semantic_search__search").otherwise("Else")
+    calls = _t(spark, d, "events").select("event_id", F.when(k % 3 == 0, X.VARIANTS[1]).otherwise(X.VARIANTS[0]).alias("agent_variant"), tool.alias("tool"), (k % 60).alias("so_far"))
+    return X.judged_calls(calls, X.variant_policies(spark)).select("event_id", "verdict")

@@ -210,6 +210,14 @@ def test_metrics_rows_survive_a_file(spark, sf, tmp_path):
     back = S.load_metrics(spark, str(tmp_path / "m"))
     summary = L.aggregate_metrics(back)
     assert sorted(map(str, summary.collect())) == sorted(map(str, L.aggregate_metrics(m).collect()))
+    from loomcut.__main__ import main
+
+    main(["report", str(tmp_path / "m"), "--skip", "ops-plus-search", "--out", str(tmp_path / "sum")])
+    assert list((tmp_path / "sum").glob("*.json"))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1\n")
+    main(["chunk", str(tmp_path / "src"), str(tmp_path / "chunks"), "--overlap-lines", "0"])
+    assert spark.read.parquet(str(tmp_path / "chunks")).first().text == "x = 1"
     text = evaluation.summary_report(summary, "test", 3)
     assert "OPS-ONLY" in text and "Hit@1:" in text and text.count("MRR") == 2
 
