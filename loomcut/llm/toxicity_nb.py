@@ -40,7 +40,7 @@ HASH_BITS = 20
 TRAIN_ROWS = 20_000
 #: Least likelihood-ratio statistic of a feature; chance alone hardly reaches it.
 LEAST_G = 6.0
-PENALTY = 1e-4
+PENALTY = 1e-3
 STEPS = 40
 #: Tasks that share a sum of the gradient, and so how many of them the driver adds up.
 PARTS = 8
