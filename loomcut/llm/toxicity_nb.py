@@ -50,8 +50,8 @@ _SLICE = 1 << 19
 _MULT = np.random.default_rng(11).integers(0, 1 << 63, (max(SIZES) + 1, max(SIZES)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One number for each character (its lower-cased bytes), and the rows' offsets among them."""
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each character (its lower-cased bytes), and where it begins."""
     b = tb.LOWER[buf]
     lead = (b & 0xC0) != 0x80
     at = np.flatnonzero(lead)
@@ -65,33 +65,45 @@ def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not more.any():
             break
         v += np.where(more, x, 0).astype(np.uint64) << np.uint64(8 * k)
-    return v, np.concatenate([[0], np.cumsum(lead)])[offs]
+    return v, at
 
 
 def features(buf: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets of the distinct features (of those ``wanted``), in order."""
-    v, o = characters(buf, offs)
-    row = np.repeat(np.arange(o.size - 1), np.diff(o))
-    rows, buckets = [], []
-    for n in SIZES:
-        if v.size < n:
-            continue
-        m = v.size - n + 1
-        with np.errstate(over="ignore"):
-            s = v[:m] * _MULT[n, 0]
-            for k in range(1, n):
-                s += v[k : m + k] * _MULT[n, k]
-            s ^= s >> np.uint64(29)
-            s *= np.uint64(0xBF58476D1CE4E5B9)
-        bucket = (s >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        whole = row[:m] == row[n - 1 :]
-        if wanted is not None:
-            whole &= wanted[bucket]
-        rows.append(row[:m][whole])
-        buckets.append(bucket[whole])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.unique((np.concatenate(rows) << HASH_BITS) | np.concatenate(buckets))
+    """Rows and buckets of the distinct features (of those ``wanted``), in order.
+
+    Bytes are taken ``_SLICE`` at a time, so a long text needs no more memory
+    than its features, of which there are at most as many as buckets.
+    """
+    keys: list[np.ndarray] = []
+    v, row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    begin, most = 0, max(SIZES) - 1
+    while begin < buf.size:
+        end = min(begin + _SLICE, buf.size)
+        while end < buf.size and buf[end] & 0xC0 == 0x80:
+            end += 1
+        new, at = characters(buf[begin:end])
+        old = v.size
+        v, row = np.concatenate([v, new]), np.concatenate([row, np.searchsorted(offs, at + begin, side="right") - 1])
+        for n in SIZES:
+            first = max(0, old - n + 1)  # earlier ones have been taken
+            m = v.size - n + 1 - first
+            if m <= 0:
+                continue
+            with np.errstate(over="ignore"):
+                s = v[first : first + m] * _MULT[n, 0]
+                for k in range(1, n):
+                    s += v[first + k : first + m + k] * _MULT[n, k]
+                s ^= s >> np.uint64(29)
+                s *= np.uint64(0xBF58476D1CE4E5B9)
+            bucket = (s >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+            whole = row[first : first + m] == row[first + n - 1 :]
+            if wanted is not None:
+                whole &= wanted[bucket]
+            keys.append((row[first : first + m][whole] << HASH_BITS) | bucket[whole])
+        if len(keys) > 4 * len(SIZES):
+            keys = [np.unique(np.concatenate(keys))]
+        v, row, begin = v[-most:], row[-most:], end
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
 
 

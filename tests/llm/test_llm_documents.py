@@ -525,6 +525,18 @@ def test_toxicity_features_match_a_plain_count():
     assert np.bincount(row, minlength=4).tolist() == want
 
 
+def test_toxicity_features_do_not_depend_on_slices(monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abC é日🎉.") for _ in range(r.choice([0, 3, 50, 400]))) for _ in range(30)]
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    whole = toxicity_nb.features(buf, offs)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(toxicity_nb, "_SLICE", size)
+        got = toxicity_nb.features(buf, offs)
+        assert all((a == b).all() for a, b in zip(got, whole))
+
+
 def test_toxicity_fit_equals_a_plain_one(spark, monkeypatch):
     """Ratios, features and the regression's least point against dense sums in plain numpy."""
     r = random.Random(5)
