@@ -629,3 +629,49 @@ def policy_verdicts(spark, d):
     tool = F.when(k % 4 == 0, "Grep").when(k % 4 == 1, "Bash").when(k % 4 == 2, "mcp__semantic_search__search").otherwise("Else")
     calls = _t(spark, d, "events").select("event_id", F.when(k % 3 == 0, X.VARIANTS[1]).otherwise(X.VARIANTS[0]).alias("agent_variant"), tool.alias("tool"), (k % 60).alias("so_far"))
     return X.judged_calls(calls, X.variant_policies(spark)).select("event_id", "verdict")
+
+
+@query("SELECT event_id AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'usage' ELSE 'tool_call' END AS type, CAST(user_id AS VARCHAR) AS session, CAST(CASE WHEN event_id % 2 = 0 THEN event_id * 3 END AS BIGINT) AS input_tokens, CAST(NULL AS VARCHAR) AS error FROM events")
+def event_log_round_trip(spark, d):
+    """Two appends to a JSON-lines log, read back by its schema."""
+    from loomcut.sources import files as S_
+    from loomcut.workers import scratch
+
+    e = _t(spark, d, "events")
+    rows = e.select(F.when(F.col("event_id") % 2 == 0, "usage").otherwise("tool_call").alias("type"), F.col("event_id").alias("timestamp"), F.col("user_id").cast("string").alias("session"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 3).alias("input_tokens"))
+    at = scratch(spark, "events")
+    S_.append_events(rows.where("timestamp % 3 = 0"), at)
+    S_.append_events(rows.where("timestamp % 3 <> 0"), at)
+    return S_.read_events(spark, at).select("timestamp", "type", "session", "input_tokens", "error")
+
+
+@query(f"""WITH {_SESSIONS} SELECT instance_id, variant AS agent_variant, coalesce(rank <= 5, false) AS hit_at_5_behavioral, CAST(time_hit AS BIGINT) AS time_to_first_hit_ms, calls AS tool_calls_count, CASE WHEN free THEN 0 ELSE 1 END AS n_oracle FROM m""")
+def metrics_round_trip(spark, d):
+    """Metrics' rows written as JSON lines and loaded by their schema."""
+    from loomcut.sources import files as S_
+    from loomcut.workers import scratch
+
+    at = scratch(spark, "metrics")
+    S_.write_metrics(_sessions(spark, d), at)
+    return S_.load_metrics(spark, at).select("instance_id", "agent_variant", "hit_at_5_behavioral", "time_to_first_hit_ms", "tool_calls_count", F.size("oracle_files").alias("n_oracle"))
+
+
+@query("SELECT vec_id AS ord, label, CAST(len(embedding) AS INTEGER) AS dims, 3 AS found FROM embeddings WHERE vec_id % 2 = 1")
+def index_round_trip(spark, d):
+    """An index saved, replaced, and loaded; others than that one aren't there."""
+    from loomcut.sources import files as S_
+    from loomcut.workers import scratch
+
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "label", "embedding")
+    at = scratch(spark, "index")
+    for odd in (0, 1):
+        S_.save_index(e.where(F.col("ord") % 2 == odd), at, "i", "p", 64, {"size": 1500})
+    there = S_.index_exists(spark, at, "i", "p", 64) + 2 * (not S_.index_exists(spark, at, "i", "p", 32))
+    return S_.load_index(spark, at, "i", "p", 64).select("ord", "label", F.size("embedding").alias("dims"), F.lit(int(there)).alias("found"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 3 THEN 'lib/x' || s_suppkey ELSE chr(39) || 'lib/x' || s_suppkey || '"' END AS path FROM supplier""")
+def strip_quotes(spark, d):
+    k = F.col("s_suppkey")
+    q = F.when(k % 4 == 0, "'").when(k % 4 == 1, '"').when(k % 4 == 2, "`").otherwise("'")
+    return _t(spark, d, "supplier").select("s_suppkey", T.strip_quotes(F.concat(q, F.lit("lib/x"), k.cast("string"), F.when(k % 4 == 3, '"').otherwise(q))).alias("path"))

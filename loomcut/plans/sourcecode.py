@@ -428,3 +428,24 @@ def index_search(spark, d):
     embed = I.hashing_embedder(4096)
     built = I.build_index(_spelt(spark, d).select("filepath", "code"), embed, Options(context_mode="none"))
     return I.search_index(built, "function whw() {\n  return whw;\n}", embed, 1).withColumn("score", F.round("score", 6))
+
+
+@query(f"""SELECT api, CAST(i AS INTEGER) AS index, CAST(CASE WHEN api = 'stream' THEN -1 ELSE 2 END AS INTEGER) AS total_chunks, {_function('(i + 1)')} AS text, CAST(i * 3 AS INTEGER) AS line_start FROM unnest(['chunk', 'stream', 'chunker', 'overridden']) AS a(api), unnest([0, 1]) AS u(i)""")
+def one_file(spark, d):
+    """One file without a table: all at once, lazily, and by a chunker whose options a call may override."""
+    from loomcut.operators import chunker as K
+
+    code = "\n".join(f'function f{i:08d}() {{\n  return "aaaaaaaaaaaaaaaaaaaa";\n}}' for i in (1, 2))
+    small = Options(max_chunk_size=60)
+    kept = C.create_chunker(max_chunk_size=60)
+    made = {"chunk": K.chunk("a.js", code, small), "stream": K.stream("a.js", code, small), "chunker": kept.chunk("a.js", code), "overridden": C.create_chunker(max_chunk_size=5000).chunk("a.js", code, max_chunk_size=60)}
+    rows = [(api, c["index"], c["total_chunks"], c["text"], c["line_range"]["start"]) for api, chunks in made.items() for c in chunks]
+    return spark.createDataFrame(rows, "api string, index int, total_chunks int, text string, line_start int")
+
+
+@query(f"""WITH {_SUPPLIED} SELECT n, CAST(k AS BIGINT) AS defaults, CAST(k * 50 <= 1500 AS BOOLEAN) AS whole FROM (SELECT DISTINCT n, k FROM m)""")
+def default_options(spark, d):
+    """With nothing said a chunk holds 1,500 characters that aren't white space; a file within that is one chunk."""
+    src = _function_files(spark, d).select("filepath", "code")
+    got = C.chunk_files(src).groupBy("filepath").agg(F.max("total_chunks").alias("n_chunks"), F.sum(F.size("context.entities")).alias("defaults"))
+    return got.select(F.regexp_extract("filepath", "f([0-9]+)", 1).cast("int").alias("n"), "defaults", (F.col("n_chunks") == 1).alias("whole"))

@@ -1,8 +1,12 @@
-"""Python workers that can import this package where it isn't installed."""
+"""What workers need: this package where it isn't installed, and folders that all of them share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +19,16 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``; in local mode, where it is unset, in a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = getattr(scratch, "own", None)
+        if not at:
+            at = scratch.own = tempfile.mkdtemp(prefix="loomcut-scratch-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
