@@ -183,15 +183,13 @@ def pieces(html: str) -> Page:
         if unseen or not s:
             return
         top = stack[-1]
+        own = top.block
+        if top.out and not own.out:  # a button or label inside a block
+            return
         if now is None:
             if s.isspace():
                 return
-            own = top.block
-            now = Piece(own.path, page.parent[own.number] if own.tag in LEAF else own.number, top.out, own.story, own.hints)
-        elif now.out != top.out:  # an inline element that never counts is a block of its own
-            flush()
-            add(s)
-            return
+            now = Piece(own.path, page.parent[own.number] if own.tag in LEAF else own.number, own.out, own.story, own.hints)
         now.parts.append(s)
         if top.link:
             now.linked += len(s.strip())

@@ -44,6 +44,7 @@ P = "".join(f"<p>{p}</p>" for p in PARAS)
         (page("<article><h1>T</h1><p>unfinished<p>text &am"), "T unfinished text &am"),
         (page("<article><p>whole</p><p>cut</p></artic"), "whole cut"),
         (page("<article><p>1 < 2 and 3 > 2</p></article>"), "1 < 2 and 3 > 2"),
+        (page(f"<article><p>half<span hidden>gone</span>way <button>Push</button>there</p>{P}</article>"), " ".join(["halfway there", *PARAS])),
         (page(f"<article class='post'>{P}<section class='comments'><article class='comment'><p>I disagree, strongly, with it all.</p></article></section></article>"), " ".join(PARAS)),
         (page(f"<article><header><h1>Title</h1></header>{P}<ul><li>point one</li><li>point two</li></ul></article>"), " ".join(["Title", *PARAS, "point one point two"])),
         (page(f"<div id='wrap' class='layout has-sidebar no-comments'><div class='entry'>{P}</div><div class='sidebar'>Other things, of no interest.</div></div>"), " ".join(PARAS)),
