@@ -43,3 +43,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").unionByName(roots.join(stars.select(F.col("u").alias("node")), "node", "left_anti"))
+
+
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp`` (``node, component``) with further ``edges`` (``u``, ``v``) let in: components of the components that they connect."""
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    every = cut(comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("component"))), "components")
+    of = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"{c}{c}"))
+    hooks = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("uu").alias("u"), F.col("vv").alias("v"))
+    moved = components(hooks).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return every.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))

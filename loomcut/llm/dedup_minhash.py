@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .components import components
+from .components import components, joined
 from .runtime import cut, drop_cut
 from .sieve import bit_of, bitmap, has_bit
 
@@ -259,7 +259,7 @@ def grouped(docs: DataFrame, width: int, percent: int, rows_per_band: int, same_
     if not rest.isEmpty():
         more = _confirm(docs, rest, classes, width, percent)
         if not more.isEmpty():
-            comp = cut(components(links.unionByName(more)), "components")
+            comp = cut(joined(comp, more), "components")
     placed = classes.select("hi", "lo", "node", "rep").join(comp, "node", "left")
     tops = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("top"))
     class_of = placed.join(tops, "component", "left").select("hi", "lo", F.coalesce("top", "rep").alias("top"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcut.llm import ann_scan, textbuf, warc_zip
-from loomcut.llm.components import components
+from loomcut.llm.components import components, joined
 from loomcut.llm import html_paths
 from loomcut.llm.html_paths import extract, main_text
 from loomcut.llm.sieve import anti
@@ -361,6 +361,9 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+    first, later = edges[::2], [e for e in edges[1::2] if e[0] != e[1]]
+    both = joined(components(spark.createDataFrame(first, "u long, v long")), spark.createDataFrame(later, "u long, v long"))
+    assert {r.node: r.component for r in both.collect()} == got
 
 
 def test_anti(spark):
