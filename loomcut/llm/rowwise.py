@@ -15,14 +15,17 @@ from . import textbuf as tb
 
 def keep_where(docs: DataFrame, verdict: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """Rows of ``docs`` for which ``verdict`` is true; all columns stay as they are, whatever their names."""
-    flag = f"_keep_{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    flag = f"_keep_{mark}"
+    names = [c if c.isidentifier() else f"_{mark}_{i}" for i, c in enumerate(docs.columns)]  # a name with a dot can't be given to Python workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, verdict(b)], [*b.schema.names, flag])
 
-    schema = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
-    return docs.mapInArrow(tb.lean(run), schema).where(F.col(flag)).drop(flag)
+    plain = docs.toDF(*names)
+    schema = StructType([*plain.schema.fields, StructField(flag, BooleanType())])
+    return plain.mapInArrow(tb.lean(run), schema).where(F.col(flag)).drop(flag).toDF(*docs.columns)
 
 
 def _has_map(t: DataType) -> bool:
