@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import loomcut as L
 from loomcut.functions import text as T
 from loomcut.operators import chunker, code, events, index, search
-from loomcut.plans import catalogue
+from loomcut.plans import catalogue, sourcecode
 from loomcut.sources import files as S
 from loomcut.streaming import usage
 
@@ -99,6 +99,19 @@ def test_batch_options(spark):
     assert next(c.stream("c.py", text))["total_chunks"] == -1 and len(list(c.chunk_batch_stream(df))) == 3
 
 
+def test_batch_query_has_a_file_of_each_language(spark, sf):
+    got = catalogue.queries()["chunk_code_batch"](spark, sf).collect()
+    assert sorted({r.filepath.rpartition(".")[2] for r in got}) == ["go", "java", "mjs", "py", "rb", "rs", "ts"]
+    assert len({r.filepath for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("language", ["tsx", "jsx"])
+def test_batch_of_files_with_markup(spark, sf, language):
+    src = sourcecode.files(spark, sf, language).select("filepath", "code")
+    got = L.chunk_batch(src, L.Options(max_chunk_size=10**6)).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/nation.parquet").count() and all(r.error is None and len(r.chunks) == 1 for r in got)
+
+
 def test_own_chunk_function_may_fail(spark):
     def broken(path, text, options):
         raise RuntimeError("no")
