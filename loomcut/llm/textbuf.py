@@ -48,6 +48,7 @@ def lean(run: Callable) -> Callable:
         def each() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b
+                del b
                 trim()
 
         yield from run(each())

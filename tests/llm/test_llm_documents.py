@@ -737,3 +737,42 @@ def test_mixing_many_small_sources_and_the_plan(spark):
 
 def test_mixing_empty(empty):
     assert mixing.taken_words(empty).collect() == [] and mixing.mixed_documents(empty).collect() == []
+
+
+def test_encoder_is_bounded_in_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomcut.llm import sentencepiece_sa as S
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(1200)]  # 2.2 MB
+    enc = Encoder(Pieces(MODEL))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in S.encode_batches(enc, iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and most < 100 << 20
+    kept, S.REMEMBERED_BYTES = S.REMEMBERED_BYTES, 1000  # the bytes of units count, not only how many there are
+    try:
+        enc.batch(np.frombuffer(b"z", np.uint8), np.array([0, 1]))
+    finally:
+        S.REMEMBERED_BYTES = kept
+    assert enc.raw.offs[-1] < 10
+
+
+def test_pipeline_bounds_the_batches_of_a_session_without_its_own(spark):
+    import corpus_pipeline as cp
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.set(key, str(5 << 20))
+        cp.ship(spark)
+        assert spark.conf.get(key) == str(5 << 20)
+        spark.conf.unset(key)
+        cp.ship(spark)
+        assert int(spark.conf.get(key)) == cp.BATCH_BYTES
+    finally:
+        spark.conf.unset(key)
