@@ -1,14 +1,20 @@
-"""Joins of ranges within a file: containment, overlap, enclosing scope, siblings.
+"""Ranges within a file: containment, overlap, enclosing scope, siblings.
 
 Every join has the file as its equality key, so it runs as a hash or merge join
-with the range test on top; one file's ranges are few.
+with the range test on top; what contains a range is found in one pass over the
+file's ranges in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcut.workers import cut, drop_cut, ship
+
 
 def contains(outer: str, inner: str) -> Column:
     """Closed containment of ranges in columns ``{x}_start`` and ``{x}_end``."""
@@ -20,20 +26,35 @@ def _buckets(start: str, end: str, width: int) -> Column:
     return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width)))
 
 
-def scope_parents(entities: DataFrame, width: int = 4096) -> DataFrame:
+def scope_parents(entities: DataFrame) -> DataFrame:
     """``file_id, id, parent``: the deepest earlier entity that contains each (null at the top).
 
-    Entities are ``file_id, id, start, end``; order is by start, then id.  As
-    ranges are properly nested the deepest container is the latest one.  An
-    entity looks for it among those that touch the stretch of ``width`` in
-    which it begins.
+    Entities are ``file_id, id, start, end``; order is by start, then id.  What
+    contains an entity is the latest one before it that doesn't end earlier,
+    nested or not.  A file's entities pass one after another; what is in memory
+    are those still open, as many as the file's nesting is deep.  An entity
+    without a start or end has no parent and is none.
     """
-    e = entities.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("start", "id")))
-    inner = e.select("file_id", "id", F.col("ord").alias("at"), F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.floor(F.col("start") / width).alias("_b"))
-    outer = e.select("file_id", F.col("id").alias("parent"), "ord", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
-    found = inner.join(outer, ["file_id", "_b"]).where((F.col("ord") < F.col("at")) & contains("o", "i"))
-    best = found.groupBy("file_id", "id").agg(F.max_by("parent", "ord").alias("parent"))
-    return e.select("file_id", "id").join(best, ["file_id", "id"], "left")
+    ship(entities.sparkSession)
+    e = entities.select("file_id", "id", F.col("id").alias("parent"), "start", "end")
+    return e.repartition("file_id").sortWithinPartitions("file_id", "start", "id").mapInArrow(_containers, e.select("file_id", "id", "parent").schema)
+
+
+def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    file, open_ = None, []
+    for batch in batches:
+        parents = []
+        for f, i, start, end in zip(*(batch.column(c).to_pylist() for c in ("file_id", "id", "start", "end"))):
+            if f != file:
+                file, open_ = f, []
+            if f is None or start is None or end is None:
+                parents.append(None)
+                continue
+            while open_ and open_[-1][0] < end:  # whoever it contains, the one at hand does too
+                open_.pop()
+            parents.append(open_[-1][1] if open_ else None)
+            open_.append((end, i))
+        yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("id"), pa.array(parents, batch.schema.field("id").type)], ["file_id", "id", "parent"])
 
 
 def scope_at(points: DataFrame, entities: DataFrame, width: int = 4096) -> DataFrame:
@@ -45,20 +66,27 @@ def scope_at(points: DataFrame, entities: DataFrame, width: int = 4096) -> DataF
     return points.join(best, ["file_id", "point"], "left")
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """``file_id, id, depth, chain``: ids from the parent to the root, nearest first.
 
-    Pointers are followed level by level until no row has a further parent.
+    Each round appends to a chain that of its last entity, so chains double and
+    as many rounds do as the depth has binary digits.  A round's table is
+    written, so that none is computed again.
     """
-    up = parents.select("file_id", F.col("id").alias("_p"), F.col("parent").alias("_pp"))
-    now = parents.select("file_id", "id", F.col("parent").alias("_p"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast(f"array<{dict(parents.dtypes)['parent']}>")).alias("chain"))
-    for _ in range(most):
-        if now.where("_p is not null").isEmpty():
-            break
-        now = now.join(up, ["file_id", "_p"], "left").select("file_id", "id", F.col("_pp").alias("_p"), F.when(F.col("_pp").isNotNull(), F.concat("chain", F.array("_pp"))).otherwise(F.col("chain")).alias("chain"))
-    else:
-        raise ValueError(f"scopes are nested deeper than {most}")
-    return now.select("file_id", "id", F.size("chain").alias("depth"), "chain")
+    key = dict(parents.dtypes)["parent"]
+    none = F.array().cast(f"array<{key}>")
+    now = cut(parents.select("file_id", "id", F.col("parent").alias("_p"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(none).alias("chain")), "chains")
+    while True:
+        round_ = F.array_contains("chain", F.col("id")) & F.col("_p").isNotNull()
+        more = now.agg(F.count("_p").alias("open"), F.count_if(round_).alias("round")).first()
+        if more["round"]:
+            raise ValueError("entities are their own ancestors")
+        if not more["open"]:
+            return now.select("file_id", "id", F.size("chain").alias("depth"), "chain")
+        up = now.select("file_id", F.col("id").alias("_p"), F.col("_p").alias("_pp"), F.col("chain").alias("_c"))
+        longer = now.where("_p is not null").join(up, ["file_id", "_p"], "left").select("file_id", "id", F.col("_pp").alias("_p"), F.concat("chain", F.coalesce("_c", none)).alias("chain"))
+        before, now = now, cut(now.where("_p is null").unionByName(longer), "chains")
+        drop_cut(before)
 
 
 def flattened(entities: DataFrame, chains: DataFrame) -> DataFrame:

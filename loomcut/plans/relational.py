@@ -286,7 +286,7 @@ parents AS (SELECT CAST(i.file_id AS BIGINT) AS file_id, CAST(i.id AS BIGINT) AS
 
 @query(f"WITH {_RANGES} SELECT * FROM parents")
 def scope_parent(spark, d):
-    return S.scope_parents(_ranges(spark, d), _WIDTH)
+    return S.scope_parents(_ranges(spark, d))
 
 
 @query(f"""WITH {_RANGES}, p AS (SELECT CAST(o_orderkey AS BIGINT) AS point, CAST(o_orderkey % 2 AS BIGINT) AS file_id, CAST(o_orderkey * 7919 % 500000000 AS BIGINT) AS spot FROM orders)
@@ -302,7 +302,7 @@ def scope_at_offset(spark, d):
   SELECT up.file_id, up.id, p.parent, depth + 1, chain || '/' || up.nxt FROM up JOIN parents p ON p.file_id = up.file_id AND p.id = up.nxt)
 SELECT file_id, id, CAST(depth AS INTEGER) AS depth, chain FROM up WHERE nxt IS NULL""")
 def ancestor_chain(spark, d):
-    chains = S.ancestors(S.scope_parents(_ranges(spark, d), _WIDTH))
+    chains = S.ancestors(S.scope_parents(_ranges(spark, d)))
     return chains.select("file_id", "id", "depth", F.concat_ws("", F.transform("chain", lambda x: F.concat(F.lit("/"), x.cast("string")))).alias("chain"))
 
 
@@ -310,7 +310,7 @@ def ancestor_chain(spark, d):
 SELECT up.file_id, up.id, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY up.file_id ORDER BY r.s, depth, up.id) AS INTEGER) AS position FROM up JOIN ranges r ON r.file_id = up.file_id AND r.id = up.id WHERE nxt IS NULL""")
 def scope_flatten(spark, d):
     e = _ranges(spark, d)
-    return S.flattened(e, S.ancestors(S.scope_parents(e, _WIDTH)))
+    return S.flattened(e, S.ancestors(S.scope_parents(e)))
 
 
 _LINE_RANGES = f"""{_LINES}, e AS (SELECT doc_id AS file_id, line_no AS id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(line) AS n FROM lines),
@@ -351,7 +351,7 @@ def siblings_of_ranges(spark, d):
     at = k * 7919 % 500000000
     chunks = _t(spark, d, "orders").select(k.alias("chunk"), (k % 2).alias("file_id"), at.alias("c_start"), F.greatest(at + 1500 * (k % 700), at).alias("c_end"))
     found = S.scope_at(chunks.select("file_id", F.col("chunk").alias("point"), F.col("c_start").alias("at")), e, _WIDTH).select(F.col("point").alias("chunk"), "scope")
-    nodes = e.join(S.scope_parents(e, _WIDTH), ["file_id", "id"])
+    nodes = e.join(S.scope_parents(e), ["file_id", "id"])
     return S.siblings_of_ranges(chunks.join(found, "chunk"), nodes)
 
 

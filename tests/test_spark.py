@@ -140,6 +140,16 @@ def test_relational_context_agrees_with_the_chunker(spark):
         assert r.scope == (ents.index(s.entity) if s else None)
 
 
+def test_scopes_of_a_deep_file_in_order(spark):
+    from loomcut.operators import scope
+
+    n = 100  # each in the one before, two of one range, and a leaf after
+    rows = [("f", i, i, 1000 - i) for i in range(n)] + [("f", n, n - 1, 1001 - n), ("f", n + 1, 2000, 2001)]
+    e = spark.createDataFrame(rows, "file_id string, id int, start int, end int")
+    got = sorted((r.position, r.id, r.depth) for r in scope.flattened(e, scope.ancestors(scope.scope_parents(e))).collect())
+    assert got == [(i + 1, i, i) for i in range(n + 1)] + [(n + 2, n + 1, 0)]
+
+
 def test_files_index_and_sinks(spark, tmp_path):
     src = tmp_path / "repo" / "pkg.x"
     src.mkdir(parents=True)
