@@ -150,6 +150,16 @@ def test_scopes_of_a_deep_file_in_order(spark):
     assert got == [(i + 1, i, i) for i in range(n + 1)] + [(n + 2, n + 1, 0)]
 
 
+def test_ancestors_of_any_depth(spark):
+    from loomcut.operators import scope
+
+    parents = spark.createDataFrame([("f", i, i - 1 if i else None) for i in range(200)] + [("f", 900, 901), ("g", 0, None)], "file_id string, id int, parent int")
+    got = {(r.file_id, r.id): (r.depth, r.chain) for r in scope.ancestors(parents).collect()}
+    assert got == {("f", i): (i, list(range(i - 1, -1, -1))) for i in range(200)} | {("f", 900): (1, [901]), ("g", 0): (0, [])}
+    with pytest.raises(ValueError):
+        scope.ancestors(spark.createDataFrame([("f", i, (i + 1) % 7) for i in range(7)], "file_id string, id int, parent int"))
+
+
 def test_files_index_and_sinks(spark, tmp_path):
     src = tmp_path / "repo" / "pkg.x"
     src.mkdir(parents=True)
