@@ -160,6 +160,19 @@ def test_ancestors_of_any_depth(spark):
         scope.ancestors(spark.createDataFrame([("f", i, (i + 1) % 7) for i in range(7)], "file_id string, id int, parent int"))
 
 
+def test_parents_are_found_without_pairs(spark):
+    from loomcut.operators import scope
+
+    rows = [(f, i, (i * 37) % 50, (i * 37) % 50 + (i * i) % 23) for f in ("a", "b") for i in range(60)] + [("a", 99, None, 5), ("a", 98, 1, None), (None, 1, 0, 9), (None, 2, 1, 2)]
+    df = spark.createDataFrame(rows, "file_id string, id int, start int, end int").repartition(3)
+    got = scope.scope_parents(df)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    whole = [r for r in rows if None not in r]
+    before = lambda x: [o for o in whole if o[0] == x[0] and (o[2], o[1]) < (x[2], x[1]) and x[3] <= o[3]]
+    want = {(x[0], x[1]): max(before(x), key=lambda o: (o[2], o[1]))[1] if x in whole and before(x) else None for x in rows}
+    assert {(r.file_id, r.id): r.parent for r in got.collect()} == want
+
+
 def test_files_index_and_sinks(spark, tmp_path):
     src = tmp_path / "repo" / "pkg.x"
     src.mkdir(parents=True)
