@@ -1,6 +1,7 @@
 """Parsers, extraction, windows and context, on small files of each language."""
 
 import random
+import time
 
 import pytest
 
@@ -275,3 +276,32 @@ def test_nesting_is_as_deep_as_the_code(language, code, n):
     found = extract(root, Source(code), language)
     assert error is None and (n is None or len(found) == n)
     assert sum(1 for x in root.walk() if not x.children) >= len(code.split("{")) - 1
+
+
+def _functions(n):
+    return "\n".join(f'function f{i:08d}() {{\n  return "aaaaaaaaaaaaaaaaaaaa";\n}}' for i in range(n)) + "\n"
+
+
+def _template(language, n):
+    from loomcut.plans.sourcecode import TEMPLATES
+
+    t = TEMPLATES[language]
+    lines = [*t.head, *(x.replace("{s}", str(s)) for s in range(n) for x in t.method), *t.tail]
+    return "\n".join(x.replace("{n}", "3").replace("{r}", "1").replace("{s}", "0") for x in lines) + "\n"
+
+
+GROWTH = {
+    "chunk_code_scopes": lambda n: C.chunk("a.java", _template("java", n), C.Options(max_chunk_size=95)),
+}
+
+
+@pytest.mark.parametrize("name", GROWTH)
+def test_a_long_file_costs_in_proportion(name):
+    """Eight times the declarations take about eight times the work; looking at all others for each took up to 64 times."""
+
+    def seconds(n):
+        began = time.process_time()
+        GROWTH[name](n)
+        return time.process_time() - began
+
+    assert min(seconds(4000) for _ in range(2)) < 20 * min(seconds(500) for _ in range(3))
