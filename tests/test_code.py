@@ -292,6 +292,7 @@ def _template(language, n):
 
 GROWTH = {
     "chunk_code_scopes": lambda n: C.chunk("a.java", _template("java", n), C.Options(max_chunk_size=95)),
+    "chunk_context": lambda n: C.chunk("a.js", _functions(n), C.Options(max_chunk_size=60)),
 }
 
 
