@@ -322,3 +322,17 @@ def test_stream_of_usage(spark, tmp_path):
     assert [(r.session, r.output_tokens, r.messages) for r in got] == [("s", 4, 2)]
     with pytest.raises(ValueError):
         L.chunk_files_stream(spark.createDataFrame(FILES, "filepath string, code string"))
+
+
+def test_files_to_parse_are_spread_over_tasks(spark, sf):
+    for src in (sourcecode.files(spark, sf, "go"), sourcecode._function_files(spark, sf)):
+        per_task = [r["count"] for r in src.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) >= spark.sparkContext.defaultParallelism and max(per_task) <= sum(per_task) / 3
+
+
+def test_a_worker_passes_on_what_it_has(spark, monkeypatch):
+    monkeypatch.setattr(code, "STEP", 100)
+    monkeypatch.setattr(code, "ROWS", 2)
+    df = spark.createDataFrame([(f"a{i}.py", "def f():\n    return 1\n" * (1 + i % 9)) for i in range(100)] + FILES[:3], "filepath string, code string").coalesce(1)
+    assert sorted(r.filepath for r in L.chunk_batch(df).collect()) == sorted(r.filepath for r in df.collect())
+    assert L.extract_entities(df).where("filepath like 'a%'").count() == sum(1 + i % 9 for i in range(100)) + 1
