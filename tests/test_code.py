@@ -294,6 +294,7 @@ GROWTH = {
     "chunk_code_scopes": lambda n: C.chunk("a.java", _template("java", n), C.Options(max_chunk_size=95)),
     "chunk_context": lambda n: C.chunk("a.js", _functions(n), C.Options(max_chunk_size=60)),
     "merged_windows": lambda n: C.chunk("a.js", "class N {\n" + _functions(n).replace("function f", "f") + "}\n", C.Options(max_chunk_size=140)),
+    "node_walk_rust": lambda n: C.entities_of("a.rs", _template("rust", n), None, "nodes"),
 }
 
 
