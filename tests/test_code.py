@@ -296,6 +296,7 @@ GROWTH = {
     "merged_windows": lambda n: C.chunk("a.js", "class N {\n" + _functions(n).replace("function f", "f") + "}\n", C.Options(max_chunk_size=140)),
     "node_walk_rust": lambda n: C.entities_of("a.rs", _template("rust", n), None, "nodes"),
     "entities_go": lambda n: C.entities_of("a.go", _template("go", n)),
+    "tree_windows": lambda n: C.chunk("a.js", _functions(n), C.Options(max_chunk_size=120)),
 }
 
 
