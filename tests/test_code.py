@@ -298,6 +298,7 @@ GROWTH = {
     "entities_go": lambda n: C.entities_of("a.go", _template("go", n)),
     "tree_windows": lambda n: C.chunk("a.js", _functions(n), C.Options(max_chunk_size=120)),
     "entities_rust": lambda n: C.entities_of("a.rs", _template("rust", n)),
+    "batch_progress": lambda n: C.chunk("a.go", _template("go", n)),
 }
 
 
