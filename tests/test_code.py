@@ -299,6 +299,7 @@ GROWTH = {
     "tree_windows": lambda n: C.chunk("a.js", _functions(n), C.Options(max_chunk_size=120)),
     "entities_rust": lambda n: C.entities_of("a.rs", _template("rust", n)),
     "batch_progress": lambda n: C.chunk("a.go", _template("go", n)),
+    "option_merge": lambda n: C.chunk("a.txt", _functions(n), C.Options(max_chunk_size=60, language="javascript")),
 }
 
 
