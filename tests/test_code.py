@@ -300,6 +300,7 @@ GROWTH = {
     "entities_rust": lambda n: C.entities_of("a.rs", _template("rust", n)),
     "batch_progress": lambda n: C.chunk("a.go", _template("go", n)),
     "option_merge": lambda n: C.chunk("a.txt", _functions(n), C.Options(max_chunk_size=60, language="javascript")),
+    "chunk_code_batch": lambda n: C.chunk("a.go", _template("go", n), C.Options(max_chunk_size=2**31 - 1)),
 }
 
 

@@ -336,3 +336,11 @@ def test_a_worker_passes_on_what_it_has(spark, monkeypatch):
     df = spark.createDataFrame([(f"a{i}.py", "def f():\n    return 1\n" * (1 + i % 9)) for i in range(100)] + FILES[:3], "filepath string, code string").coalesce(1)
     assert sorted(r.filepath for r in L.chunk_batch(df).collect()) == sorted(r.filepath for r in df.collect())
     assert L.extract_entities(df).where("filepath like 'a%'").count() == sum(1 + i % 9 for i in range(100)) + 1
+
+
+def test_batch_of_one_chunk_for_any_file(spark, tmp_path):
+    spark.createDataFrame([(7, 1)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1,)], "r_regionkey int").write.parquet(str(tmp_path / "region.parquet"))
+    spark.range(14000).selectExpr("id as s_suppkey", "7 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sourcecode.QUERIES["chunk_code_batch"](spark, str(tmp_path)).collect()
+    assert len(got) == 7 and {r.n_chunks for r in got} == {1, None}
