@@ -44,16 +44,17 @@ def search(index: DataFrame, query: list[float], top_k: int = 10, pattern: str |
     return scored.orderBy(F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score")).desc_nulls_last(), order).limit(max(1, min(50, top_k)))
 
 
-#: Queries whose vectors are in memory at once.
-QUERY_BLOCK = 4096
+#: Queries whose vectors are in memory at once; of these and of rows, how many are multiplied at a time.
+QUERY_BLOCK, QUERY_STEP, ROW_STEP = 4096, 512, 2048
 
 
 def search_many(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: the exact top-k of each row of ``queries`` (``query_id, q``), a stated set, among all other rows.
 
     Queries are broadcast in blocks of at most ``QUERY_BLOCK``.  A task
-    multiplies the block with its rows, batch after batch, and passes on its
-    best ``top_k`` of each query alone; a window picks the best of all.
+    multiplies the block with its rows, ``QUERY_STEP`` by ``ROW_STEP`` at a
+    time, of which only scores that reach a query's ``top_k`` so far are kept,
+    and passes on its best of each query alone; a window picks the best of all.
     Vectors of another length than the query's block, and null ones, take no part.
     """
     ship(index.sparkSession)
@@ -82,19 +83,20 @@ def _best(index: DataFrame, block: pa.Table, dim: int, k: int) -> Callable[[Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, qn = shared.value
-        score, found = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        score, found = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                b = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, ROW_STEP):
+                b = batch.slice(i, ROW_STEP)
                 x, vec = matrix(b.column("e")), b.column("vec_id").to_numpy()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.round(q @ x.T / (qn[:, None] * np.sqrt((x * x).sum(1))), 9)
-                s[np.isnan(s)] = -2  # of no direction: after all others
-                s[ids[:, None] == vec] = -np.inf
-                score, found = np.hstack([score, s]), np.hstack([found, np.broadcast_to(vec, s.shape)])
-                if score.shape[1] > k:
-                    order = np.lexsort((found, -score), axis=1)[:, :k]
-                    score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+                xn = np.sqrt((x * x).sum(1))
+                for j in range(0, len(q), QUERY_STEP):
+                    at = slice(j, j + QUERY_STEP)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        s = q[at] @ x.T
+                        s /= qn[at, None] * xn
+                    s[np.isnan(s)] = -2  # of no direction: after all others
+                    s[ids[at, None] == vec] = -np.inf
+                    _keep(score[at], found[at], s, vec)
         row, at = np.nonzero(score > -np.inf)
         s = score[row, at]
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found[row, at]), pa.array(s, mask=s == -2)], ["query_id", "vec_id", "score"])
@@ -102,6 +104,25 @@ def _best(index: DataFrame, block: pa.Table, dim: int, k: int) -> Callable[[Iter
     return run
 
 
+def _keep(score: np.ndarray, found: np.ndarray, s: np.ndarray, vec: np.ndarray) -> None:
+    """Of each row of ``score`` and ``s`` together the best, rounded to 9 digits, ties to smaller ids, are put in place."""
+    k = score.shape[1]
+    least = score[:, -1]
+    if s.shape[1] > k and np.isneginf(least).any():
+        least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+    row, col = np.nonzero(s >= least[:, None] - 1e-9)  # what rounding may lift is among them
+    if not len(row):
+        return
+    some = np.unique(row)
+    rows = np.concatenate([np.repeat(some, k), row])
+    scores = np.concatenate([score[some].ravel(), np.round(s[row, col], 9)])
+    ids = np.concatenate([found[some].ravel(), vec[col]])
+    order = np.lexsort((ids, -scores, rows))
+    first = np.searchsorted(rows[order], some)
+    best = order[first[:, None] + np.arange(k)]
+    score[some], found[some] = scores[best], ids[best]
+
+
 def hits(ranked: DataFrame, k: int) -> Column:
     return F.max(F.when((F.col("rank") <= k) & F.col("hit"), 1).otherwise(0)).cast("int")
 

@@ -282,6 +282,36 @@ def test_search_many_equals_search(spark):
         assert found[q] == [i for _, i in near[:7]]
 
 
+def test_search_holds_little_and_keeps_ties_in_order(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows, dim, k = rng.integers(-2, 3, (5000, 8)).astype(float), 8, 7  # many alike, some zero
+    table = pa.table({"query_id": pa.array(range(4096)), "q": pa.array(list(rows[:4096]))})
+    batches = [pa.RecordBatch.from_pydict({"vec_id": pa.array(range(i, min(i + 3000, 5000))), "e": pa.array(list(rows[i : i + 3000]))}) for i in (0, 3000)]
+    run = search._best(spark.range(1), table, dim, k)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter(batches)))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    found = {}
+    for q, v, x in sorted(zip(got["query_id"], got["vec_id"], got["score"]), key=lambda r: (r[0], r[2] is None, -(r[2] or 0), r[1])):
+        found.setdefault(q, []).append(v)
+    norm = np.sqrt((rows * rows).sum(1))
+    for q in range(0, 4096, 101):
+        with np.errstate(invalid="ignore"):
+            s = np.nan_to_num(np.round(rows @ rows[q] / (norm * norm[q]), 9), nan=-2)
+        s[q] = -np.inf
+        assert found[q] == np.lexsort((np.arange(5000), -s))[:k].tolist()
+    few = search._best(spark.range(1), table.slice(0, 3), dim, k)
+    got = pa.Table.from_batches(list(few(iter([batches[0].slice(0, 4)])))).to_pydict()
+    assert sorted(zip(got["query_id"], got["vec_id"])) == [(q, v) for q in range(3) for v in range(4) if q != v]
+
+
 def test_retry():
     calls = []
 
