@@ -312,6 +312,14 @@ def test_search_holds_little_and_keeps_ties_in_order(spark):
     assert sorted(zip(got["query_id"], got["vec_id"])) == [(q, v) for q in range(3) for v in range(4) if q != v]
 
 
+def test_search_steps_change_nothing(spark, sf, monkeypatch):
+    whole = catalogue.queries()["mrr"](spark, sf).collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "QUERY_STEP", 2)
+    monkeypatch.setattr(search, "ROW_STEP", 7)
+    assert catalogue.queries()["mrr"](spark, sf).collect() == whole
+
+
 def test_retry():
     calls = []
 
