@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomcut.functions import text as T
-from loomcut.operators.events import delta, first_of, first_seen, map_sum, nearest_rank
+from loomcut.operators.events import delta, first_of, nearest_rank
 
 COST_PER_1000 = 0.00002
 
@@ -23,10 +23,16 @@ KS = (1, 3, 5, 10)
 KINDS = {"behavioral": "ranked_files_from_tools", "declared": "top_files_final"}
 
 
-def _ranking(name: str, files: str, oracle: str) -> list[Column]:
-    """Hits, reciprocal rank and coverage of the array ``files`` against the set ``oracle``."""
-    ranked = F.transform(F.coalesce(files, F.array().cast("array<string>")), T.normalize_path)
-    place = F.array_min(F.filter(F.transform(ranked, lambda f, i: F.when(F.array_contains(oracle, f), i + 1)), lambda p: p.isNotNull()))
+def _ranked(runs: DataFrame, oracle: str) -> DataFrame:
+    """``runs`` with both rankings normalized, and the place of the first hit in each: columns of their own, so that they are made once."""
+    made = {f"_ranked_{name}": F.transform(F.coalesce(files, F.array().cast("array<string>")), T.normalize_path) for name, files in KINDS.items()}
+    place = lambda ranked: F.array_min(F.filter(F.transform(ranked, lambda f, i: F.when(F.array_contains(oracle, f), i + 1)), lambda p: p.isNotNull()))
+    return runs.withColumns(made).withColumns({f"_place_{name}": place(f"_ranked_{name}") for name in KINDS})
+
+
+def _ranking(name: str, oracle: str) -> list[Column]:
+    """Hits, reciprocal rank and coverage of a ranking of ``_ranked`` against the set ``oracle``."""
+    ranked, place = F.col(f"_ranked_{name}"), F.col(f"_place_{name}")
     covered = lambda k: F.size(F.array_intersect(F.slice(ranked, 1, k), oracle)) / F.nullif(F.size(oracle), F.lit(0))
     out = [F.coalesce(place <= k, F.lit(False)).alias(f"hit_at_{k}_{name}") for k in KS]
     out.append(F.round(F.coalesce(1 / place, F.lit(0.0)), 6).alias(f"mrr_{name}"))
@@ -46,13 +52,13 @@ def instance_metrics(runs: DataFrame, oracle: DataFrame) -> DataFrame:
     nothing; one without oracle files (``instance_id, file``) covers all.
     """
     wanted = oracle.groupBy("instance_id").agg(F.array_sort(F.collect_set(T.normalize_path("file"))).alias("oracle_files"))
-    r = runs.join(wanted, "instance_id", "left").withColumn("oracle_files", F.coalesce("oracle_files", F.array().cast("array<string>")))
+    r = _ranked(runs.join(wanted, "instance_id", "left").withColumn("oracle_files", F.coalesce("oracle_files", F.array().cast("array<string>"))), "oracle_files")
     searched = F.col("semantic_search_calls").isNotNull()
     sum_of = lambda a, b: F.when(searched, F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     tokens = sum_of("query_embed_tokens", "index_embed_tokens")
     chars = F.aggregate(F.map_values("tool_output_chars_by_type"), F.lit(0).cast("long"), lambda s, x: s + x)
     return r.select(
-        "instance_id", "agent_variant", "oracle_files", *[c for name, files in KINDS.items() for c in _ranking(name, files, "oracle_files")],
+        "instance_id", "agent_variant", "oracle_files", *[c for name in KINDS for c in _ranking(name, "oracle_files")],
         "time_to_first_hit_ms", "tokens_to_first_hit", "total_duration_ms", "total_cost_usd", "total_input_tokens", "total_output_tokens", "tool_calls_count", "semantic_search_calls",
         sum_of("query_embed_latency_ms", "index_load_ms").alias("embed_latency_ms"), tokens.alias("embed_tokens"), F.round(tokens / 1000 * COST_PER_1000, 9).alias("embed_cost_usd"),
         F.coalesce(chars, F.lit(0)).alias("tool_output_chars_total"), "tool_output_chars_by_type", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("top_files_final", "ranked_files_from_tools")],
@@ -71,22 +77,25 @@ def runs_of_events(events: DataFrame, sessions: DataFrame, oracle: DataFrame) ->
     new file that the oracle has, with the tokens used by then.
     """
     calls, spent = events.where("type = 'tool_call'"), first_of(events.where("type = 'usage'"), ["session", "message_id"], ["event_no"])
-    seen = calls.select("session", "event_no", F.posexplode("paths").alias("place", "path")).withColumn("path", T.normalize_path("path"))
-    ranked = first_seen(seen, order=("event_no", "place"))
-    files = ranked.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("ranked_files_from_tools"))
-    wanted = sessions.select("session", "instance_id").join(oracle.select("instance_id", T.normalize_path("file").alias("path")).distinct(), "instance_id").select("session", "path", F.lit(True).alias("hit"))
-    hits = seen.join(wanted, ["session", "path"], "left_semi").groupBy("session").agg(F.min("event_no").alias("event_no"))
-    log = events.select("session", "event_no", "timestamp").join(hits, ["session", "event_no"]).select("session", F.col("event_no").alias("hit_no"), F.col("timestamp").alias("time_to_first_hit_ms"))
-    used = spent.join(log.select("session", "hit_no"), "session", "left")
+    seen = calls.select("session", "event_no", "timestamp", F.posexplode("paths").alias("place", "path"))
+    order = F.col("event_no").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("place")  # a number, not a struct, is aggregated without a sort
+    first = lambda rows, at: rows.groupBy("session", "path").agg(F.min(at).alias("at"), F.min("event_no").alias("event_no"), F.min_by("timestamp", "event_no").alias("timestamp"))
+    few = first(seen, order).withColumn("path", T.normalize_path("path")).repartition("session")  # all that follows is within a session
+    ranked = first(few, "at").withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy("at", "path")))
+    files = ranked.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "event_no", "timestamp"))).alias("files"))
+    wanted = oracle.groupBy("instance_id").agg(F.collect_set(T.normalize_path("file")).alias("wanted"))
+    hit = F.get(F.filter("files", lambda f: F.array_contains("wanted", f["path"])), F.lit(0))
     total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
     both = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
-    usage_ = used.groupBy("session").agg(total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"), F.sum(F.when(F.col("event_no") < F.col("hit_no"), both).otherwise(0)).alias("by_then"))
-    counts = calls.groupBy("session").agg(F.count("*").alias("tool_calls_count"))
-    out = sessions.join(files, "session", "left").join(log.drop("hit_no"), "session", "left").join(usage_, "session", "left").join(counts, "session", "left")
-    out = out.join(map_sum(calls, "session", "tool_name", "output_chars", "tool_output_chars_by_type"), "session", "left")
+    usage_ = spent.groupBy("session").agg(total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"), F.collect_list(F.struct("event_no", both.cast("long").alias("tokens"))).alias("spent"))
+    by_tool = calls.groupBy("session", "tool_name").agg(F.sum("output_chars").alias("_v"), F.count("*").alias("_n"))
+    tools = by_tool.groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool_name", "_v")))).alias("tool_output_chars_by_type"), F.sum("_n").alias("tool_calls_count"))
+    out = sessions.join(files, "session", "left").join(usage_, "session", "left").join(tools, "session", "left").join(wanted, "instance_id", "left")
+    out = out.withColumn("hit", hit).withColumn("time_to_first_hit_ms", F.col("hit.timestamp")).withColumn("ranked_files_from_tools", F.transform("files", lambda f: f["path"]))
+    by_then = F.aggregate("spent", F.lit(0).cast("long"), lambda n, u: n + F.when(u["event_no"] < F.col("hit.event_no"), u["tokens"]).otherwise(0))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_input_tokens", "total_output_tokens", "tool_calls_count")]
     none = [F.lit(None).cast("long").alias(c) for c in ("semantic_search_calls", "query_embed_tokens", "query_embed_latency_ms", "index_embed_tokens", "index_load_ms")]
-    tokens = F.when(F.col("time_to_first_hit_ms").isNotNull(), F.coalesce("by_then", F.lit(0))).cast("long").alias("tokens_to_first_hit")
+    tokens = F.when(F.col("time_to_first_hit_ms").isNotNull(), F.coalesce(by_then, F.lit(0))).cast("long").alias("tokens_to_first_hit")
     return out.select("instance_id", "agent_variant", "ranked_files_from_tools", "top_files_final", "time_to_first_hit_ms", tokens, "total_duration_ms", "total_cost_usd", *zero, "tool_output_chars_by_type", *none)
 
 

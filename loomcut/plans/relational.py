@@ -537,13 +537,14 @@ def _sessions(spark, d):
     named = F.array(*[F.concat(F.lit("./f"), p.cast("string"), F.lit(".py")) for p in (k * 7 % 50, k, (k + F.col("event_no")) % 50)])
     none = lambda t: F.lit(None).cast(t)
     begin = log.groupBy("session").agg(F.min("ts_ms").alias("begin"), F.max("ts_ms").alias("last"))
-    timed = log.join(begin, "session").withColumn("timestamp", F.col("ts_ms") - F.col("begin"))
+    timed = log.withColumn("timestamp", F.col("ts_ms"))  # the session's begin is taken off the few hits, not all events
     calls = timed.select("session", (F.col("event_no") * 2).alias("event_no"), F.lit("tool_call").alias("type"), "timestamp", F.col("tool").alias("tool_name"), F.col("tokens").alias("output_chars"), named.alias("paths"), none("string").alias("message_id"), none("long").alias("input_tokens"), none("long").alias("output_tokens"))
     used = timed.where("event_no % 4 = 0").select("session", (F.col("event_no") * 2 + 1).alias("event_no"), F.lit("usage").alias("type"), "timestamp", none("string").alias("tool_name"), none("long").alias("output_chars"), none("array<string>").alias("paths"), (F.col("path") % 20).cast("string").alias("message_id"), F.col("tokens").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
     s = F.col("session")
     sessions = begin.select("session", s.cast("string").alias("instance_id"), F.when(s % 2 == 0, "ops-only").otherwise("ops-plus-search").alias("agent_variant"), (F.col("last") - F.col("begin")).alias("total_duration_ms"), (s.cast("double") / 8).alias("total_cost_usd"), F.array(F.lit("none.py")).alias("top_files_final"))
     oracle = begin.where("session % 5 <> 0").select(s.cast("string").alias("instance_id"), F.concat(F.lit("f"), (s % 50).cast("string"), F.lit(".py")).alias("file"))
-    return X.instance_metrics(X.runs_of_events(calls.unionByName(used), sessions, oracle), oracle)
+    runs = X.runs_of_events(calls.unionByName(used), sessions, oracle).join(begin.select(s.cast("string").alias("instance_id"), "begin"), "instance_id", "left")
+    return X.instance_metrics(runs.withColumn("time_to_first_hit_ms", F.col("time_to_first_hit_ms") - F.col("begin")).drop("begin"), oracle)
 
 
 _SESSIONS = f"""{_LOG}, b AS (SELECT session, min(ts_ms) AS b, max(ts_ms) AS l FROM log GROUP BY session),

@@ -320,6 +320,30 @@ def test_search_steps_change_nothing(spark, sf, monkeypatch):
     assert catalogue.queries()["mrr"](spark, sf).collect() == whole
 
 
+def test_runs_read_events_few_times(spark, sf):
+    from loomcut.plans import relational
+
+    plan = relational._sessions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 7
+    assert plan.count("/+$") <= 8  # a path is normalized once as found, once in each ranking and in the oracle
+
+
+def test_runs_of_odd_events(spark):
+    from loomcut.operators import evaluation
+
+    call = lambda s, n, *paths: (s, n, "tool_call", n % 1000 * 10, "Read", 5, list(paths), None, None, None)
+    used = lambda s, n, m, i, o: (s, n, "usage", n * 10, None, None, None, m, i, o)
+    rows = [call("a", 3, "./x//b.py", "q", "x/b.py"), call("a", 2, "q", None), used("a", 1, "m", 7, None), used("a", 4, "m", 70, 1), used("a", 5, "n", 2, 2), call("a", 1 << 61, "/last"), used("b", 1, "m", 1, 1), call("b", 2), call(None, 1, "z")]
+    ev = spark.createDataFrame(rows, "session string, event_no long, type string, timestamp long, tool_name string, output_chars long, paths array<string>, message_id string, input_tokens long, output_tokens long").repartition(3)
+    runs = spark.createDataFrame([(s, i, "v", 9, 1.0, ["d"]) for s, i in (("a", "A"), ("b", "B"), ("c", "C"), ("d", "A"))], "session string, instance_id string, agent_variant string, total_duration_ms long, total_cost_usd double, top_files_final array<string>")
+    oracle = spark.createDataFrame([("A", "./x/b.py"), ("A", "none"), ("B", "z")], "instance_id string, file string")
+    got = evaluation.runs_of_events(ev, runs, oracle)
+    cols = ["instance_id", "ranked_files_from_tools", "time_to_first_hit_ms", "tokens_to_first_hit", "total_input_tokens", "total_output_tokens", "tool_calls_count", "tool_output_chars_by_type"]
+    empty = (None, None, None, 0, 0, 0, None)
+    want = [("A", ["q", None, "x/b.py", "last"], 30, 7, 9, 2, 3, {"Read": 15}), ("A", *empty), ("B", None, None, None, 1, 1, 1, {"Read": 5}), ("C", *empty)]
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_retry():
     calls = []
 
